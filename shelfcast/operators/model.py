@@ -59,6 +59,7 @@ def fit_demand_model(
         maxDepth=params.depth,
         subsamplingRate=params.subsampling,
         seed=params.seed,
+        cacheNodeIds=True,  # halves the time per level; same forest
     )
     needed = rows.select(*dict.fromkeys((*FEATURES, label)))
     return Pipeline(stages=[assembler(), forest]).fit(needed)

@@ -307,7 +307,7 @@ ORACLE: dict[str, str] = {
     "window_sales_5m_1m": _sql(windows("valid", 300, 60), "valid"),
     "window_sales_30s_10s": _sql(windows("valid", 30, 10), "valid"),
     "window_sales_6h_1h": _all("win_6h"),
-    "window_sales_panes": _all("win_6h"),
+    "window_sales_direct": _all("win_6h"),
     "window_sales_35d_7d": _sql(windows("valid_li", 35 * 86400, 7 * 86400), "valid_li"),
     "window_sales_1d": _all("win_1d"),
     "window_sales_from_json": _sql(windows("parsed_valid", 21600, 3600), "parsed_valid"),

@@ -122,8 +122,8 @@ def window_sales_6h_1h(spark, sf_dir):
 
 
 @query
-def window_sales_panes(spark, sf_dir):
-    return window_sales(_valid(spark, sf_dir), SIX_HOURS, panes=True)
+def window_sales_direct(spark, sf_dir):
+    return window_sales(_valid(spark, sf_dir), SIX_HOURS, panes=False)
 
 
 @query
