@@ -7,16 +7,20 @@ from .numbers import fixed_point, round2
 _AMOUNT_DECIMALS = 4
 
 
-def sales_sums() -> list[Column]:
-    """Units, amount and line count; amounts add up as whole 1/10000, see ``exact_sum``."""
-    line = F.col("quantity") * F.col("unit_price")
+def sales_sums(*, wide: bool = False) -> list[Column]:
+    """Units, amount and line count; amounts add up as whole 1/10000, see ``exact_sum``.
+
+    A long holds 9e14 of money per group, plenty for a SKU's window; ``wide``
+    sums are for groups that may hold most of the data.
+    """
+    amount = fixed_point(F.col("quantity") * F.col("unit_price"), _AMOUNT_DECIMALS)
     return [
         F.sum("quantity").alias("units"),
-        F.sum(fixed_point(line, _AMOUNT_DECIMALS)).alias("amount"),
+        F.sum(amount.cast("decimal(20,0)") if wide else amount).alias("amount"),
         F.count("*").alias("lines"),
     ]
 
 
 def revenue(amount: Column) -> Column:
     """The summed amount as money with two decimals."""
-    return round2(amount / F.lit(float(10**_AMOUNT_DECIMALS)))
+    return round2(amount.cast("double") / F.lit(float(10**_AMOUNT_DECIMALS)))

@@ -107,7 +107,7 @@ def category_sales(sales: DataFrame) -> DataFrame:
     return (
         with_category(sales)
         .groupBy("category")
-        .agg(*sales_sums())
+        .agg(*sales_sums(wide=True))
         .select(
             "category",
             F.col("units").alias("total_units_sold"),

@@ -34,6 +34,12 @@ def read_windowed(
     return rows.withColumns({k: F.col(k).cast("string") for k in SKU})
 
 
+def stream_windowed(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """New rows of the windowed table as a stream."""
+    reader = spark.readStream.schema(extended(WINDOWED, "window_date date")).options(**options)
+    return reader.parquet(path).select(*WINDOWED.fieldNames())
+
+
 def query_windowed(
     spark: SparkSession, path: str, store: str | None = None, product: str | None = None,
     since: datetime | None = None, until: datetime | None = None,

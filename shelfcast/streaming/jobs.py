@@ -21,7 +21,7 @@ from ..operators.demand import join_demand, sku_features
 from ..operators.events import valid_sales
 from ..operators.windows import window_sales
 from ..plans.decisions import decisions_of
-from ..schemas import DECISIONS, SKU_FEATURES, WINDOWED, extended
+from ..schemas import DECISIONS, WINDOWED, extended
 from ..sinks.tables import BY_DATE
 from ..sources.events import parse_events
 
@@ -113,42 +113,28 @@ def read_live_windows(spark: SparkSession, path: str) -> DataFrame:
 def start_decisions(
     windows: DataFrame, inventory: DataFrame, path: str, checkpoint: str,
     model: Transformer | None = None, spec: WindowSpec = DEFAULT_WINDOW, *,
-    policy: StockPolicy = StockPolicy(), features: DataFrame | None = None,
-    mode: str = "update", every: str | None = WINDOW_TRIGGER,
+    policy: StockPolicy = StockPolicy(), every: str | None = WINDOW_TRIGGER,
 ) -> StreamingQuery:
-    """Streaming windows to decisions of the SKUs that changed in a micro-batch.
-
-    Each batch logs its SKU maxima under ``path/features`` and its decisions
-    under ``path/decisions``. A SKU's state is the maximum over the log, and a
-    maximum may be taken twice, so replayed batches do no harm. To keep the
-    log short, fold it with :func:`read_features` into a table of its own and
-    start with that table as ``features``, an empty ``path`` and the same
-    checkpoint.
+    """Stored windows, read as a stream, to decisions of the SKUs that changed.
+
+    The state store holds the metric maxima of each SKU, so a micro-batch costs
+    what changed and not the history; it grows with the catalogue. Every batch
+    writes to a directory of its own, which a replay overwrites;
+    :func:`read_decisions` shows the last decision of each SKU. ``windows``
+    comes from ``stream_windowed``: a stream cannot aggregate its own
+    aggregates in update mode.
     """
-    log, decisions = f"{path}/features", f"{path}/decisions"
+    write = _batch_log(path)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        _batch_log(log)(sku_features(batch), batch_id)
-        entries = _read_log(batch.sparkSession, log, SKU_FEATURES)
-        changed = entries.filter(F.col(BATCH) == batch_id).select(*SKU)
-        state = entries.filter(F.col(BATCH) <= batch_id).drop(BATCH)
-        if features is not None:
-            state = state.unionByName(features)
-        current = sku_features(state.join(changed, [*SKU], "left_semi"))
-        rows = decisions_of(join_demand(inventory, current), model, spec, policy)
-        _batch_log(decisions)(rows, batch_id)
+    def step(features: DataFrame, batch_id: int) -> None:
+        write(decisions_of(join_demand(inventory, features), model, spec, policy), batch_id)
 
-    return _per_batch(windows, mode, checkpoint, every, step)
-
-
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """SKU features as the decision job's log has them."""
-    return sku_features(_read_log(spark, f"{path}/features", SKU_FEATURES))
+    return _per_batch(sku_features(windows), "update", checkpoint, every, step)
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     """The last decision of every SKU the decision job has seen."""
-    rows = _read_log(spark, f"{path}/decisions", DECISIONS)
+    rows = _read_log(spark, path, DECISIONS)
     data = [c for c in DECISIONS.fieldNames() if c not in SKU]
     newest = F.max_by(F.struct(*data), BATCH).alias("row")
     return rows.groupBy(*SKU).agg(newest).select(*SKU, "row.*")

@@ -167,6 +167,10 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
     FROM lineitem"""),
     "valid_li": (("sales_li",), "SELECT * FROM sales_li WHERE unit_price > 0 AND quantity > 0"),
     "win_6h": (("valid",), windows("valid", 21600, 3600)),
+    "closed_6h": (("valid", "win_6h"), """
+    SELECT * FROM win_6h
+    WHERE window_end <= (SELECT max(event_time) FROM valid) - INTERVAL 10 MINUTE"""),
+    "sku_closed": (("closed_6h",), f"SELECT store_id, product_id, {MAXIMA} FROM closed_6h GROUP BY ALL"),
     "win_1h": (("valid",), windows("valid", 3600, 3600)),
     "win_1d": (("valid_li",), windows("valid_li", 86400, 86400)),
     "sku_6h": (("win_6h",), f"SELECT store_id, product_id, {MAXIMA} FROM win_6h GROUP BY ALL"),
@@ -208,6 +212,7 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
     "health_idle": (("inventory_li", "idle"), _health("inventory_li", "idle", 86400)),
     "decided": (("inventory_li", "sku_1d"), _decisions("inventory_li", "sku_1d", 86400)),
     "decided_6h": (("inventory", "sku_6h"), _decisions("inventory", "sku_6h", 21600)),
+    "decided_closed": (("inventory", "sku_closed"), _decisions("inventory", "sku_closed", 21600)),
     "reorders": (("health_li", "sellers_li"), """
     SELECT store_id, product_id, risk_level, recommended_reorder_quantity,
            coalesce(seller_name, 'Seller Not Mapped') AS seller_name,
@@ -433,9 +438,8 @@ ORACLE: dict[str, str] = {
     "csv_sellers": _all("sellers_li", """store_id, product_id, seller_name, seller_contact,
            lower(trim(auto_confirm_eligible)) = 'true' AS auto_confirm_eligible"""),
     "reorder_export": _all("decided", rest="WHERE action = 'REORDER'"),
-    "stream_windows_append": _all("win_6h", rest="""
-    WHERE window_end <= (SELECT max(event_time) FROM valid) - INTERVAL 10 MINUTE"""),
+    "stream_windows_append": _all("closed_6h"),
     "stream_windows_update": _all("win_6h"),
     "stream_validated": _all("parsed_valid"),
-    "stream_decisions": _all("decided_6h"),
+    "stream_decisions": _all("decided_closed"),
 }

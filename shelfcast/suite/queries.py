@@ -25,7 +25,7 @@ from ..sinks.tables import (
 from ..sources.events import parse_events, read_event_lines
 from ..sources.tables import (
     query_windowed, read_inventory, read_inventory_version, read_sellers, read_windowed,
-    register_windowed,
+    register_windowed, stream_windowed,
 )
 from ..schemas import DECISIONS
 from ..streaming import jobs
@@ -559,10 +559,13 @@ def stream_validated(spark, sf_dir):
 
 @query
 def stream_decisions(spark, sf_dir):
+    """Two streams: sales to closed windows, closed windows to decisions."""
     root = scratch(spark, "stream")
-    windows = window_sales(_valid_stream(spark, sf_dir), SIX_HOURS)
+    jobs.start_windowed(
+        _valid_stream(spark, sf_dir), f"{root}/windows", f"{root}/state", SIX_HOURS, every=None
+    ).awaitTermination()
     jobs.start_decisions(
-        windows, fx.inventory(spark, sf_dir), f"{root}/out", f"{root}/state",
-        spec=SIX_HOURS, every=None,
+        stream_windowed(spark, f"{root}/windows"), fx.inventory(spark, sf_dir),
+        f"{root}/decisions", f"{root}/decision_state", spec=SIX_HOURS, every=None,
     ).awaitTermination()
-    return jobs.read_decisions(spark, f"{root}/out")
+    return jobs.read_decisions(spark, f"{root}/decisions")

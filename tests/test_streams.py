@@ -13,7 +13,7 @@ from shelfcast.operators.windows import window_sales
 from shelfcast.plans.decisions import decision_table
 from shelfcast.schemas import INVENTORY, SALES_EVENT
 from shelfcast.sources.events import parse_events, read_event_lines
-from shelfcast.sources.tables import read_windowed
+from shelfcast.sources.tables import read_windowed, stream_windowed
 from shelfcast.streaming import jobs
 
 SPEC = WindowSpec()
@@ -131,37 +131,53 @@ def test_validated_stream(spark, feed, path):
     assert rows.count() == 2 and rows.filter("event_time IS NULL").count() == 1
 
 
+STOCK = [
+    ("STORE_001", "PROD_001", 4000, 3), ("STORE_001", "PROD_002", 10, 3), ("STORE_001", "PROD_003", 1, 3),
+]
+
+
+def run_decisions(spark, feed, path):
+    """Windows of what is there, then decisions, one stored file per batch."""
+    finish(jobs.start_windowed(feed.stream(spark), path + "/w", path + "/ws", every=None))
+    windows = stream_windowed(spark, path + "/w", maxFilesPerTrigger="1")
+    stock = spark.createDataFrame(STOCK, INVENTORY)
+    return finish(jobs.start_decisions(windows, stock, path + "/out", path + "/state", every=None))
+
+
 def test_decisions_follow_the_highest_window_of_all_batches(spark, feed, path):
-    stock = spark.createDataFrame(
-        [("STORE_001", "PROD_001", 4000, 3), ("STORE_001", "PROD_002", 10, 3), ("STORE_001", "PROD_003", 1, 3)],
-        INVENTORY,
-    )
     feed.add(event(0, 9), event(0, 1, "PROD_002"))
     feed.add(event(30, 2))
     feed.add(event(60, 1, "PROD_002"))
-    windows = window_sales(feed.stream(spark))
-    finish(jobs.start_decisions(windows, stock, path + "/out", path + "/state", every=None))
-    expected = decision_table(stock, window_sales(feed.batch(spark)), None)
+    run_decisions(spark, feed, path)
+    stock = spark.createDataFrame(STOCK, INVENTORY)
+    expected = decision_table(stock, read_windowed(spark, path + "/w"), None)
     assert expected.count() == 2
     assert same(jobs.read_decisions(spark, path + "/out"), expected)
-    changed = spark.read.parquet(path + "/out/decisions/batch_id=1").collect()
-    assert [r.product_id for r in changed] == ["PROD_001"]
-    assert changed[0].predicted_daily_demand == 9 * 288  # not the 2 units of its own batch
 
 
-def test_decisions_start_from_folded_features(spark, feed, path):
-    stock = spark.createDataFrame([("STORE_001", "PROD_001", 4000, 3)], INVENTORY)
+def test_decisions_restart_with_their_state(spark, feed, path):
     feed.add(event(0, 9))
-    finish(jobs.start_decisions(window_sales(feed.stream(spark)), stock, path + "/a", path + "/state", every=None))
-    jobs.read_features(spark, path + "/a").write.parquet(path + "/folded")
-    feed.add(event(30, 2))
-    finish(
-        jobs.start_decisions(
-            window_sales(feed.stream(spark)), stock, path + "/b", path + "/state",
-            features=spark.read.parquet(path + "/folded"), every=None,
-        )
-    )
-    assert jobs.read_decisions(spark, path + "/b").first().predicted_daily_demand == 9 * 288
+    feed.add(event(100))
+    run_decisions(spark, feed, path)
+    before = jobs.read_decisions(spark, path + "/out").first()
+    feed.add(event(130, 2))
+    feed.add(event(2000, 1, "PROD_002"))
+    query = run_decisions(spark, feed, path)
+    after = jobs.read_decisions(spark, path + "/out").first()
+    assert before.predicted_daily_demand == 9 * 288  # and not the 2 units of the later windows
+    assert after == before and query.lastProgress.stateOperators[0].numRowsTotal == 1
+
+
+def test_decisions_with_the_rocksdb_state_store(spark, feed, path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        feed.add(event(0, 9), event(1, 2, "PROD_002"))
+        feed.add(event(100))
+        run_decisions(spark, feed, path)
+    finally:
+        spark.conf.unset(key)
+    assert jobs.read_decisions(spark, path + "/out").count() == 2
 
 
 def test_quality_counts_of_each_micro_batch(spark, feed, path):
