@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _id(prefix: str, number: Column) -> Column:
     """``STORE_001``; longer numbers keep all their digits."""
-    text = number.cast("string")
-    return F.concat(F.lit(prefix), F.lpad(text, F.greatest(F.lit(3), F.length(text)), F.lit("0")))
+    padded = F.when(number < 10, prefix + "00").when(number < 100, prefix + "0").otherwise(prefix)
+    return F.concat(padded, number.cast("string"))
 
 
 def store_id(number: Column) -> Column:

@@ -431,6 +431,11 @@ ORACLE: dict[str, str] = {
     "partitioned_scan": _all("win_1h", rest="""
     WHERE store_id = 'STORE_003' AND window_start >= TIMESTAMP '2024-01-05'
       AND window_start < TIMESTAMP '2024-01-20'"""),
+    "sku_directory_lookup": _sql(f"""
+    SELECT * FROM ({windows('valid', 86400, 86400)})
+    WHERE store_id = 'STORE_003' AND product_id = 'PROD_015'""", "valid"),
+    "compacted_scan": _all("win_1h", rest="""
+    WHERE window_end <= (SELECT max(event_time) FROM valid) - INTERVAL 10 MINUTE"""),
     "windowed_sql": _all("win_6h", "store_id, product_id, window_start, total_revenue", """
     WHERE store_id = 'STORE_001' ORDER BY window_start DESC, product_id LIMIT 10"""),
     "csv_inventory": _all("inventory_li"),

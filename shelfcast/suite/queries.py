@@ -20,7 +20,7 @@ from ..plans.health import (
 )
 from ..plans.training import current_model, train, train_run
 from ..sinks.tables import (
-    export_reorders, write_inventory, write_inventory_csv, write_windowed,
+    BY_SKU, compact_windowed, export_reorders, write_inventory, write_inventory_csv, write_windowed,
 )
 from ..sources.events import parse_events, read_event_lines
 from ..sources.tables import (
@@ -474,6 +474,24 @@ def partitioned_scan(spark, sf_dir):
     )
 
 
+@query
+def sku_directory_lookup(spark, sf_dir):
+    path = scratch(spark, "windows")
+    write_windowed(_windows(spark, sf_dir, DAY), path, BY_SKU)
+    return query_windowed(spark, path, "STORE_003", "PROD_015")
+
+
+@query
+def compacted_scan(spark, sf_dir):
+    """Streaming files rewritten; the rows are those of the stream."""
+    path = scratch(spark, "windows")
+    jobs.start_windowed(
+        _valid_stream(spark, sf_dir), f"{path}/small", f"{path}/state", HOUR, every=None
+    ).awaitTermination()
+    compact_windowed(spark, f"{path}/small", f"{path}/big")
+    return read_windowed(spark, f"{path}/big")
+
+
 @query
 def windowed_sql(spark, sf_dir):
     path = scratch(spark, "windows")
