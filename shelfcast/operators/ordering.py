@@ -43,10 +43,24 @@ def first_rows(rows: DataFrame, limit: int = DEMAND_ROWS, keys: Sequence[str] =
 def page(
     rows: DataFrame, number: int, size: int = PAGE_SIZE, keys: Sequence[str] = SKU
 ) -> DataFrame:
-    """Page ``number``, counted from 0."""
+    """Page ``number``, counted from 0.
+
+    Every task keeps all rows up to the page's end, so this is for the first
+    pages of a report; :func:`page_after` costs the same at any depth.
+    """
     return rows.orderBy(*keys).offset(number * size).limit(size)
 
 
+def page_after(
+    rows: DataFrame, last: Sequence[object], size: int = PAGE_SIZE, keys: Sequence[str] = SKU
+) -> DataFrame:
+    """The page that follows the key ``last``."""
+    behind = F.struct(*keys) > F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, last)])
+    # Implied by the comparison above, but this one can be pushed into a scan.
+    reached = F.col(keys[0]) >= F.lit(last[0])
+    return rows.filter(reached & behind).orderBy(*keys).limit(size)
+
+
 def page_count(rows: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     return rows.agg(
         F.count("*").alias("rows"), F.ceil(F.count("*") / size).cast("bigint").alias("pages")

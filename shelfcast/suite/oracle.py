@@ -236,6 +236,14 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
     SELECT w.*, coalesce(n.total_units_sold, 0) AS next_units
     FROM win_6h w LEFT JOIN win_6h n ON n.store_id = w.store_id AND n.product_id = w.product_id
                                     AND n.window_start = w.window_end"""),
+    "flagged_li": (("sales_li",), f"""
+    SELECT *, price_spike OR bulk_quantity AS rule_anomaly
+    FROM (SELECT *, quantity >= 10 AS bulk_quantity,
+                 unit_price >= 2 * CASE category WHEN 'Rice' THEN 120 WHEN 'Snacks' THEN 60
+                     WHEN 'Beverages' THEN 80 WHEN 'Dairy' THEN 90 WHEN 'Personal Care' THEN 150
+                     ELSE 100 END AS price_spike
+          FROM (SELECT *, {_category("CAST(split_part(product_id, '_', 2) AS BIGINT)")} AS category
+                FROM sales_li))"""),
     "flagged": (("sales",), """
     SELECT *, price_spike OR bulk_quantity AS rule_anomaly
     FROM (SELECT * EXCLUDE (event_id), quantity >= 10 AS bulk_quantity,
@@ -297,6 +305,7 @@ ORACLE: dict[str, str] = {
            count(*) FILTER (unit_price > 0 AND quantity > 0) AS valid
     FROM parsed""", "parsed"),
     "flag_anomalies": _all("flagged"),
+    "flag_anomalies_li": _all("flagged_li"),
     "anomaly_shares": _sql(f"""
     SELECT *, {_percent('rule_anomalies', 'events')} AS anomaly_percent,
            {_percent('agreeing', 'events')} AS agreement_percent
@@ -389,6 +398,9 @@ ORACLE: dict[str, str] = {
     "demand_search": _all("predictions", rest="""
     WHERE contains(lower(store_id || ' ' || product_id || ' ' || date), '7 prod_0')"""),
     "demand_page": _all("predictions", rest="ORDER BY store_id, product_id LIMIT 20 OFFSET 60"),
+    "demand_page_after": _all("predictions", rest="""
+    WHERE store_id > 'STORE_003' OR (store_id = 'STORE_003' AND product_id > 'PROD_100')
+    ORDER BY store_id, product_id LIMIT 20"""),
     "demand_page_count": _all(
         "predictions", "count(*) AS rows, CAST(ceil(count(*) / 20) AS BIGINT) AS pages"
     ),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -85,6 +86,11 @@ def flag_anomalies(spark, sf_dir):
     return ev.flag_anomalies(fx.sales(spark, sf_dir))
 
 
+@query
+def flag_anomalies_li(spark, sf_dir):
+    return ev.flag_anomalies(ev.with_category(fx.sales_li(spark, sf_dir)))
+
+
 @query
 def anomaly_shares(spark, sf_dir):
     return ev.anomaly_shares(ev.flag_anomalies(fx.sales(spark, sf_dir)))
@@ -359,6 +365,11 @@ def demand_page(spark, sf_dir):
     return ordering.page(_predictions(spark, sf_dir), 3)
 
 
+@query
+def demand_page_after(spark, sf_dir):
+    return ordering.page_after(_predictions(spark, sf_dir), ("STORE_003", "PROD_100"))
+
+
 @query
 def demand_page_count(spark, sf_dir):
     return ordering.page_count(_predictions(spark, sf_dir))
@@ -485,9 +496,10 @@ def sku_directory_lookup(spark, sf_dir):
 def compacted_scan(spark, sf_dir):
     """Streaming files rewritten; the rows are those of the stream."""
     path = scratch(spark, "windows")
-    jobs.start_windowed(
-        _valid_stream(spark, sf_dir), f"{path}/small", f"{path}/state", HOUR, every=None
-    ).awaitTermination()
+    with _state_partitions(spark):
+        jobs.start_windowed(
+            _valid_stream(spark, sf_dir), f"{path}/small", f"{path}/state", HOUR, every=None
+        ).awaitTermination()
     compact_windowed(spark, f"{path}/small", f"{path}/big")
     return read_windowed(spark, f"{path}/big")
 
@@ -542,6 +554,22 @@ def reorder_export(spark, sf_dir):
 # --- streams --------------------------------------------------------------
 
 
+@contextmanager
+def _state_partitions(spark: SparkSession) -> Iterator[None]:
+    """One state partition per core for the streams started within.
+
+    The default of 200 would give each micro-batch 200 small commits on a
+    small machine; a checkpoint keeps the number it was started with.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _valid_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.valid_sales(fx.sales_stream(spark, sf_dir))
 
@@ -550,19 +578,21 @@ def _valid_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_windows_append(spark, sf_dir):
     """Only windows the watermark has closed are written."""
     root = scratch(spark, "stream")
-    jobs.start_windowed(
-        _valid_stream(spark, sf_dir), f"{root}/out", f"{root}/state", SIX_HOURS, every=None
-    ).awaitTermination()
+    with _state_partitions(spark):
+        jobs.start_windowed(
+            _valid_stream(spark, sf_dir), f"{root}/out", f"{root}/state", SIX_HOURS, every=None
+        ).awaitTermination()
     return read_windowed(spark, f"{root}/out")
 
 
 @query
 def stream_windows_update(spark, sf_dir):
     root = scratch(spark, "stream")
-    jobs.start_windowed(
-        _valid_stream(spark, sf_dir), f"{root}/out", f"{root}/state", SIX_HOURS,
-        mode="update", every=None,
-    ).awaitTermination()
+    with _state_partitions(spark):
+        jobs.start_windowed(
+            _valid_stream(spark, sf_dir), f"{root}/out", f"{root}/state", SIX_HOURS,
+            mode="update", every=None,
+        ).awaitTermination()
     return jobs.read_live_windows(spark, f"{root}/out")
 
 
@@ -579,11 +609,12 @@ def stream_validated(spark, sf_dir):
 def stream_decisions(spark, sf_dir):
     """Two streams: sales to closed windows, closed windows to decisions."""
     root = scratch(spark, "stream")
-    jobs.start_windowed(
-        _valid_stream(spark, sf_dir), f"{root}/windows", f"{root}/state", SIX_HOURS, every=None
-    ).awaitTermination()
-    jobs.start_decisions(
-        stream_windowed(spark, f"{root}/windows"), fx.inventory(spark, sf_dir),
-        f"{root}/decisions", f"{root}/decision_state", spec=SIX_HOURS, every=None,
-    ).awaitTermination()
+    with _state_partitions(spark):
+        jobs.start_windowed(
+            _valid_stream(spark, sf_dir), f"{root}/windows", f"{root}/state", SIX_HOURS, every=None
+        ).awaitTermination()
+        jobs.start_decisions(
+            stream_windowed(spark, f"{root}/windows"), fx.inventory(spark, sf_dir),
+            f"{root}/decisions", f"{root}/decision_state", spec=SIX_HOURS, every=None,
+        ).awaitTermination()
     return jobs.read_decisions(spark, f"{root}/decisions")

@@ -84,6 +84,9 @@ def test_limits_and_pages(health):
     pages = [[r.product_id for r in ordering.page(health, n, 3).collect()] for n in range(3)]
     assert pages == [["PROD_001", "PROD_002", "PROD_001"], ["PROD_010"], []]
     assert tuple(ordering.page_count(health, 3).first()) == (4, 2)
+    after = ordering.page_after(health, ("STORE_001", "PROD_002"), 1).collect()
+    assert [(r.store_id, r.product_id) for r in after] == [("STORE_002", "PROD_001")]
+    assert ordering.page_after(health, ("STORE_002", "PROD_010")).isEmpty()
     assert tuple(ordering.page_count(health.filter("false"), 3).first()) == (0, 0)
 
 
