@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import DEFAULT_WINDOW, WindowSpec
 from ..constants import METRICS, SKU, WINDOW
@@ -10,23 +10,34 @@ from ..functions.numbers import round2
 from ..functions.sales import revenue, sales_sums
 
 
+def _window_sums(sales: DataFrame, spec: WindowSpec) -> DataFrame:
+    """Spark's own window: each event is expanded into all of its windows."""
+    window = F.window("event_time", spec.window, spec.slide).alias("window")
+    sums = sales.groupBy(window, *SKU).agg(*sales_sums())
+    return sums.withColumns(
+        {"window_start": F.col("window.start"), "window_end": F.col("window.end")}
+    )
+
+
 def _pane_sums(sales: DataFrame, spec: WindowSpec) -> DataFrame:
     """Sums per (pane, SKU), then once more per (window, SKU).
 
     A pane is never cut by a window border, so every window is a union of
-    panes and only panes are multiplied, not events.
+    panes and only panes are multiplied, not events. The key is the start in
+    epoch seconds: a third of the width of a window struct in hash and shuffle.
     """
-    pane = F.window("event_time", f"{spec.pane_seconds} seconds")
-    panes = sales.groupBy(pane.alias("pane"), *SKU).agg(*sales_sums())
-    at = F.unix_seconds("pane.start")
-    newest = at - F.pmod(at, F.lit(spec.slide_seconds))
-    starts = F.array(*[newest - i * spec.slide_seconds for i in range(spec.overlap)])
-    spread = panes.select(
-        *SKU, "units", "amount", "lines", at.alias("at"), F.explode(starts).alias("start")
-    )
-    if spec.window_seconds % spec.slide_seconds:
-        spread = spread.filter(F.col("start") + spec.window_seconds > F.col("at"))
-    sums = spread.groupBy("start", *SKU).agg(*[F.sum(c).alias(c) for c in ("units", "amount", "lines")])
+    at = F.unix_seconds("event_time")
+    pane = at - F.pmod(at, F.lit(spec.pane_seconds))
+    timed = sales.filter(F.col("event_time").isNotNull())
+    sums = timed.groupBy(pane.alias("start"), *SKU).agg(*sales_sums())
+    if not spec.is_tumbling:
+        newest = F.col("start") - F.pmod("start", F.lit(spec.slide_seconds))
+        starts = F.array(*[newest - i * spec.slide_seconds for i in range(spec.overlap)])
+        spread = sums.withColumns({"pane": F.col("start"), "start": F.explode(starts)})
+        if spec.window_seconds % spec.slide_seconds:
+            spread = spread.filter(F.col("start") + spec.window_seconds > F.col("pane"))
+        merged = [F.sum(c).alias(c) for c in ("units", "amount", "lines")]
+        sums = spread.groupBy("start", *SKU).agg(*merged)
     return sums.withColumns(
         {
             "window_start": F.timestamp_seconds("start"),
@@ -35,23 +46,6 @@ def _pane_sums(sales: DataFrame, spec: WindowSpec) -> DataFrame:
     )
 
 
-def _direct_sums(sales: DataFrame, spec: WindowSpec) -> DataFrame:
-    window = F.window("event_time", spec.window, spec.slide).alias("window")
-    if sales.isStreaming:  # the watermark travels on the window column
-        sums = sales.groupBy(window, *SKU).agg(*sales_sums())
-        return sums.withColumns(
-            {"window_start": F.col("window.start"), "window_end": F.col("window.end")}
-        )
-    # The start alone is the shorter shuffle key; the end follows from it.
-    rows = sales.select(window, *SKU, "quantity", "unit_price")
-    sums = rows.groupBy(F.col("window.start").alias("window_start"), *SKU).agg(*sales_sums())
-    return sums.withColumn("window_end", _shifted("window_start", spec.window_seconds))
-
-
-def _shifted(name: str, seconds: int) -> Column:
-    return F.timestamp_micros(F.unix_micros(name) + seconds * 1_000_000)
-
-
 def window_sales(
     sales: DataFrame, spec: WindowSpec = DEFAULT_WINDOW, *, panes: bool = True
 ) -> DataFrame:
@@ -67,11 +61,9 @@ def window_sales(
     Windows overlap: totals over time need a tumbling spec or the raw events.
     """
     if sales.isStreaming:
-        sums = _direct_sums(sales.withWatermark("event_time", spec.watermark), spec)
-    elif panes and not spec.is_tumbling:
-        sums = _pane_sums(sales, spec)
+        sums = _window_sums(sales.withWatermark("event_time", spec.watermark), spec)
     else:
-        sums = _direct_sums(sales, spec)
+        sums = _pane_sums(sales, spec) if panes else _window_sums(sales, spec)
     rate = (F.col("units") * 60).cast("double") / F.lit(float(spec.window_seconds))
     return sums.select(
         *WINDOW,
@@ -115,7 +107,7 @@ def next_window_label(
         F.col("window_start").alias("at"), *carried, F.lit(None).cast("bigint").alias("next_units")
     )
     before = F.struct(
-        _shifted("window_start", -spec.window_seconds).alias("at"),
+        F.timestamp_seconds(F.unix_seconds("window_start") - spec.window_seconds).alias("at"),
         *[F.lit(None).cast(windows.schema[c].dataType).alias(c) for c in carried],
         F.col("total_units_sold").alias("next_units"),
     )
