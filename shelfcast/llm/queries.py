@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import neardup
-from .common import table
+from . import bpe, neardup, quality, risk, shards
+from .common import id_remainder, labelled, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +20,43 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_quality_ftrl(spark, sf_dir):
+    documents, fold = table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 5)
+    labels = table(spark, sf_dir, "labels")
+    sample = labelled(documents, labels, "quality", fold != 0, quality.PER_CLASS)
+    return quality.score(documents, quality.fit(sample), 0.3, fold == 0)
+
+
+def byte_bpe() -> tuple[bytes, str]:
+    """The model and the splitting pattern of the public byte-level vocabulary."""
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.sentencepiece_model(tokens), public_tokenizers.PATTERN
+
+
+@query
+def op3_byte_bpe(spark, sf_dir):
+    model, pattern = byte_bpe()
+    ids = bpe.encode(table(spark, sf_dir, "documents"), model, pattern)
+    return bpe.decode(ids, model, pattern).select(
+        "doc_id",
+        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op4_risk_controlled_rules(spark, sf_dir):
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return risk.judge(documents, labels)
+
+
+@query
+def op9_stratified_shards(spark, sf_dir):
+    return shards.assign_shards(table(spark, sf_dir, "documents"), 24)
+
+
 @query
 def op10_minhash_multi_index(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
