@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, neardup, quality, risk, shards
+from . import bpe, neardup, pii, quality, risk, shards, urls
 from .common import id_remainder, labelled, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,15 @@ def op1_quality_ftrl(spark, sf_dir):
     return quality.score(documents, quality.fit(sample), 0.3, fold == 0)
 
 
+SURROGATE_KEY = "shelfcast"
+
+
+@query
+def op2_pii_surrogates(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_pii(documents, SURROGATE_KEY)
+
+
 def byte_bpe() -> tuple[bytes, str]:
     """The model and the splitting pattern of the public byte-level vocabulary."""
     tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -52,6 +61,21 @@ def op4_risk_controlled_rules(spark, sf_dir):
     return risk.judge(documents, labels)
 
 
+URL_RULES = [
+    ("com/", urls.ALLOW),
+    ("example.com/en/", urls.BLOCK),
+    ("www.example.com/en/", urls.ALLOW),
+    ("net/es/", urls.BLOCK),
+    ("net/fr/", urls.BLOCK),
+]
+
+
+@query
+def op5_url_ngram_filter(spark, sf_dir):
+    model = urls.fit(urls.labelled_urls(spark))
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, model)
+
+
 @query
 def op9_stratified_shards(spark, sf_dir):
     return shards.assign_shards(table(spark, sf_dir, "documents"), 24)
