@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, neardup, pii, quality, risk, shards, urls
+from . import bpe, decontaminate, neardup, pii, quality, risk, shards, toxicity, urls
 from .common import id_remainder, labelled, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,28 @@ def op5_url_ngram_filter(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, model)
 
 
+@query
+def op6_decontaminate_wand(spark, sf_dir):
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    matched = decontaminate.matched_items(documents, benchmark)
+    return matched.where(F.size("items") > 0)
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model | None:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = id_remainder(F.col("doc_id"), 3)
+    return toxicity.fit(labelled(documents, labels, "toxic", fold != 1, toxicity.PER_CLASS))
+
+
+TOXIC = 0.7
+
+
+@query
+def op7_toxicity_string_kernel(spark, sf_dir):
+    documents, fold = table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 3)
+    return toxicity.score(documents, toxicity_model(spark, sf_dir), TOXIC, fold == 1)
+
+
 @query
 def op9_stratified_shards(spark, sf_dir):
     return shards.assign_shards(table(spark, sf_dir, "documents"), 24)
