@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -148,13 +148,17 @@ def _mapped(
     return frame.select(*keep, *([] if column in keep else [column])).mapInArrow(run, schema)
 
 
-def encode(documents: DataFrame, model: bytes, pattern: str, key: str = "doc_id") -> DataFrame:
-    """(key, ids): the packed ids of each whole text."""
-    return _mapped(documents, "text", "ids", model, pattern, lambda codec: codec.encode, [key])
+def encode(
+    documents: DataFrame, model: bytes, pattern: str, keep: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """The kept columns and ``ids``: the packed ids of each whole text."""
+    return _mapped(documents, "text", "ids", model, pattern, lambda codec: codec.encode, [*keep])
 
 
-def decode(encoded: DataFrame, model: bytes, pattern: str, key: str = "doc_id") -> DataFrame:
-    """(key, ids, decoded): the bytes that packed ids stand for."""
+def decode(
+    encoded: DataFrame, model: bytes, pattern: str, keep: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """The kept columns, ``ids``, and ``decoded``: the bytes that the ids stand for."""
     return _mapped(
-        encoded, "ids", "decoded", model, pattern, lambda codec: codec.decode, [key, "ids"]
+        encoded, "ids", "decoded", model, pattern, lambda codec: codec.decode, [*keep, "ids"]
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, neardup, pii, quality, risk, shards, toxicity, urls
+from . import bpe, decontaminate, neardup, pii, quality, risk, shards, toxicity, urls, warc
 from .common import id_remainder, labelled, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,8 +83,7 @@ def op6_decontaminate_wand(spark, sf_dir):
     return matched.where(F.size("items") > 0)
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model | None:
-    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.Model | None:
     fold = id_remainder(F.col("doc_id"), 3)
     return toxicity.fit(labelled(documents, labels, "toxic", fold != 1, toxicity.PER_CLASS))
 
@@ -95,7 +94,41 @@ TOXIC = 0.7
 @query
 def op7_toxicity_string_kernel(spark, sf_dir):
     documents, fold = table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 3)
-    return toxicity.score(documents, toxicity_model(spark, sf_dir), TOXIC, fold == 1)
+    model = toxicity_model(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, model, TOXIC, fold == 1)
+
+
+@query
+def op8_warc_dictionary(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+ORACLE["op8_warc_dictionary"] = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+last_ids AS (SELECT payload, max(page_id) AS last_id FROM payloads GROUP BY payload),
+hashed AS (
+    SELECT page_id, payload, last_id, sha1(payload) AS digest
+    FROM payloads JOIN last_ids USING (payload)
+)
+SELECT
+    page_id,
+    CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+    list_aggregate(
+        list_transform(
+            range(32),
+            lambda i: substr(
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST((CAST('0x' || substr(digest, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT)
+                    >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER) + 1,
+                1
+            )
+        ),
+        'string_agg', ''
+    ) AS payload_digest,
+    CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> last_id THEN last_id END AS refers_to
+FROM hashed
+"""
 
 
 @query
