@@ -38,7 +38,7 @@ LANDMARKS = 128
 SPAN, DISCOUNT = 6, 0.6
 WORD, STEP = 24, 12  # longer words are cut into pieces of WORD characters, STEP apart
 CODES = 64
-RIDGE = 0.01
+RIDGE = 0.001
 CACHED = 300_000
 _GAPS = [(i, i + j) for i in range(1, SPAN - 1) for j in range(1, SPAN - i)]
 _TABLE = CODES**3
