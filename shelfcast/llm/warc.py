@@ -76,13 +76,15 @@ def record(
 
 
 def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
-    """Trained on evenly spaced records; too few to train on are the dictionary themselves."""
+    """Trained on evenly spaced records, an eighth of them in size at most; too few to train
+    on are the dictionary themselves."""
     step = max(1, sum(min(len(r), SAMPLE_RECORD) for r in records) // SAMPLE_BYTES)
     samples = [r[:SAMPLE_RECORD] for r in records[::step]]
+    size = min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 8))
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=512, d=8)
+        return zstandard.train_dictionary(size, samples, k=512, d=8)
     except zstandard.ZstdError:
-        content = b"".join(samples)[-DICTIONARY_BYTES:].ljust(8, b"\0")
+        content = b"".join(samples)[-size:].ljust(8, b"\0")
         return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
