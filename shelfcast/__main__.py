@@ -14,15 +14,16 @@ Master, memory and storage settings come from the submitting command.
 from __future__ import annotations
 
 import argparse
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .config import ForestParams, WindowSpec
+from .constants import DEMAND_ROWS_MAX, TREND_DAYS
 from .operators import summary, trends
 from .operators.events import valid_sales
 from .operators.ordering import sort_decisions
-from .operators.stock import upsert_stock
+from .operators.stock import rejected_updates, upsert_stock
 from .plans.decisions import decision_table
 from .plans.health import demand_predictions, home_summary, reorder_list, sku_health
 from .plans.training import current_model, train_run
@@ -32,7 +33,7 @@ from .sinks.tables import (
 )
 from .sources.events import parse_events, read_event_lines
 from .sources.tables import (
-    latest_run, load_model, read_inventory, read_inventory_version, read_runs, read_sellers,
+    inventory_version, latest_run, load_model, read_inventory, read_inventory_version, read_runs, read_sellers,
     read_windowed,
 )
 from .streaming.jobs import ROW_TRIGGER, WINDOW_TRIGGER, start_validated, start_windowed
@@ -92,15 +93,16 @@ def reports(spark: SparkSession, args: argparse.Namespace) -> None:
     stored = read_windowed(spark, args.windows) if args.windows else None
     health = sku_health(_stock(spark, args.inventory), stored, model, _spec(args)).persist()
     run = latest_run(read_runs(spark, args.runs)) if args.runs else None
-    distribution = summary.risk_distribution(health)
-    series = trends.trend_scaffold(health, args.days)
     tables = {
         "health": health,
         **home_summary(health, run),
         "demand_predictions": demand_predictions(health, args.limit),
-        "trends": series,
-        "trend_kpis": trends.trend_kpis(series, distribution),
+        "trends": trends.trend_scaffold(health, args.days),
+        "trend_kpis": trends.trend_kpis(health, args.days),
     }
+    if stored is not None and _spec(args).is_tumbling:
+        daily = trends.daily_trend(stored, _stock(spark, args.inventory), _spec(args))
+        tables["daily_trend"] = daily
     if args.sellers:
         tables["reorder_list"] = reorder_list(health, read_sellers(spark, args.sellers))
     for name, rows in tables.items():
@@ -115,11 +117,22 @@ def train(spark: SparkSession, args: argparse.Namespace) -> None:
         label_mode=args.label, spec=_spec(args),
     )
     run.show(truncate=False)
+    failure = run.first()["error"]
+    if failure is not None:
+        raise SystemExit(f"training failed: {failure}")
 
 
 def update(spark: SparkSession, args: argparse.Namespace) -> None:
-    changes = spark.read.schema(STOCK_UPDATES).option("header", True).csv(args.updates)
-    write_inventory(upsert_stock(_stock(spark, args.inventory), changes), args.output)
+    """Refused corrections go to ``--rejected``; text in a number column fails the job."""
+    changes = (
+        spark.read.schema(STOCK_UPDATES).option("header", True).option("mode", "FAILFAST")
+        .csv(args.updates)
+    )
+    versioned = args.inventory.removeprefix("versions:")
+    parent = inventory_version(spark, versioned) if versioned == args.output else None
+    if args.rejected:
+        rejected_updates(changes).write.parquet(args.rejected)
+    write_inventory(upsert_stock(_stock(spark, args.inventory), changes), args.output, parent)
 
 
 def compact(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -128,6 +141,17 @@ def compact(spark: SparkSession, args: argparse.Namespace) -> None:
     )
 
 
+def _within(low: int, high: int) -> Callable[[str], int]:
+    """The bounds of a report's size, which the operators themselves don't have."""
+
+    def number(text: str) -> int:
+        if not low <= (value := int(text)) <= high:
+            raise argparse.ArgumentTypeError(f"must be within {low}..{high}")
+        return value
+
+    return number
+
+
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser("shelfcast", description="Retail demand and replenishment jobs")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -162,8 +186,8 @@ def _parser() -> argparse.ArgumentParser:
     sub = command(reports, "inventory", "output")
     for name in ("windows", "sellers", "models", "runs"):
         sub.add_argument(f"--{name}")
-    sub.add_argument("--days", type=int, default=7)
-    sub.add_argument("--limit", type=int, default=200)
+    sub.add_argument("--days", type=_within(*TREND_DAYS), default=7)
+    sub.add_argument("--limit", type=_within(1, DEMAND_ROWS_MAX), default=200)
     spec(sub)
 
     sub = command(train, "windows", "models", "runs")
@@ -172,7 +196,8 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_argument("--depth", type=int, default=ForestParams.depth)
     spec(sub)
 
-    command(update, "inventory", "updates", "output")
+    sub = command(update, "inventory", "updates", "output")
+    sub.add_argument("--rejected", help="where refused corrections and their reasons go")
 
     sub = command(compact, "windows", "output")
     sub.add_argument("--layout", choices=[*LAYOUTS], default="date")

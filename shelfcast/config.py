@@ -11,9 +11,18 @@ _UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week":
 
 
 def to_seconds(duration: str) -> int:
-    """``"5 minutes"`` -> 300."""
-    amount, unit = duration.split()
-    return int(amount) * _UNIT_SECONDS[unit.rstrip("s")]
+    """``"5 minutes"`` -> 300, ``"1 hour 30 minutes"`` -> 5400, ``"3000 milliseconds"`` -> 3.
+
+    Windows are cut in whole seconds; other durations are refused.
+    """
+    words = duration.removeprefix("interval ").split()
+    milliseconds = 0
+    for amount, unit in zip(words[::2], words[1::2], strict=True):
+        name = unit.lower().rstrip("s")
+        milliseconds += int(amount) * (1 if name == "millisecond" else 1000 * _UNIT_SECONDS[name])
+    if not words or milliseconds % 1000:
+        raise ValueError(f"{duration!r} is not a whole number of seconds")
+    return milliseconds // 1000
 
 
 @dataclass(frozen=True)

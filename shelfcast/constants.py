@@ -19,13 +19,11 @@ LABEL = "total_units_sold"
 # Risk tiers, actions and statuses.
 RISK_LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 AT_RISK = ("HIGH", "CRITICAL")
-STOCK_OUT_RISKS = ("HIGH", "MEDIUM", "LOW")
 ACTIONS = ("REORDER", "MONITOR", "NO_ACTION")
-REORDER_STATUSES = ("pending", "created", "confirmed", "failed")
-RUN_STATUSES = ("idle", "running", "success", "failed")
+IDLE, RUNNING, SUCCESS, FAILED = ("idle", "running", "success", "failed")
 ALL = "ALL"
 
-# Product-number range -> category, and base price range of each.
+# Product-number range -> category, and the highest base price of each.
 CATEGORY_RANGES = (
     (1, 10, "Rice"),
     (11, 20, "Snacks"),
@@ -34,14 +32,14 @@ CATEGORY_RANGES = (
     (41, 50, "Personal Care"),
 )
 OTHER_CATEGORY = "General"
-PRICE_RANGES = {
-    "Rice": (45.0, 120.0),
-    "Snacks": (10.0, 60.0),
-    "Beverages": (15.0, 80.0),
-    "Dairy": (25.0, 90.0),
-    "Personal Care": (30.0, 150.0),
+PRICE_CEILINGS = {
+    "Rice": 120.0,
+    "Snacks": 60.0,
+    "Beverages": 80.0,
+    "Dairy": 90.0,
+    "Personal Care": 150.0,
 }
-OTHER_PRICE_RANGE = (10.0, 100.0)
+OTHER_PRICE_CEILING = 100.0
 ANOMALY_PRICE_FACTOR = 2.0
 ANOMALY_QUANTITY = 10
 

@@ -2,25 +2,36 @@
 
 from pyspark.sql import Column, functions as F
 
-from .numbers import fixed_point, round2
+from .numbers import round2, total_of, whole_and_micros
 
-_AMOUNT_DECIMALS = 4
+# Amounts from here on are no sales; below it a group of nine lines or more still adds up.
+MAX_AMOUNT = 1e18
+SUMS = ("units", "amount", "micros", "lines")
 
 
-def sales_sums(*, wide: bool = False) -> list[Column]:
-    """Units, amount and line count; amounts add up as whole 1/10000, see ``exact_sum``.
-
-    A long holds 9e14 of money per group, plenty for a SKU's window; ``wide``
-    sums are for groups that may hold most of the data.
-    """
-    amount = fixed_point(F.col("quantity") * F.col("unit_price"), _AMOUNT_DECIMALS)
+def sales_sums() -> list[Column]:
+    """Units, amount (whole and millionths, see ``exact_sum``) and line count."""
+    whole, micros = whole_and_micros(F.col("quantity") * F.col("unit_price"))
     return [
         F.sum("quantity").alias("units"),
-        F.sum(amount.cast("decimal(20,0)") if wide else amount).alias("amount"),
+        F.try_sum(whole).alias("amount"),
+        F.sum(micros).alias("micros"),
         F.count("*").alias("lines"),
     ]
 
 
-def revenue(amount: Column) -> Column:
+def merged_sums() -> list[Column]:
+    """Sums of sums."""
+    return [(F.try_sum if name == "amount" else F.sum)(name).alias(name) for name in SUMS]
+
+
+def revenue() -> Column:
     """The summed amount as money with two decimals."""
-    return round2(amount.cast("double") / F.lit(float(10**_AMOUNT_DECIMALS)))
+    return round2(total_of(F.col("amount"), F.col("micros")))
+
+
+def sound_price() -> Column:
+    """A price above zero whose amount is finite and below ``MAX_AMOUNT``."""
+    price = F.col("unit_price")
+    amount = price * F.greatest(F.col("quantity"), F.lit(1))
+    return F.coalesce((price > 0) & (amount < MAX_AMOUNT), F.lit(False))

@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, functions as F
 
-from ..constants import CATEGORY_RANGES, OTHER_CATEGORY, OTHER_PRICE_RANGE, PRICE_RANGES
+from ..constants import CATEGORY_RANGES, OTHER_CATEGORY, OTHER_PRICE_CEILING, PRICE_CEILINGS
 
 
 def sku_key(store: Column, product: Column, sep: str = "-") -> Column:
@@ -35,9 +35,9 @@ def category_of(product: Column) -> Column:
 def price_ceiling(category: Column) -> Column:
     """Highest regular price of a category."""
     out = F
-    for name, (_, high) in PRICE_RANGES.items():
+    for name, high in PRICE_CEILINGS.items():
         out = out.when(category == name, F.lit(high))
-    return out.otherwise(F.lit(OTHER_PRICE_RANGE[1]))
+    return out.otherwise(F.lit(OTHER_PRICE_CEILING))
 
 
 def iso_date(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import METRICS, SKU
+from ..functions.numbers import exact_avg
 from .windows import latest_window
 
 
@@ -17,11 +18,11 @@ def sku_features(
     """
     if how == "latest":
         return latest_window(windows).select(*SKU, *METRICS)
-    fold = {"max": F.max, "avg": F.avg}[how]
+    fold = {"max": F.max, "avg": exact_avg}[how]
     kept = [*METRICS]
     if with_prediction and "prediction" in windows.columns:
         kept.append("prediction")
-    return windows.groupBy(*SKU).agg(*[fold(c).alias(c) for c in kept])
+    return windows.groupBy(*SKU).agg(*[fold(F.col(c)).alias(c) for c in kept])
 
 
 def join_demand(inventory: DataFrame, features: DataFrame, how: str = "inner") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..constants import ANOMALY_PRICE_FACTOR, ANOMALY_QUANTITY, SKU
 from ..functions.numbers import percent
-from ..functions.sales import revenue, sales_sums
+from ..functions.sales import revenue, sales_sums, sound_price
 from ..functions.text import category_of, price_ceiling
 from ..schemas import SALES_EVENT
 
@@ -20,21 +20,21 @@ def _unreadable() -> Column:
 
 
 def valid_sales(events: DataFrame) -> DataFrame:
-    """Price and quantity above zero; nulls are dropped with the rest."""
-    return events.filter((F.col("unit_price") > 0) & (F.col("quantity") > 0))
+    """Price and quantity above zero and a finite amount; nulls are dropped with the rest."""
+    return events.filter(sound_price() & (F.col("quantity") > 0))
 
 
 def rejected_sales(events: DataFrame, *, require_time: bool = True) -> DataFrame:
     """The rows that no window will count, with the first ``reason``.
 
-    ``bad_json``: no field could be read. ``bad_time`` rows pass
+    ``bad_json``: no field could be read, as from an empty object. ``bad_time`` rows pass
     :func:`valid_sales` but have no place in time; ``require_time=False``
     leaves them out, which gives the exact complement of :func:`valid_sales`.
     """
     reason = F.when(_unreadable(), "bad_json")
     if require_time:
         reason = reason.when(F.col("event_time").isNull(), "bad_time")
-    reason = reason.when(~_positive("unit_price"), "bad_price")
+    reason = reason.when(~sound_price(), "bad_price")
     reason = reason.when(~_positive("quantity"), "bad_quantity")
     return events.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
@@ -53,7 +53,7 @@ def _quality_counts() -> list[Column]:
         rows_where(F.col("unit_price") <= 0, "nonpositive_price"),
         rows_where(F.col("quantity").isNull(), "null_quantity"),
         rows_where(F.col("quantity") <= 0, "nonpositive_quantity"),
-        rows_where(_positive("unit_price") & _positive("quantity"), "valid"),
+        rows_where(sound_price() & _positive("quantity"), "valid"),
     ]
 
 
@@ -107,11 +107,11 @@ def category_sales(sales: DataFrame) -> DataFrame:
     return (
         with_category(sales)
         .groupBy("category")
-        .agg(*sales_sums(wide=True))
+        .agg(*sales_sums())
         .select(
             "category",
             F.col("units").alias("total_units_sold"),
-            revenue(F.col("amount")).alias("total_revenue"),
+            revenue().alias("total_revenue"),
             F.col("lines").alias("transaction_count"),
         )
     )

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..constants import ACTIONS, DEMAND_ROWS, DEMAND_ROWS_MAX, PAGE_SIZE, SKU, TOP_AT_RISK, TREND_DAYS
+from ..constants import ACTIONS, DEMAND_ROWS, PAGE_SIZE, SKU, TOP_AT_RISK
 from .filters import at_risk, for_store
 
 
@@ -35,8 +35,6 @@ def top_at_risk(health: DataFrame, n: int = TOP_AT_RISK) -> DataFrame:
 
 
 def first_rows(rows: DataFrame, limit: int = DEMAND_ROWS, keys: Sequence[str] = SKU) -> DataFrame:
-    if not 1 <= limit <= DEMAND_ROWS_MAX:
-        raise ValueError(f"limit must be within 1..{DEMAND_ROWS_MAX}")
     return rows.orderBy(*keys).limit(limit)
 
 
@@ -68,12 +66,13 @@ def page_count(rows: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
 
 
 def last_days(series: DataFrame, n: int = 7) -> DataFrame:
-    """The ``n`` calendar days that end at the last date."""
-    low, high = TREND_DAYS
-    if not low <= n <= high:
-        raise ValueError(f"days must be within {low}..{high}")
-    day = F.to_date("date")
-    return series.filter(day > F.date_sub(series.agg(F.max(day)).scalar(), n))
+    """The ``n`` calendar days that end at the last date; one row a day.
+
+    The ``n`` largest dates hold all of these days, so the series is planned once.
+    """
+    ends = Window.orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
+    largest = series.orderBy(F.desc("date")).limit(n).withColumn("last", F.first("date").over(ends))
+    return largest.filter(F.to_date("date") > F.date_sub(F.to_date("last"), n)).drop("last")
 
 
 def recent_windows(windows: DataFrame, store: str, n: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import (
     NEW_SKU_LEAD_TIME, SELLER_CONTACT_UNMAPPED, SELLER_NAME_UNMAPPED, SKU,
@@ -27,12 +27,36 @@ def with_sellers(skus: DataFrame, sellers: DataFrame) -> DataFrame:
     )
 
 
+def _judged_updates(updates: DataFrame) -> DataFrame:
+    """Ids without outer spaces, and why a correction is refused (null: it is not)."""
+    trimmed = updates.withColumns({name: F.trim(name) for name in SKU})
+
+    def lacks(name: str) -> Column:
+        return F.coalesce(F.length(name) == 0, F.lit(True))
+
+    reason = F.when(lacks("store_id"), "no_store").when(lacks("product_id"), "no_product")
+    sound = F.coalesce(F.col("current_stock") >= 0, F.lit(False))
+    return trimmed.withColumn("reason", reason.when(~sound, "bad_stock"))
+
+
 def valid_updates(updates: DataFrame) -> DataFrame:
-    """Both ids given and a stock of zero or more."""
-    return updates.filter(
-        (F.length(F.trim("store_id")) > 0)
-        & (F.length(F.trim("product_id")) > 0)
-        & (F.col("current_stock") >= 0)
+    """Both ids given, without outer spaces, and a stock of zero or more."""
+    return _judged_updates(updates).filter(F.col("reason").isNull()).drop("reason")
+
+
+def rejected_updates(updates: DataFrame) -> DataFrame:
+    """The other corrections, each with its first ``reason``."""
+    return _judged_updates(updates).filter(F.col("reason").isNotNull())
+
+
+def one_per_sku(inventory: DataFrame) -> DataFrame:
+    """A snapshot with one row per SKU.
+
+    Of repeated rows the lowest stock and the longest lead time stay: the cautious
+    reading, and the same for any order of rows.
+    """
+    return inventory.groupBy(*SKU).agg(
+        F.min("current_stock").alias("current_stock"), F.max("lead_time_days").alias("lead_time_days")
     )
 
 
@@ -43,16 +67,20 @@ def upsert_stock(
     """The snapshot after a batch of corrections, with a ``status`` per SKU.
 
     Of several corrections of one SKU the one with the highest ``order_by``
-    counts (of equals the highest stock). Known SKUs keep their lead time, new
-    ones get ``default_lead``. ``status`` is ``updated``, ``created`` or
-    ``unchanged``; drop it before the snapshot is written.
+    counts (of equals the highest stock; null comes first). Known SKUs keep their
+    lead time, new ones get ``default_lead``. ``status`` is ``updated``, ``created``
+    or ``unchanged``; drop it before the snapshot is written. The result has one row
+    per SKU, see :func:`one_per_sku`.
     """
-    last = (
-        valid_updates(updates)
-        .groupBy(*SKU)
-        .agg(F.max_by("current_stock", F.struct(order_by, "current_stock")).alias("new_stock"))
+    # Two hash aggregates: the highest stock of each moment, then the last moment.
+    moments = valid_updates(updates).groupBy(*SKU, order_by).agg(F.max("current_stock").alias("stock"))
+    dated = F.col(order_by).isNotNull()
+    last = moments.groupBy(*SKU).agg(
+        F.coalesce(
+            F.max_by("stock", order_by), F.max(F.when(~dated, F.col("stock")))
+        ).alias("new_stock")
     )
-    known = inventory.withColumn("known", F.lit(True))
+    known = one_per_sku(inventory).withColumn("known", F.lit(True))
     return known.join(last, [*SKU], "full").select(
         *SKU,
         F.coalesce("new_stock", "current_stock").alias("current_stock"),

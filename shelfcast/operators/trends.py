@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import StockPolicy, WindowSpec
-from ..constants import AT_RISK, SKU, TREND_BASE, TREND_DAYS, TREND_STEP
+from ..constants import AT_RISK, SKU, TREND_BASE, TREND_STEP
 from ..functions.numbers import exact_avg, exact_sum, round2
 from ..functions.policy import daily_demand_from_units, days_of_cover, risk_level
 from ..functions.text import date_spine, iso_date
@@ -21,23 +21,31 @@ def trend_scaffold(
     A display scaffold, not history: the value of a day is today's total times
     ``0.88 + 0.02 * (range_days - days ago)``. History is :func:`daily_trend`.
     """
-    low, high = TREND_DAYS
-    if not low <= range_days <= high:
-        raise ValueError(f"range_days must be within {low}..{high}")
+    if range_days < 1:
+        raise ValueError("range_days must be positive")
+    return _scaffold(health, range_days, as_of).drop("critical")
+
+
+def _scaffold(health: DataFrame, range_days: int, as_of: date | None) -> DataFrame:
+    """(date, series, value, critical) from one aggregate."""
     end = F.current_date() if as_of is None else F.lit(as_of)
     totals = health.agg(
         F.coalesce(exact_sum(F.col("actual_sales")), F.lit(0.0)).alias("sales_rate"),
         F.coalesce(exact_sum(F.col("predicted_daily_demand")), F.lit(0.0)).alias("demand_rate"),
         F.count_if(F.col("risk_level").isin(*AT_RISK)).cast("double").alias("reorder_rate"),
+        F.count_if(F.col("risk_level") == "CRITICAL").alias("critical"),
     )
     names = ("sales_rate", "demand_rate", "reorder_rate")
     series = F.array(*[F.struct(F.lit(n).alias("series"), F.col(n).alias("total")) for n in names])
-    days = totals.select(F.explode(date_spine(end, range_days)).alias("day"), series.alias("all"))
+    days = totals.select(
+        F.explode(date_spine(end, range_days)).alias("day"), series.alias("all"), "critical"
+    )
     factor = F.lit(TREND_BASE) + F.lit(TREND_STEP) * (range_days - F.date_diff(end, "day"))
-    return days.select("day", F.inline("all")).select(
+    return days.select("day", "critical", F.inline("all")).select(
         iso_date(F.col("day")).alias("date"),
         "series",
         round2(F.col("total") * factor).alias("value"),
+        "critical",
     )
 
 
@@ -81,20 +89,20 @@ def daily_trend(
     )
 
 
-def trend_kpis(series: DataFrame, distribution: DataFrame) -> DataFrame:
+def trend_kpis(health: DataFrame, range_days: int = 7, as_of: date | None = None) -> DataFrame:
     """Mean sales, mean demand, sum of reorders and the critical SKUs, in one row.
 
-    ``series`` has the columns (date, series, value) of :func:`trend_scaffold`,
-    ``distribution`` the tiers of ``risk_distribution``.
+    All of them are read off the one aggregate behind :func:`trend_scaffold`.
     """
     def of(name: str) -> Column:
         return F.when(F.col("series") == name, F.col("value"))
 
-    return series.agg(
+    return _scaffold(health, range_days, as_of).agg(
         F.coalesce(exact_avg(of("sales_rate")), F.lit(0.0)).alias("avg_daily_sales"),
         F.coalesce(exact_avg(of("demand_rate")), F.lit(0.0)).alias("avg_daily_demand"),
         F.coalesce(exact_sum(of("reorder_rate")), F.lit(0.0)).alias("reorder_events_count"),
-    ).withColumn("critical_sku_count", distribution.select("CRITICAL").scalar())
+        F.max("critical").alias("critical_sku_count"),
+    )
 
 
 def mover_trend(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..config import DEFAULT_WINDOW, WindowSpec
 from ..constants import METRICS, SKU, WINDOW
 from ..functions.numbers import round2
-from ..functions.sales import revenue, sales_sums
+from ..functions.sales import merged_sums, revenue, sales_sums
 
 
 def _window_sums(sales: DataFrame, spec: WindowSpec) -> DataFrame:
@@ -36,8 +36,7 @@ def _pane_sums(sales: DataFrame, spec: WindowSpec) -> DataFrame:
         spread = sums.withColumns({"pane": F.col("start"), "start": F.explode(starts)})
         if spec.window_seconds % spec.slide_seconds:
             spread = spread.filter(F.col("start") + spec.window_seconds > F.col("pane"))
-        merged = [F.sum(c).alias(c) for c in ("units", "amount", "lines")]
-        sums = spread.groupBy("start", *SKU).agg(*merged)
+        sums = spread.groupBy("start", *SKU).agg(*merged_sums())
     return sums.withColumns(
         {
             "window_start": F.timestamp_seconds("start"),
@@ -69,7 +68,7 @@ def window_sales(
         *WINDOW,
         *SKU,
         F.col("units").alias("total_units_sold"),
-        revenue(F.col("amount")).alias("total_revenue"),
+        revenue().alias("total_revenue"),
         round2(rate).alias("avg_units_per_minute"),
         F.col("lines").alias("transaction_count"),
     )

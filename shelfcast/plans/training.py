@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT_WINDOW, ForestParams, WindowSpec
-from ..constants import LABEL, MODEL_CURRENT, MODEL_NAME
+from ..constants import FAILED, LABEL, MODEL_CURRENT, MODEL_NAME, RUNNING, SUCCESS
 from ..functions.text import version_stamp
 from ..operators.filters import drop_null_features
 from ..operators.model import fit_demand_model, regression_metrics, score, split
@@ -60,24 +60,25 @@ def train_run(
 ) -> DataFrame:
     """Train, evaluate, store the model under its version and log the run.
 
-    A failed run logs the error and repeats the last good version and metrics.
-    The returned row is the logged record.
+    The run is logged as running first, so a killed one leaves a trace. A failed
+    run logs the error and repeats the last good version and metrics. The returned
+    row is the last logged record. A version has microseconds and is never stored
+    over another.
     """
     spark = windows.sparkSession
     before = latest_run(read_runs(spark, run_log)).first()
     now = datetime.now(timezone.utc)
+    kept = (before["last_run"], before["model_version"], before["rmse"], before["r2"], before["mae"])
+    append_run(spark.createDataFrame([(RUNNING, *kept, None, now)], RUNS), run_log)
     try:
         model, metrics = train(windows, params, label_mode=label_mode, spec=spec)
         found = metrics.first()
         version = spark.range(1).select(version_stamp(MODEL_NAME, F.lit(now))).first()[0]
         save_model(model, f"{model_root}/{version}")
-        record = ("success", now, version, found["rmse"], found["r2"], found["mae"], None, now)
+        record = (SUCCESS, now, version, found["rmse"], found["r2"], found["mae"], None)
     except Exception as error:  # any failure belongs in the log
-        record = (
-            "failed", before["last_run"], before["model_version"], before["rmse"],
-            before["r2"], before["mae"], str(error), now,
-        )
-    run = spark.createDataFrame([record], RUNS)
+        record = (FAILED, *kept, str(error))
+    run = spark.createDataFrame([(*record, datetime.now(timezone.utc))], RUNS)
     append_run(run, run_log)
     return run
 

@@ -66,4 +66,4 @@ RUNS = schema(
     "mae double, error string, recorded_at timestamp"
 )
 
-COMMITS = schema("version string, committed_at timestamp")
+COMMITS = schema("version string, parent string, committed_at timestamp")

@@ -10,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from ..constants import MODEL_CURRENT, SKU
+from ..constants import IDLE, MODEL_CURRENT, SKU
 from ..schemas import COMMITS, INVENTORY, RUNS, SELLERS, WINDOWED, extended
 
 def _is_missing(error: AnalysisException) -> bool:
@@ -55,10 +55,13 @@ def query_windowed(
             rows = rows.filter(F.col(name) == value)
     # Tables without the date layout hold no window_date: it reads as null.
     day = F.col("window_date")
+    # Spark cuts the dates itself, from the same literals and in the same zone as the writer.
     if since is not None:
-        rows = rows.filter((F.col("window_start") >= since) & (day.isNull() | (day >= since.date())))
+        first = F.lit(since)
+        rows = rows.filter((F.col("window_start") >= first) & (day.isNull() | (day >= F.to_date(first))))
     if until is not None:
-        rows = rows.filter((F.col("window_start") < until) & (day.isNull() | (day <= until.date())))
+        end = F.lit(until)
+        rows = rows.filter((F.col("window_start") < end) & (day.isNull() | (day <= F.to_date(end))))
     return rows.drop("window_date")
 
 
@@ -78,10 +81,20 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def inventory_version(spark: SparkSession, root: str) -> str | None:
+    """The last committed version under ``root``, if there is one."""
+    commits = spark.read.schema(COMMITS).option("recursiveFileLookup", True)
+    try:
+        return commits.parquet(f"{root}/commits").agg(F.max_by("version", "committed_at")).first()[0]
+    except AnalysisException as error:
+        if not _is_missing(error):
+            raise
+        return None
+
+
 def read_inventory_version(spark: SparkSession, root: str) -> DataFrame:
     """The last committed snapshot under ``root``."""
-    commits = spark.read.schema(COMMITS).parquet(f"{root}/commits")
-    version = commits.agg(F.max_by("version", "committed_at")).first()[0]
+    version = inventory_version(spark, root)
     return spark.read.schema(INVENTORY).parquet(f"{root}/data/version={version}")
 
 
@@ -129,7 +142,7 @@ def latest_run(runs: DataFrame) -> DataFrame:
     last = runs.agg(F.max_by(F.struct(*RUNS.fieldNames()), "recorded_at").alias("run"))
     return last.select("run.*").withColumns(
         {
-            "status": F.coalesce("status", F.lit("idle")),
+            "status": F.coalesce("status", F.lit(IDLE)),
             "model_version": F.coalesce("model_version", F.lit(MODEL_CURRENT)),
         }
     )

@@ -76,12 +76,18 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     sale["event_time"] = F.when(n % 83 == 2, "garbage").when(n % 71 != 5, stamp)
     sale["store_id"] = F.when(n % 101 != 6, sale["store_id"])
     sale["unit_price"] = F.when(n % 67 == 6, -sale["unit_price"]).otherwise(sale["unit_price"])
-    text = F.to_json(F.struct(*[c.alias(name) for name, c in sale.items()]))
+    whole = F.to_json(F.struct(*[c.alias(name) for name, c in sale.items()]))
+    rows = table(spark, sf_dir, "events").select("event_id", whole.alias("text"))
+    text = F.col("text")
     quoted = F.regexp_replace(text, r'"unit_price":([^,]+)', r'"unit_price":"$1"')
     halves = F.regexp_replace(text, r'"quantity":\d+', '"quantity":1.5')
     cut = F.substring(text, F.lit(1), F.length(text) - 9)
     line = F.when(n % 89 == 1, cut).when(n % 73 == 4, quoted).when(n % 79 == 3, halves)
-    return table(spark, sf_dir, "events").select(line.otherwise(text).alias("value"))
+    for modulus, rest, number in ((59, 8, "NaN"), (61, 9, "Infinity"), (53, 10, "1e400")):
+        strange = F.regexp_replace(text, r'"unit_price":[^,]+', f'"unit_price":{number}')
+        line = line.when(n % modulus == rest, strange)
+    line = line.when(n % 103 == 11, "{}").when(n % 107 == 12, '{"unit_price": 5}')
+    return rows.select(line.otherwise(text).alias("value"))
 
 
 def sales_li(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,10 +132,17 @@ def inventory_li(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stocked(sold.unionByName(listed).distinct())
 
 
+def repeated_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``inventory_li`` with the SKUs of home stores listed a second time, with more stock."""
+    stocked = inventory_li(spark, sf_dir)
+    again = stocked.withColumn("current_stock", F.col("current_stock") + 7)
+    return stocked.unionByName(again.filter(F.col("lead_time_days") == 2))
+
+
 def sellers_li(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seller for each SKU of ``sales_li`` whose supplier is in credit."""
+    """A seller for each SKU of ``sales_li``."""
     skus = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    supplier = table(spark, sf_dir, "supplier").filter(F.col("s_acctbal") > 0)
+    supplier = table(spark, sf_dir, "supplier")
     store, product = F.col("l_suppkey"), F.col("l_partkey")
     kind = (store + product) % 3
     return skus.join(supplier, store == F.col("s_suppkey")).select(
@@ -143,10 +156,11 @@ def sellers_li(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stock_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock counts made of ``orders``: repeated, new, blank and negative ones."""
+    """Stock counts made of ``orders``: repeated, new, padded, blank and negative ones."""
     priority = F.col("o_orderpriority")
     return table(spark, sf_dir, "orders").select(
-        store_id(F.col("o_orderkey") % 10).alias("store_id"),
+        F.concat(F.when(priority == "2-HIGH", "  ").otherwise(""), store_id(F.col("o_orderkey") % 10))
+        .alias("store_id"),
         F.when(priority == "5-LOW", F.lit("  "))
         .otherwise(product_id(F.col("o_custkey")))
         .alias("product_id"),

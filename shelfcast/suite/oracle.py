@@ -42,7 +42,7 @@ def windows(source: str, window: int, slide: int) -> str:
            make_timestamp((start + {window}) * 1000000) AS window_end,
            store_id, product_id,
            CAST(sum(quantity) AS BIGINT) AS total_units_sold,
-           {r2(exact('quantity * unit_price', 10000))} AS total_revenue,
+           {r2('sum(quantity * unit_price)')} AS total_revenue,
            {r2(f'CAST(sum(quantity) * 60 AS DOUBLE) / {window}')} AS avg_units_per_minute,
            count(*) AS transaction_count
     FROM (SELECT *, {first} AS start FROM {source}, range({-(-window // slide)}) t(i)
@@ -63,8 +63,15 @@ def _stocked(skus: str) -> str:
     FROM ({skus})"""
 
 
-def _health(inventory: str, source: str, window: int) -> str:
+# A fixed linear prediction in the place of a forest.
+LINEAR = """(coalesce(total_units_sold, 0) * CAST(2.5 AS DOUBLE)
+    + coalesce(transaction_count, 0) * CAST(0.25 AS DOUBLE) + 1)"""
+
+
+def _health(inventory: str, source: str, window: int, prediction: str | None = None) -> str:
     demand = r2(f"CAST(coalesce(total_units_sold, 0) * 86400 AS DOUBLE) / {window}")
+    if prediction:
+        demand = f"greatest({r2(f'{prediction} * (CAST(86400 AS DOUBLE) / {window})')}, {demand})"
     return f"""
     SELECT *, CASE WHEN days_of_cover <= 1 THEN 'CRITICAL' WHEN days_of_cover <= 2 THEN 'HIGH'
                    WHEN days_of_cover <= 4 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
@@ -77,7 +84,10 @@ def _health(inventory: str, source: str, window: int) -> str:
                 FROM {inventory} LEFT JOIN {source} USING (store_id, product_id)))"""
 
 
-def _decisions(inventory: str, source: str, window: int) -> str:
+def _decisions(inventory: str, source: str, window: int, prediction: str | None = None) -> str:
+    demand = f"CAST(total_units_sold * 86400 AS DOUBLE) / {window}"
+    if prediction:
+        demand = f"{prediction} * (CAST(86400 AS DOUBLE) / {window})"
     short = "predicted_daily_demand * (lead_time_days + 2) - current_stock"
     return f"""
     SELECT store_id, product_id, current_stock, predicted_daily_demand, stock_out_risk,
@@ -88,7 +98,7 @@ def _decisions(inventory: str, source: str, window: int) -> str:
     FROM (SELECT *, CASE WHEN current_stock < predicted_daily_demand * lead_time_days THEN 'HIGH'
                          WHEN current_stock < predicted_daily_demand * (lead_time_days + 1) THEN 'MEDIUM'
                          ELSE 'LOW' END AS stock_out_risk
-          FROM (SELECT *, {r2(f'CAST(total_units_sold * 86400 AS DOUBLE) / {window}')} AS predicted_daily_demand
+          FROM (SELECT *, {r2(demand)} AS predicted_daily_demand
                 FROM {inventory} JOIN {source} USING (store_id, product_id)))"""
 
 
@@ -145,6 +155,9 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
     SELECT CASE WHEN event_id % 89 = 1 THEN left(text, length(text) - 9)
         WHEN event_id % 73 = 4 THEN regexp_replace(text, '"unit_price":([^,]+)', '"unit_price":"\\1"')
         WHEN event_id % 79 = 3 THEN regexp_replace(text, '"quantity":\\d+', '"quantity":1.5')
+        WHEN event_id % 59 = 8 OR event_id % 61 = 9 OR event_id % 53 = 10
+            THEN regexp_replace(text, '"unit_price":[^,]+', '"unit_price":null')
+        WHEN event_id % 103 = 11 THEN '{}' WHEN event_id % 107 = 12 THEN '{"unit_price": 5}'
         ELSE text END AS value
     FROM texts"""),
     "parsed": (("lines",), """
@@ -187,9 +200,10 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
            CASE (store + product) % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'FALSE' ELSE ' True ' END
                AS auto_confirm_eligible
     FROM (SELECT DISTINCT l_suppkey AS store, l_partkey AS product FROM lineitem)
-    JOIN supplier ON store = s_suppkey WHERE s_acctbal > 0"""),
+    JOIN supplier ON store = s_suppkey"""),
     "updates": ((), f"""
-    SELECT {_id('STORE_', '(o_orderkey % 10)')} AS store_id,
+    SELECT CASE WHEN o_orderpriority = '2-HIGH' THEN '  ' ELSE '' END
+               || {_id('STORE_', '(o_orderkey % 10)')} AS store_id,
            CASE WHEN o_orderpriority = '5-LOW' THEN '  ' ELSE {_id('PROD_', 'o_custkey')} END AS product_id,
            CAST(CASE WHEN o_orderpriority = '1-URGENT' THEN -1
                 ELSE CAST(floor(o_totalprice) AS BIGINT) % 500 END AS INTEGER) AS current_stock,
@@ -201,16 +215,19 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
            CASE WHEN new_stock IS NULL THEN 'unchanged' WHEN current_stock IS NULL THEN 'created'
                 ELSE 'updated' END AS status
     FROM inventory_li FULL JOIN (
-        SELECT store_id, product_id, current_stock AS new_stock FROM updates
+        SELECT trim(store_id) AS store_id, trim(product_id) AS product_id, current_stock AS new_stock
+        FROM updates
         WHERE trim(product_id) <> '' AND trim(store_id) <> '' AND current_stock >= 0
-        QUALIFY row_number() OVER (PARTITION BY store_id, product_id
+        QUALIFY row_number() OVER (PARTITION BY trim(store_id), trim(product_id)
                                    ORDER BY updated_at DESC, current_stock DESC) = 1)
     USING (store_id, product_id)"""),
     "health": (("inventory", "sku_6h"), _health("inventory", "sku_6h", 21600)),
+    "health_model": (("inventory", "sku_6h"), _health("inventory", "sku_6h", 21600, LINEAR)),
     "health_li": (("inventory_li", "sku_1d"), _health("inventory_li", "sku_1d", 86400)),
     "idle": (("sku_1d",), "SELECT * FROM sku_1d WHERE false"),
     "health_idle": (("inventory_li", "idle"), _health("inventory_li", "idle", 86400)),
     "decided": (("inventory_li", "sku_1d"), _decisions("inventory_li", "sku_1d", 86400)),
+    "decided_model": (("inventory", "sku_6h"), _decisions("inventory", "sku_6h", 21600, LINEAR)),
     "decided_6h": (("inventory", "sku_6h"), _decisions("inventory", "sku_6h", 21600)),
     "decided_closed": (("inventory", "sku_closed"), _decisions("inventory", "sku_closed", 21600)),
     "reorders": (("health_li", "sellers_li"), """
@@ -229,9 +246,13 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
     "daily": (("win_1h",), _daily("win_1h", 3600)),
     "daily_li": (("win_1d",), _daily("win_1d", 86400)),
     "daily_predictions": (("daily",), """
-    SELECT store_id, product_id, strftime(day, '%Y-%m-%d') AS date, demand AS predicted_demand,
-           CASE WHEN units > 2 THEN CAST(units AS DOUBLE) END AS actual_demand
-    FROM daily"""),
+    SELECT s.store_id, s.product_id, strftime(s.day, '%Y-%m-%d') AS date, predicted_demand,
+           CAST(units AS DOUBLE) AS actual_demand
+    FROM (SELECT store_id, product_id, predicted_demand,
+                 CAST(unnest(generate_series(first_day, last_day, INTERVAL 1 DAY)) AS DATE) AS day
+          FROM (SELECT store_id, product_id, max(demand) AS predicted_demand, min(day) AS first_day,
+                       max(day) AS last_day
+                FROM daily GROUP BY store_id, product_id)) s LEFT JOIN daily USING (store_id, product_id, day)"""),
     "next_6h": (("win_6h",), """
     SELECT w.*, coalesce(n.total_units_sold, 0) AS next_units
     FROM win_6h w LEFT JOIN win_6h n ON n.store_id = w.store_id AND n.product_id = w.product_id
@@ -279,8 +300,12 @@ def _percent(part: str, whole: str) -> str:
 
 
 AT_RISK = "count(*) FILTER (risk_level IN ('HIGH', 'CRITICAL'))"
+UNREADABLE = """coalesce(store_id, product_id, category, payment_mode, CAST(event_time AS VARCHAR),
+    CAST(unit_price AS VARCHAR), CAST(quantity AS VARCHAR), CAST(is_anomaly AS VARCHAR)) IS NULL"""
 NOT_VALID = "coalesce(NOT ({} > 0), true)"
 DECIDED_COUNTS = "count(*) AS count FROM decided GROUP BY ALL"
+IS_TEST = """substr(md5(store_id || '|' || product_id || '|' ||
+                      CAST(epoch_us(window_start) // 1000000 AS VARCHAR)), 1, 4) < '3333'"""
 UPDATED_COLUMNS = "store_id, product_id, current_stock, lead_time_days"
 
 ORACLE: dict[str, str] = {
@@ -288,15 +313,15 @@ ORACLE: dict[str, str] = {
     "valid_sales": _all("parsed_valid"),
     "rejected_sales": _sql(f"""
     SELECT * FROM (
-        SELECT *, CASE WHEN coalesce(store_id, product_id, category, payment_mode) IS NULL THEN 'bad_json'
+        SELECT *, CASE WHEN {UNREADABLE} THEN 'bad_json'
                        WHEN event_time IS NULL THEN 'bad_time'
                        WHEN {NOT_VALID.format('unit_price')} THEN 'bad_price'
                        WHEN {NOT_VALID.format('quantity')} THEN 'bad_quantity' END AS reason
         FROM parsed)
     WHERE reason IS NOT NULL""", "parsed"),
-    "event_quality": _sql("""
+    "event_quality": _sql(f"""
     SELECT count(*) AS events,
-           count(*) FILTER (coalesce(store_id, product_id, category, payment_mode) IS NULL) AS unreadable,
+           count(*) FILTER ({UNREADABLE}) AS unreadable,
            count(*) - count(event_time) AS null_time, count(*) - count(store_id) AS null_store,
            count(*) - count(product_id) AS null_product, count(*) - count(unit_price) AS null_price,
            count(*) FILTER (unit_price <= 0) AS nonpositive_price,
@@ -316,7 +341,7 @@ ORACLE: dict[str, str] = {
           FROM flagged GROUP BY ALL)""", "flagged"),
     "category_sales": _sql(f"""
     SELECT category, CAST(sum(quantity) AS BIGINT) AS total_units_sold,
-           {r2(exact('quantity * unit_price', 10000))} AS total_revenue, count(*) AS transaction_count
+           {r2('sum(quantity * unit_price)')} AS total_revenue, count(*) AS transaction_count
     FROM valid GROUP BY category""", "valid"),
     "window_sales_5m_1m": _sql(windows("valid", 300, 60), "valid"),
     "window_sales_30s_10s": _sql(windows("valid", 30, 10), "valid"),
@@ -349,10 +374,30 @@ ORACLE: dict[str, str] = {
     "sku_health": _all("health"),
     "sku_health_li": _all("health_li"),
     "sku_health_no_demand": _all("health_idle"),
+    "sku_health_model": _all("health_model"),
+    "decision_table_model": _all("decided_model"),
+    "sku_features_prediction": _all("win_6h", f"store_id, product_id, {MAXIMA}, max({LINEAR}) AS prediction",
+        "GROUP BY ALL"),
+    "sku_features_avg": _all("win_6h", "store_id, product_id, "
+        + ", ".join(f"{mean(m)} AS {m}" for m in METRICS), "GROUP BY store_id, product_id"),
+    "rf_metrics": _sql(f"""
+    SELECT count(*) AS rows, true AS rmse_covers_mae, true AS has_error, true AS r2_below_one
+    FROM next_6h WHERE {IS_TEST}""", "next_6h"),
+    "rf_importances": f"""
+    SELECT '{",".join(sorted(METRICS))}' AS features, true AS shares, true AS sum_to_one""",
+    "rf_scored_health": _sql("""
+    SELECT 'success' AS status, count(*) AS skus, CAST(0 AS BIGINT) AS out_of_range,
+           CAST(0 AS BIGINT) AS below_rate, CAST(2 AS BIGINT) AS records
+    FROM inventory""", "inventory"),
     "decision_table_6h": _all("decided_6h"),
     "decision_table_li": _all("decided"),
     "decisions_by_priority": _all("decided_6h"),
     "inventory_upsert": _all("upserted"),
+    "rejected_updates": _all("updates", """trim(store_id) AS store_id, trim(product_id) AS product_id,
+           current_stock, updated_at,
+           CASE WHEN trim(store_id) = '' THEN 'no_store' WHEN trim(product_id) = '' THEN 'no_product'
+                ELSE 'bad_stock' END AS reason""", """
+    WHERE trim(store_id) = '' OR trim(product_id) = '' OR current_stock < 0"""),
     "repeated_skus": _sql("""
     SELECT store_id, product_id, count(*) AS copies FROM updates GROUP BY ALL HAVING count(*) > 1""",
         "updates"),
@@ -429,9 +474,7 @@ ORACLE: dict[str, str] = {
                  {r2("coalesce(sum(units) FILTER (day > DATE '2024-01-21'), 0) / 7")} AS avg_daily_sales,
                  {r2("coalesce(sum(units) FILTER (day <= DATE '2024-01-21'), 0) / 7")} AS previous_daily_sales
           FROM daily WHERE day > DATE '2024-01-14' AND day <= DATE '2024-01-28' GROUP BY ALL)""", "daily"),
-    "train_test_split": _all("win_6h", """window_start, store_id, product_id,
-           substr(md5(store_id || '|' || product_id || '|' ||
-                      CAST(epoch_us(window_start) // 1000000 AS VARCHAR)), 1, 4) < '3333' AS is_test"""),
+    "train_test_split": _all("win_6h", f"window_start, store_id, product_id, {IS_TEST} AS is_test"),
     "metric_aggregates": _sql("""
     SELECT store_id, rows, floor(sqrt(squared) * 1000000 + 0.5) / 1000000 AS rmse,
            floor((1 - squared / variance) * 1000000 + 0.5) / 1000000 AS r2,
@@ -443,6 +486,9 @@ ORACLE: dict[str, str] = {
     "partitioned_scan": _all("win_1h", rest="""
     WHERE store_id = 'STORE_003' AND window_start >= TIMESTAMP '2024-01-05'
       AND window_start < TIMESTAMP '2024-01-20'"""),
+    "partitioned_scan_offsets": _all("win_1h", rest="""
+    WHERE window_start >= TIMESTAMP '2024-01-04 18:30:00'
+      AND window_start < TIMESTAMP '2024-01-20 01:00:00'"""),
     "sku_directory_lookup": _sql(f"""
     SELECT * FROM ({windows('valid', 86400, 86400)})
     WHERE store_id = 'STORE_003' AND product_id = 'PROD_015'""", "valid"),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT_WINDOW, DEMO_WINDOW, WindowSpec
@@ -25,7 +27,8 @@ from ..sinks.tables import (
 )
 from ..sources.events import parse_events, read_event_lines
 from ..sources.tables import (
-    query_windowed, read_inventory, read_inventory_version, read_sellers, read_windowed,
+    inventory_version as stored_version, query_windowed, read_inventory, read_inventory_version,
+    read_runs, read_sellers, read_windowed,
     register_windowed, stream_windowed,
 )
 from ..schemas import DECISIONS
@@ -244,7 +247,12 @@ def decisions_by_priority(spark, sf_dir):
 
 @query
 def inventory_upsert(spark, sf_dir):
-    return stock.upsert_stock(fx.inventory_li(spark, sf_dir), fx.stock_updates(spark, sf_dir))
+    return stock.upsert_stock(fx.repeated_stock(spark, sf_dir), fx.stock_updates(spark, sf_dir))
+
+
+@query
+def rejected_updates(spark, sf_dir):
+    return stock.rejected_updates(fx.stock_updates(spark, sf_dir))
 
 
 @query
@@ -252,6 +260,35 @@ def repeated_skus(spark, sf_dir):
     return stock.repeated_skus(fx.stock_updates(spark, sf_dir))
 
 
+def _linear_model() -> PipelineModel:
+    """A fixed prediction from the metrics, in the place of a forest."""
+    formula = "SELECT *, total_units_sold * 2.5D + transaction_count * 0.25D + 1D AS prediction FROM __THIS__"
+    return PipelineModel([SQLTransformer(statement=formula)])
+
+
+@query
+def sku_health_model(spark, sf_dir):
+    windows = _windows(spark, sf_dir)
+    return health_plan(fx.inventory(spark, sf_dir), windows, _linear_model(), SIX_HOURS)
+
+
+@query
+def decision_table_model(spark, sf_dir):
+    windows = _windows(spark, sf_dir)
+    return decision_table(fx.inventory(spark, sf_dir), windows, _linear_model(), SIX_HOURS)
+
+
+@query
+def sku_features_prediction(spark, sf_dir):
+    scored = ml.score(_windows(spark, sf_dir), _linear_model())
+    return sku_features(scored, with_prediction=True)
+
+
+@query
+def sku_features_avg(spark, sf_dir):
+    return sku_features(_windows(spark, sf_dir), "avg")
+
+
 # --- decision summaries ---------------------------------------------------
 
 
@@ -385,9 +422,7 @@ def trend_scaffold(spark, sf_dir):
 
 @query
 def trend_kpis(spark, sf_dir):
-    health = _health(spark, sf_dir)
-    series = trends.trend_scaffold(health, 7, AS_OF_DAY)
-    return trends.trend_kpis(series, summary.risk_distribution(health))
+    return trends.trend_kpis(_health(spark, sf_dir), 7, AS_OF_DAY)
 
 
 @query
@@ -403,13 +438,20 @@ def daily_trend_last_days(spark, sf_dir):
 
 
 def _daily_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One prediction per (day, SKU); the actual of slow days is unknown."""
+    """A prediction for each SKU and day from its first to its last sale; days without a
+    sale have no actual."""
     daily = trends.daily_skus(_windows(spark, sf_dir, HOUR), HOUR)
-    return daily.select(
+    predicted = daily.groupBy(*SKU).agg(
+        F.max("demand").alias("predicted_demand"),
+        F.min("day").alias("first"),
+        F.max("day").alias("last"),
+    )
+    days = predicted.withColumn("day", F.explode(F.sequence("first", "last")))
+    return days.join(daily.select(*SKU, "day", "units"), [*SKU, "day"], "left").select(
         *SKU,
         F.date_format("day", "yyyy-MM-dd").alias("date"),
-        F.col("demand").alias("predicted_demand"),
-        F.when(F.col("units") > 2, F.col("units").cast("double")).alias("actual_demand"),
+        "predicted_demand",
+        F.col("units").cast("double").alias("actual_demand"),
     )
 
 
@@ -449,27 +491,49 @@ def metric_aggregates(spark, sf_dir):
 
 @query
 def rf_metrics(spark, sf_dir):
-    root = scratch(spark, "rf")
-    run = train_run(
-        _windows(spark, sf_dir), f"{root}/models", f"{root}/runs",
-        label_mode="next_window", spec=SIX_HOURS,
+    """Facts of a forest's evaluation; its numbers depend on the partitioning."""
+    _, metrics = train(_windows(spark, sf_dir), label_mode="next_window", spec=SIX_HOURS)
+    return metrics.select(
+        "rows",
+        (F.col("rmse") >= F.col("mae")).alias("rmse_covers_mae"),
+        (F.col("mae") > 0).alias("has_error"),
+        (F.col("r2") < 1).alias("r2_below_one"),
     )
-    return run.select("status", "model_version", "rmse", "r2", "mae", "error")
 
 
 @query
 def rf_importances(spark, sf_dir):
     model, _ = train(_windows(spark, sf_dir), spec=SIX_HOURS)
-    return ml.importances(model)
+    share = F.col("importance")
+    return ml.importances(model).agg(
+        F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("features"),
+        F.every(share.between(0, 1)).alias("shares"),
+        (F.abs(F.sum(share) - 1) < 1e-9).alias("sum_to_one"),
+    )
 
 
 @query
 def rf_scored_health(spark, sf_dir):
+    """Facts of a stored forest, loaded again, in the health plan."""
     root = scratch(spark, "rf")
-    windows = _windows(spark, sf_dir)
-    train_run(windows, f"{root}/models", f"{root}/runs", spec=SIX_HOURS)
+    windows, inventory = _windows(spark, sf_dir), fx.inventory(spark, sf_dir)
+    run = train_run(windows, f"{root}/models", f"{root}/runs", spec=SIX_HOURS).first()
     model = current_model(spark, f"{root}/models", f"{root}/runs")
-    return health_plan(fx.inventory(spark, sf_dir), windows, model, SIX_HOURS)
+    units = F.col("total_units_sold")
+    low, high = windows.agg(F.min(units), F.max(units)).first()
+    beyond = ~F.col("prediction").between(low, high)
+    out_of_range = ml.score(windows, model).filter(beyond).count()
+    health = health_plan(inventory, windows, model, SIX_HOURS)
+    rate = health_plan(inventory, windows, None, SIX_HOURS)
+    rate = rate.select(*SKU, F.col("predicted_daily_demand").alias("rate"))
+    below = F.count_if(F.col("predicted_daily_demand") < F.col("rate"))
+    return health.join(rate, [*SKU]).agg(
+        F.lit(run["status"]).alias("status"),
+        F.count("*").alias("skus"),
+        F.lit(out_of_range).cast("bigint").alias("out_of_range"),
+        below.alias("below_rate"),
+        F.lit(read_runs(spark, f"{root}/runs").count()).cast("bigint").alias("records"),
+    )
 
 
 # --- stored tables --------------------------------------------------------
@@ -485,6 +549,17 @@ def partitioned_scan(spark, sf_dir):
     )
 
 
+@query
+def partitioned_scan_offsets(spark, sf_dir):
+    """Bounds in other zones than the session's."""
+    path = scratch(spark, "windows")
+    write_windowed(_windows(spark, sf_dir, HOUR), path)
+    east, west = timezone(timedelta(hours=5, minutes=30)), timezone(timedelta(hours=-5))
+    return query_windowed(
+        spark, path, since=datetime(2024, 1, 5, tzinfo=east), until=datetime(2024, 1, 19, 20, tzinfo=west)
+    )
+
+
 @query
 def sku_directory_lookup(spark, sf_dir):
     path = scratch(spark, "windows")
@@ -532,7 +607,8 @@ def inventory_version(spark, sf_dir):
     root = scratch(spark, "inventory")
     write_inventory(fx.inventory_li(spark, sf_dir), root)
     stocked = read_inventory_version(spark, root)
-    write_inventory(stock.upsert_stock(stocked, fx.stock_updates(spark, sf_dir)), root)
+    changed = stock.upsert_stock(stocked, fx.stock_updates(spark, sf_dir))
+    write_inventory(changed, root, parent=stored_version(spark, root))
     return read_inventory_version(spark, root)
 
 

@@ -2,10 +2,12 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
+from shelfcast.suite.oracle import ORACLE
+from shelfcast.suite.queries import QUERIES as SUITE
 from tests.compare import difference
 
-ORACLE, QUERIES = oracle_sql(), queries()
+QUERIES = queries()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -13,8 +15,8 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     assert difference(QUERIES[name](spark, sf_dir), duck, ORACLE[name]) is None
 
 
-def test_only_model_queries_lack_sql():
-    assert set(QUERIES) - set(ORACLE) == {"rf_metrics", "rf_importances", "rf_scored_health"}
+def test_every_query_has_sql():
+    assert set(SUITE) == set(ORACLE)
 
 
 def test_entry_ranks_every_stocked_sku(spark, sf_dir):

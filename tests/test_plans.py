@@ -5,6 +5,7 @@ import re
 import pytest
 
 from __spark_entry__ import queries
+from shelfcast.suite.queries import QUERIES as SUITE
 from shelfcast.config import WindowSpec
 from shelfcast.operators.demand import sku_features
 from shelfcast.operators.windows import latest_window, window_sales
@@ -13,7 +14,7 @@ from shelfcast.operators.events import valid_sales
 from shelfcast.suite import fixtures as fx
 
 WRITING = ("rf_", "stream_", "partitioned_", "windowed_", "csv_", "inventory_version", "reorder_export")
-LAZY = sorted(n for n in queries() if not n.startswith(WRITING))
+LAZY = sorted(n for n in SUITE if not n.startswith(WRITING))
 
 
 def plan(frame) -> str:

@@ -8,11 +8,15 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from shelfcast.operators.demand import join_demand, sku_features
-from shelfcast.operators.stock import repeated_skus, upsert_stock, valid_updates, with_sellers
+from shelfcast.operators.stock import (
+    rejected_updates, repeated_skus, upsert_stock, valid_updates, with_sellers,
+)
 from shelfcast.plans.health import reorder_list, sku_health
 from shelfcast.schemas import INVENTORY, SELLERS, SKU_FEATURES, STOCK_UPDATES, WINDOWED
 from shelfcast.sinks.tables import export_reorders, write_inventory, write_inventory_csv
-from shelfcast.sources.tables import read_inventory, read_inventory_version, read_sellers
+from shelfcast.sources.tables import (
+    inventory_version, read_inventory, read_inventory_version, read_sellers,
+)
 
 T = [datetime(2024, 3, 1, h, tzinfo=timezone.utc) for h in range(5)]
 
@@ -30,7 +34,7 @@ def updates(spark):
         [
             ("S1", "P1", 11, T[1]), ("S1", "P1", 12, T[3]), ("S1", "P1", 13, T[2]),
             ("S9", "P9", 5, T[0]), ("S9", "P9", 7, T[0]),
-            (" ", "P1", 1, T[0]), ("S1", "", 1, T[0]), (None, "P1", 1, T[0]),
+            (" ", "P1", 1, T[0]), ("S1", "", 1, T[0]), (None, "P1", 1, T[0]), (" S1 ", "P1 ", 3, T[0]),
             ("S1", "P2", -1, T[4]), ("S2", "P1", 0, T[0]), ("S2", "P1", None, T[4]),
         ],
         STOCK_UPDATES,
@@ -48,7 +52,27 @@ def test_upsert(stock, updates):
         ("S2", "P1", 0, 3, "updated"),
         ("S9", "P9", 7, 3, "created"),
     ]
-    assert valid_updates(updates).count() == 6
+    assert valid_updates(updates).count() == 7
+    reasons = [r.reason for r in rejected_updates(updates).collect()]
+    assert sorted(reasons) == ["bad_stock", "bad_stock", "no_product", "no_store", "no_store"]
+
+
+def test_upsert_leaves_one_row_per_sku(spark, stock):
+    twice = stock.unionByName(stock.withColumn("current_stock", F.col("current_stock") - 1))
+    none = spark.createDataFrame([], STOCK_UPDATES)
+    after = upsert_stock(twice, none)
+    assert rows(after.select("product_id", "current_stock")) == [("P1", 9), ("P1", 29), ("P2", 19)]
+    undated = spark.createDataFrame([("S1", "P1", 4, None), ("S1", "P1", 6, None)], STOCK_UPDATES)
+    assert ("S1", "P1", 6, 2, "updated") in rows(upsert_stock(stock, undated))
+
+
+def test_a_snapshot_that_misses_another_is_refused(spark, stock, path):
+    first = write_inventory(stock, path)
+    second = write_inventory(stock.limit(2), path, parent=first)
+    assert inventory_version(spark, path) == second
+    with pytest.raises(ValueError, match="another snapshot"):
+        write_inventory(stock.limit(1), path, parent=first)
+    assert read_inventory_version(spark, path).count() == 2
 
 
 def test_upsert_twice_changes_nothing_more(stock, updates):
