@@ -56,6 +56,10 @@ SKU_FEATURES = schema(
     "avg_units_per_minute double, transaction_count bigint"
 )
 
+# What a SKU was last decided on.
+DECIDED_ON = extended(INVENTORY, "total_units_sold bigint, total_revenue double, "
+                      "avg_units_per_minute double, transaction_count bigint")
+
 DECISIONS = schema(
     "store_id string, product_id string, current_stock int, predicted_daily_demand double, "
     "stock_out_risk string, recommended_reorder_quantity double, action string"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
@@ -10,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import SKU
 from ..operators.filters import by_action
-from ..schemas import INVENTORY, RUNS
-from ..sources.tables import inventory_version, read_windowed
+from ..schemas import INVENTORY, RUNS, WINDOWED, extended
+from ..sources.tables import compacted_dates, inventory_version, read_windowed
 
 # Layouts of the windowed table. One directory per SKU suits a few hundred SKUs
 # and lookups by path; by date the number of directories does not grow with the
@@ -54,6 +55,32 @@ def compact_windowed(
     write_windowed(read_windowed(spark, source), target, layout, partitions=partitions, mode="error")
 
 
+def compact_closed(
+    spark: SparkSession, source: str, target: str, before: date, *, partitions: int | None = None
+) -> list[date]:
+    """Rewrite the dates before ``before`` that are not compacted yet; returns them.
+
+    Only dates without windows still to come should be compacted. A date is moved once
+    and committed after its files are complete; ``read_compacted`` reads both tables.
+    """
+    done = compacted_dates(spark, target)
+    rows = read_windowed(spark, source, extended(WINDOWED, "window_date date"))
+    rows = rows.filter(F.col("window_date") < F.lit(before))
+    rows = rows.filter(~F.col("window_date").isin(done)) if done else rows
+    days = sorted(row[0] for row in rows.select("window_date").distinct().collect())
+    if not days:
+        return []
+    # Files of an attempt that was not committed are replaced date by date.
+    order = ["window_date", *SKU, "window_start"]
+    ranged = rows.repartitionByRange(*([partitions] if partitions else []), *order)
+    ranged.sortWithinPartitions(*order).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("window_date").parquet(f"{target}/data")
+    committed = spark.createDataFrame([(day,) for day in days], "window_date date")
+    committed.coalesce(1).write.mode("append").parquet(f"{target}/commits")
+    return days
+
+
 def write_inventory(inventory: DataFrame, root: str, parent: str | None = None) -> str:
     """Store a new snapshot under ``root`` and commit it; returns its version.
 

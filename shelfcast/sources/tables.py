@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -11,25 +11,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..constants import IDLE, MODEL_CURRENT, SKU
-from ..schemas import COMMITS, INVENTORY, RUNS, SELLERS, WINDOWED, extended
+from ..schemas import COMMITS, INVENTORY, RUNS, SELLERS, WINDOWED, extended, schema
 
 def _is_missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
 def read_windowed(
-    spark: SparkSession, path: str, schema: StructType | None = WINDOWED,
+    spark: SparkSession, path: str, columns: StructType | None = WINDOWED,
     *, merge_schema: bool = False,
 ) -> DataFrame:
     """The whole windowed table from its root.
 
     Reading the root honours the streaming sink's commit log. The fixed schema
     spares the footer pass over all files and keeps ids text when they are
-    partition directories; ``schema=None`` discovers it, with ``merge_schema``
+    partition directories; ``columns=None`` discovers it, with ``merge_schema``
     over files of different age.
     """
-    if schema is not None:
-        return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+    if columns is not None:
+        return spark.read.schema(columns).parquet(path).select(*columns.fieldNames())
     rows = spark.read.option("mergeSchema", merge_schema).parquet(path)
     return rows.withColumns({k: F.col(k).cast("string") for k in SKU})
 
@@ -40,6 +40,29 @@ def stream_windowed(spark: SparkSession, path: str, **options: str) -> DataFrame
     return reader.parquet(path).select(*WINDOWED.fieldNames())
 
 
+def read_compacted(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """A windowed table and the closed dates that ``compact_closed`` moved to ``target``."""
+    done = compacted_dates(spark, target)
+    live = read_windowed(spark, source, extended(WINDOWED, "window_date date"))
+    live = live.filter(~F.col("window_date").isin(done)) if done else live
+    rows = live.drop("window_date")
+    if not done:
+        return rows
+    closed = [f"{target}/data/window_date={day}" for day in done]
+    return rows.unionByName(spark.read.schema(WINDOWED).parquet(*closed))
+
+
+def compacted_dates(spark: SparkSession, target: str) -> list[date]:
+    """The dates that have been compacted; a row a date."""
+    try:
+        days = spark.read.schema(schema("window_date date")).parquet(f"{target}/commits")
+    except AnalysisException as error:
+        if not _is_missing(error):
+            raise
+        return []
+    return sorted(row[0] for row in days.distinct().collect())
+
+
 def query_windowed(
     spark: SparkSession, path: str, store: str | None = None, product: str | None = None,
     since: datetime | None = None, until: datetime | None = None,
@@ -94,7 +117,10 @@ def inventory_version(spark: SparkSession, root: str) -> str | None:
 
 def read_inventory_version(spark: SparkSession, root: str) -> DataFrame:
     """The last committed snapshot under ``root``."""
-    version = inventory_version(spark, root)
+    return read_inventory_snapshot(spark, root, inventory_version(spark, root))
+
+
+def read_inventory_snapshot(spark: SparkSession, root: str, version: str | None) -> DataFrame:
     return spark.read.schema(INVENTORY).parquet(f"{root}/data/version={version}")
 
 

@@ -13,7 +13,6 @@ from collections.abc import Callable
 from pyspark.ml import Transformer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.types import StructType
 
 from ..config import DEFAULT_WINDOW, StockPolicy, WindowSpec
 from ..constants import METRICS, SKU, WINDOW
@@ -21,13 +20,15 @@ from ..operators.demand import join_demand, sku_features
 from ..operators.events import valid_sales
 from ..operators.windows import window_sales
 from ..plans.decisions import decisions_of
-from ..schemas import DECISIONS, WINDOWED, extended
+from ..schemas import DECIDED_ON, DECISIONS, WINDOWED
 from ..sinks.tables import BY_DATE
 from ..sources.events import parse_events
+from ..sources.tables import inventory_version, read_inventory_snapshot
+from .live import FOLD_EVERY, claimed, key_range, live_writer, read_live
 
 WINDOW_TRIGGER = "5 seconds"
 ROW_TRIGGER = "2 seconds"
-BATCH = "batch_id"
+STOCK = ("current_stock", "lead_time_days")
 
 
 def _triggered(writer: DataStreamWriter, every: str | None) -> DataStreamWriter:
@@ -67,74 +68,89 @@ def start_console(rows: DataFrame, mode: str = "append", every: str | None = ROW
 def start_windowed(
     sales: DataFrame, path: str, checkpoint: str, spec: WindowSpec = DEFAULT_WINDOW, *,
     mode: str = "append", every: str | None = WINDOW_TRIGGER, layout: tuple[str, ...] = BY_DATE,
+    files_per_date: int = 1, fold_every: int = FOLD_EVERY,
 ) -> StreamingQuery:
     """Valid sales to windowed aggregates.
 
-    ``append`` writes a window once, after the watermark has passed its end;
-    the file sink's log makes that exactly-once. ``update`` writes every
-    changed window of a micro-batch to the directory of its batch, which a
-    replay overwrites; :func:`read_live_windows` shows the current state.
+    ``append`` writes a window once, after the watermark has passed its end; the file
+    sink's log makes that exactly-once. With the date layout a trigger writes at most
+    ``files_per_date`` files for each date it touches, not one from each state partition.
+    ``update`` keeps the current state of every window, see ``live``;
+    :func:`read_live_windows` shows it.
     """
     windows = window_sales(sales, spec)
     if mode == "append":
         if "window_date" in layout:
             windows = windows.withColumn("window_date", F.to_date("window_start"))
+            share = F.pmod(F.xxhash64(*SKU), F.lit(files_per_date))
+            windows = windows.repartition("window_date", share)
         return _start(windows, path, checkpoint, every, layout)
     if mode == "update":
-        return _per_batch(windows, "update", checkpoint, every, _batch_log(path))
+        part = F.date_format("window_start", "yyyy-MM-dd")
+        step = live_writer(path, WINDOWED, (*WINDOW, *SKU), part, fold_every)
+        return _per_batch(windows, checkpoint, every, step, path)
     raise ValueError(f"unknown output mode {mode!r}")
 
 
-def _batch_log(path: str) -> Callable[[DataFrame, int], None]:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
-
-    return write
-
-
 def _per_batch(
-    rows: DataFrame, mode: str, checkpoint: str, every: str | None,
-    step: Callable[[DataFrame, int], None],
+    rows: DataFrame, checkpoint: str, every: str | None,
+    step: Callable[[DataFrame, int], None], path: str,
 ) -> StreamingQuery:
-    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-    return _triggered(writer.foreachBatch(step), every).start()
-
-
-def _read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(extended(schema, f"{BATCH} bigint")).parquet(path)
+    writer = rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    start = _triggered(writer.foreachBatch(step), every).start
+    return claimed(rows.sparkSession, path, checkpoint, start)
 
 
 def read_live_windows(spark: SparkSession, path: str) -> DataFrame:
     """Every window as its last update left it."""
-    newest = [F.max_by(c, BATCH).alias(c) for c in METRICS]
-    return _read_log(spark, path, WINDOWED).groupBy(*WINDOW, *SKU).agg(*newest)
+    return read_live(spark, path, WINDOWED, (*WINDOW, *SKU))
 
 
 def start_decisions(
-    windows: DataFrame, inventory: DataFrame, path: str, checkpoint: str,
+    windows: DataFrame, inventory: DataFrame | str, path: str, checkpoint: str,
     model: Transformer | None = None, spec: WindowSpec = DEFAULT_WINDOW, *,
     policy: StockPolicy = StockPolicy(), every: str | None = WINDOW_TRIGGER,
+    fold_every: int = FOLD_EVERY,
 ) -> StreamingQuery:
     """Stored windows, read as a stream, to decisions of the SKUs that changed.
 
     The state store holds the metric maxima of each SKU, so a micro-batch costs
-    what changed and not the history; it grows with the catalogue. Every batch
-    writes to a directory of its own, which a replay overwrites;
-    :func:`read_decisions` shows the last decision of each SKU. ``windows``
-    comes from ``stream_windowed``: a stream cannot aggregate its own
-    aggregates in update mode.
+    what changed and not the history; it grows with the catalogue. ``inventory`` is a
+    fixed table or the root of versioned snapshots (``write_inventory``): then every
+    batch decides on the last committed one, and where that is a new one, the SKUs whose
+    stock differs from the one they were decided on are decided again.
+    :func:`read_decisions` shows the last decision of each SKU. ``windows`` comes from
+    ``stream_windowed``: a stream cannot aggregate its own aggregates in update mode.
     """
-    write = _batch_log(path)
+    part = key_range(*SKU)
+    decide = live_writer(path, DECISIONS, SKU, part, fold_every)
+    remember = live_writer(f"{path}/decided_on", DECIDED_ON, SKU, part, fold_every)
+    seen: list[str | None] = []
 
     def step(features: DataFrame, batch_id: int) -> None:
-        write(decisions_of(join_demand(inventory, features), model, spec, policy), batch_id)
-
-    return _per_batch(sku_features(windows), "update", checkpoint, every, step)
+        if isinstance(inventory, DataFrame):
+            decide(decisions_of(join_demand(inventory, features), model, spec, policy), batch_id)
+            return
+        spark = features.sparkSession
+        version = inventory_version(spark, inventory)
+        stock = read_inventory_snapshot(spark, inventory, version)
+        todo = join_demand(stock, features).select(*DECIDED_ON.fieldNames())
+        if seen != [version]:
+            before = read_live(spark, f"{path}/decided_on", DECIDED_ON, SKU)
+            old = before.select(*SKU, *(F.col(c).alias(f"old_{c}") for c in STOCK), *METRICS)
+            moved = old.join(stock, [*SKU]).filter(
+                ~(F.col("old_current_stock").eqNullSafe(F.col("current_stock")))
+                | ~(F.col("old_lead_time_days").eqNullSafe(F.col("lead_time_days")))
+            )
+            moved = moved.join(features.select(*SKU), [*SKU], "left_anti")
+            todo = todo.unionByName(moved.select(*DECIDED_ON.fieldNames()))
+        remember(todo, batch_id)
+        decide(decisions_of(todo, model, spec, policy), batch_id)
+        seen[:] = [version]
+
+    return _per_batch(sku_features(windows), checkpoint, every, step, path)
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     """The last decision of every SKU the decision job has seen."""
-    rows = _read_log(spark, path, DECISIONS)
-    data = [c for c in DECISIONS.fieldNames() if c not in SKU]
-    newest = F.max_by(F.struct(*data), BATCH).alias("row")
-    return rows.groupBy(*SKU).agg(newest).select(*SKU, "row.*")
+    return read_live(spark, path, DECISIONS, SKU)

@@ -63,10 +63,31 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales_of(table(spark, sf_dir, "events"))
 
 
-def sales_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows as a stream. A file source wants a folder or a pattern."""
-    schema = table(spark, sf_dir, "events").schema
-    return sales_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet"))
+def event_slices(spark: SparkSession, sf_dir: str, slices: int, late: bool = False) -> list[DataFrame]:
+    """All ``events`` in equal spans of time; ``late`` keeps a tenth of the first for the last."""
+    events = table(spark, sf_dir, "events")
+    first, last = events.agg(F.unix_micros(F.min(_ts())), F.unix_micros(F.max(_ts()))).first()
+    at = F.least(
+        F.floor((F.unix_micros(_ts()) - first) * slices / (last - first + 1)), F.lit(slices - 1)
+    )
+    if late:
+        at = F.when((at == 0) & (F.col("event_id") % 10 == 0), F.lit(slices - 1)).otherwise(at)
+    return [events.filter(at == i) for i in range(slices)]
+
+
+def _ts() -> Column:
+    return F.col("ts").cast("timestamp")
+
+
+def append_slice(events: DataFrame, folder: str) -> None:
+    """One more file in the folder of a stream."""
+    events.coalesce(1).write.mode("append").parquet(folder)
+
+
+def sales_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The files of a folder as a stream of sales, one file a micro-batch."""
+    reader = spark.readStream.schema(table(spark, sf_dir, "events").schema)
+    return sales_of(reader.option("maxFilesPerTrigger", 1).parquet(folder))
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

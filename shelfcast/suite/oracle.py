@@ -34,7 +34,7 @@ def _category(number: str) -> str:
         WHEN {number} BETWEEN 41 AND 50 THEN 'Personal Care' ELSE 'General' END"""
 
 
-def windows(source: str, window: int, slide: int) -> str:
+def windows(source: str, window: int, slide: int, counted: str = "true") -> str:
     """Sliding windows aligned to the epoch, in seconds."""
     first = f"(epoch_us(event_time) // {slide * 1000000}) * {slide} - i * {slide}"
     return f"""
@@ -47,7 +47,7 @@ def windows(source: str, window: int, slide: int) -> str:
            count(*) AS transaction_count
     FROM (SELECT *, {first} AS start FROM {source}, range({-(-window // slide)}) t(i)
           WHERE event_time IS NOT NULL)
-    WHERE epoch_us(event_time) < (start + {window}) * 1000000
+    WHERE epoch_us(event_time) < (start + {window}) * 1000000 AND {counted}
     GROUP BY start, store_id, product_id"""
 
 
@@ -131,6 +131,11 @@ def _scaffold(source: str, days: int) -> str:
          range({days}) t(i)"""
 
 
+# Rows of the first slice that come with the last count in windows that had not closed
+# two slices before.
+LATE_COUNTS = """(slice > 0 OR event_id % 10 > 0 OR make_timestamp((start + {}) * 1000000) >
+    (SELECT max(event_time) FROM sliced WHERE slice = 1) - INTERVAL 10 MINUTE)"""
+
 # name -> (relations it reads, SQL)
 RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
     "sales": ((), f"""
@@ -184,6 +189,17 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
     SELECT * FROM win_6h
     WHERE window_end <= (SELECT max(event_time) FROM valid) - INTERVAL 10 MINUTE"""),
     "sku_closed": (("closed_6h",), f"SELECT store_id, product_id, {MAXIMA} FROM closed_6h GROUP BY ALL"),
+    "sliced": (("valid",), """
+    SELECT *, least(floor((epoch_us(event_time) - lo) * 4 / CAST(hi - lo + 1 AS DOUBLE)), 3) AS slice
+    FROM valid, (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events)"""),
+    "closed_late": (("sliced",), f"""
+    SELECT * FROM ({windows("sliced", 12 * 86400, 86400, LATE_COUNTS.format(12 * 86400))})
+    WHERE window_end <= (SELECT max(event_time) FROM valid) - INTERVAL 10 MINUTE"""),
+    "inventory_more": (("inventory",), """
+    SELECT store_id, product_id, lead_time_days,
+           CAST(current_stock + CASE lead_time_days WHEN 3 THEN 50 ELSE 0 END AS INTEGER) AS current_stock
+    FROM inventory"""),
+    "decided_more": (("inventory_more", "sku_closed"), _decisions("inventory_more", "sku_closed", 21600)),
     "win_1h": (("valid",), windows("valid", 3600, 3600)),
     "win_1d": (("valid_li",), windows("valid_li", 86400, 86400)),
     "sku_6h": (("win_6h",), f"SELECT store_id, product_id, {MAXIMA} FROM win_6h GROUP BY ALL"),
@@ -503,6 +519,9 @@ ORACLE: dict[str, str] = {
     "reorder_export": _all("decided", rest="WHERE action = 'REORDER'"),
     "stream_windows_append": _all("closed_6h"),
     "stream_windows_update": _all("win_6h"),
+    "stream_late_data": _all("closed_late"),
+    "stream_restart": _all("closed_6h"),
+    "stream_decisions_stock": _all("decided_more"),
     "stream_validated": _all("parsed_valid"),
     "stream_decisions": _all("decided_closed"),
 }

@@ -23,12 +23,12 @@ from ..plans.health import (
 )
 from ..plans.training import current_model, train, train_run
 from ..sinks.tables import (
-    BY_SKU, compact_windowed, export_reorders, write_inventory, write_inventory_csv, write_windowed,
+    BY_SKU, compact_closed, export_reorders, write_inventory, write_inventory_csv, write_windowed,
 )
 from ..sources.events import parse_events, read_event_lines
 from ..sources.tables import (
     inventory_version as stored_version, query_windowed, read_inventory, read_inventory_version,
-    read_runs, read_sellers, read_windowed,
+    read_compacted, read_runs, read_sellers, read_windowed,
     register_windowed, stream_windowed,
 )
 from ..schemas import DECISIONS
@@ -43,6 +43,7 @@ SIX_HOURS = WindowSpec("6 hours", "1 hour")
 HOUR = WindowSpec.tumbling("1 hour")
 DAY = WindowSpec.tumbling("1 day")
 FIVE_WEEKS = WindowSpec("35 days", "7 days")
+LATE = WindowSpec("12 days", "1 day")
 UTC = timezone.utc
 AS_OF = datetime(2024, 1, 31, 12, tzinfo=UTC)
 AS_OF_DAY = date(2024, 1, 28)
@@ -569,14 +570,15 @@ def sku_directory_lookup(spark, sf_dir):
 
 @query
 def compacted_scan(spark, sf_dir):
-    """Streaming files rewritten; the rows are those of the stream."""
+    """Closed dates of streaming files, rewritten in two runs; the rows are the stream's."""
     path = scratch(spark, "windows")
     with _state_partitions(spark):
         jobs.start_windowed(
-            _valid_stream(spark, sf_dir), f"{path}/small", f"{path}/state", HOUR, every=None
+            _valid_stream(spark, sf_dir, path), f"{path}/small", f"{path}/state", HOUR, every=None
         ).awaitTermination()
-    compact_windowed(spark, f"{path}/small", f"{path}/big")
-    return read_windowed(spark, f"{path}/big")
+    compact_closed(spark, f"{path}/small", f"{path}/big", date(2024, 1, 8))
+    compact_closed(spark, f"{path}/small", f"{path}/big", date(2024, 1, 20))
+    return read_compacted(spark, f"{path}/small", f"{path}/big")
 
 
 @query
@@ -646,8 +648,11 @@ def _state_partitions(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def _valid_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.valid_sales(fx.sales_stream(spark, sf_dir))
+def _valid_stream(spark: SparkSession, sf_dir: str, root: str, late: bool = False) -> DataFrame:
+    """The sales in four files, each a micro-batch."""
+    for events in fx.event_slices(spark, sf_dir, 4, late):
+        fx.append_slice(events, f"{root}/events")
+    return ev.valid_sales(fx.sales_stream(spark, sf_dir, f"{root}/events"))
 
 
 @query
@@ -656,7 +661,7 @@ def stream_windows_append(spark, sf_dir):
     root = scratch(spark, "stream")
     with _state_partitions(spark):
         jobs.start_windowed(
-            _valid_stream(spark, sf_dir), f"{root}/out", f"{root}/state", SIX_HOURS, every=None
+            _valid_stream(spark, sf_dir, root), f"{root}/out", f"{root}/state", SIX_HOURS, every=None
         ).awaitTermination()
     return read_windowed(spark, f"{root}/out")
 
@@ -666,12 +671,65 @@ def stream_windows_update(spark, sf_dir):
     root = scratch(spark, "stream")
     with _state_partitions(spark):
         jobs.start_windowed(
-            _valid_stream(spark, sf_dir), f"{root}/out", f"{root}/state", SIX_HOURS,
-            mode="update", every=None,
+            _valid_stream(spark, sf_dir, root), f"{root}/out", f"{root}/state", SIX_HOURS,
+            mode="update", every=None, fold_every=2,
         ).awaitTermination()
     return jobs.read_live_windows(spark, f"{root}/out")
 
 
+@query
+def stream_late_data(spark, sf_dir):
+    """A tenth of the first span comes last: it counts in the windows that are still open."""
+    root = scratch(spark, "stream")
+    with _state_partitions(spark):
+        jobs.start_windowed(
+            _valid_stream(spark, sf_dir, root, late=True), f"{root}/out", f"{root}/state", LATE,
+            every=None,
+        ).awaitTermination()
+    return read_windowed(spark, f"{root}/out")
+
+
+@query
+def stream_restart(spark, sf_dir):
+    """Stopped after half of the files and started again on the same checkpoint."""
+    root = scratch(spark, "stream")
+    slices = fx.event_slices(spark, sf_dir, 4)
+    with _state_partitions(spark):
+        for part in (slices[:2], slices[2:]):
+            for events in part:
+                fx.append_slice(events, f"{root}/events")
+            sales = ev.valid_sales(fx.sales_stream(spark, sf_dir, f"{root}/events"))
+            jobs.start_windowed(
+                sales, f"{root}/out", f"{root}/state", SIX_HOURS, every=None
+            ).awaitTermination()
+    return read_windowed(spark, f"{root}/out")
+
+
+@query
+def stream_decisions_stock(spark, sf_dir):
+    """New stock is committed between two runs: all its SKUs are decided again."""
+    root = scratch(spark, "stream")
+    stock = fx.inventory(spark, sf_dir)
+    version = write_inventory(stock, f"{root}/stock")
+    slices = fx.event_slices(spark, sf_dir, 4)
+    with _state_partitions(spark):
+        for part in (slices[:2], slices[2:]):
+            for events in part:
+                fx.append_slice(events, f"{root}/events")
+            sales = ev.valid_sales(fx.sales_stream(spark, sf_dir, f"{root}/events"))
+            jobs.start_windowed(
+                sales, f"{root}/windows", f"{root}/state", SIX_HOURS, every=None
+            ).awaitTermination()
+            jobs.start_decisions(
+                stream_windowed(spark, f"{root}/windows"), f"{root}/stock", f"{root}/decisions",
+                f"{root}/decision_state", spec=SIX_HOURS, every=None, fold_every=1,
+            ).awaitTermination()
+            more = F.when(F.col("lead_time_days") == 3, 50).otherwise(0)
+            stock = stock.withColumn("current_stock", (F.col("current_stock") + more).cast("int"))
+            version = write_inventory(stock, f"{root}/stock", parent=version)
+    return jobs.read_decisions(spark, f"{root}/decisions")
+
+
 @query
 def stream_validated(spark, sf_dir):
     root = scratch(spark, "stream")
@@ -687,7 +745,7 @@ def stream_decisions(spark, sf_dir):
     root = scratch(spark, "stream")
     with _state_partitions(spark):
         jobs.start_windowed(
-            _valid_stream(spark, sf_dir), f"{root}/windows", f"{root}/state", SIX_HOURS, every=None
+            _valid_stream(spark, sf_dir, root), f"{root}/windows", f"{root}/state", SIX_HOURS, every=None
         ).awaitTermination()
         jobs.start_decisions(
             stream_windowed(spark, f"{root}/windows"), fx.inventory(spark, sf_dir),

@@ -11,10 +11,12 @@ from shelfcast import WindowSpec
 from shelfcast.operators.events import observe_quality, valid_sales
 from shelfcast.operators.windows import window_sales
 from shelfcast.plans.decisions import decision_table
-from shelfcast.schemas import INVENTORY, SALES_EVENT
+from shelfcast.constants import SKU, WINDOW
+from shelfcast.schemas import INVENTORY, SALES_EVENT, WINDOWED
 from shelfcast.sources.events import parse_events, read_event_lines
 from shelfcast.sources.tables import read_windowed, stream_windowed
 from shelfcast.streaming import jobs
+from shelfcast.streaming.live import live_writer, read_live
 
 SPEC = WindowSpec()
 BASE = datetime(2024, 3, 1, 10, tzinfo=timezone.utc)
@@ -105,14 +107,62 @@ def test_late_rows(spark, feed, path):
     assert dropped(query) == 5  # the five windows of the one dropped row
 
 
+def test_live_table_folds_its_tail(spark, path):
+    """Two snapshots and a short tail, whatever number of batches; a replayed fold is the same."""
+    part = F.date_format("window_start", "yyyy-MM-dd")
+    step = live_writer(path, WINDOWED, (*WINDOW, *SKU), part, 3)
+
+    def batch(n):
+        rows = [
+            (BASE + timedelta(days=d), BASE + timedelta(days=d, minutes=5), "S", f"P{p}", n, 1.0, 1.0, 1)
+            for d, p in ((n // 4, 0), (n // 4, n), (0, 99))
+        ]
+        return spark.createDataFrame(rows, WINDOWED)
+
+    expected = {}
+    for n in range(13):
+        step(batch(n), n)
+        expected |= {(r.window_start, r.product_id): r.total_units_sold for r in batch(n).collect()}
+        if n in (5, 12):
+            step(batch(n), n)  # a replay, once with a fold
+        got = {
+            (r.window_start, r.product_id): r.total_units_sold
+            for r in read_live(spark, path, WINDOWED, (*WINDOW, *SKU)).collect()
+        }
+        assert got == expected
+        assert len(os.listdir(f"{path}/tail")) <= 7  # two folds' worth, and Spark's marker
+    folds = [f for f in os.listdir(f"{path}/snapshots") if os.path.isdir(f"{path}/snapshots/{f}/part=2024-03-01")]
+    assert len(folds) <= 2
+
+
+def test_a_foreign_checkpoint_is_refused(spark, feed, path):
+    feed.add(event(0))
+    args = {"mode": "update", "every": None}
+    finish(jobs.start_windowed(feed.stream(spark), path + "/out", path + "/state", **args))
+    feed.add(event(1))
+    finish(jobs.start_windowed(feed.stream(spark), path + "/out", path + "/state", **args))
+    with pytest.raises(ValueError, match="another checkpoint"):
+        jobs.start_windowed(feed.stream(spark), path + "/out", path + "/state2", **args)
+    assert same(jobs.read_live_windows(spark, path + "/out"), window_sales(feed.batch(spark)))
+
+
+def test_absurd_prices_do_not_stop_a_stream(spark, feed, path):
+    feed.add(event(0, 1, "PROD_001", 1e16), event(1, 1, "PROD_001", 1e16), event(2, 1, "PROD_002", 1e300))
+    finish(jobs.start_windowed(feed.stream(spark), path + "/out", path + "/state", mode="update", every=None))
+    rows = jobs.read_live_windows(spark, path + "/out").collect()
+    assert max(r.total_revenue for r in rows) == 2e16 and {r.product_id for r in rows} == {"PROD_001"}
+
+
 def test_update_mode_shows_open_windows_and_survives_replay(spark, feed, path):
     for minute in range(0, 12, 2):
         feed.add(event(minute), event(minute, 4, "PROD_002"))
     finish(jobs.start_windowed(feed.stream(spark), path + "/out", path + "/state", mode="update", every=None))
     assert same(jobs.read_live_windows(spark, path + "/out"), window_sales(feed.batch(spark)))
     # a replayed batch overwrites its own directory
-    last = spark.read.parquet(path + "/out/batch_id=3").collect()
-    jobs._batch_log(path + "/out")(spark.createDataFrame(last, read_windowed(spark, path + "/out").schema), 3)
+    tail = sorted(os.listdir(path + "/out/tail"))[-1]
+    last = spark.read.schema(WINDOWED).parquet(f"{path}/out/tail/{tail}").collect()
+    step = live_writer(path + "/out", WINDOWED, (*WINDOW, *SKU), F.date_format("window_start", "yyyy-MM-dd"))
+    step(spark.createDataFrame(last, WINDOWED), int(tail.partition("=")[2]))
     assert same(jobs.read_live_windows(spark, path + "/out"), window_sales(feed.batch(spark)))
 
 
