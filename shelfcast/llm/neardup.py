@@ -13,9 +13,11 @@ links are confirmed on the full sets, and groups are the connected components.
 * Equal sets are one node, so copies cost nothing after the first aggregate.
 * A bucket of n nodes is not expanded into n * n pairs. First each node meets one hub
   of its bucket, the one that shares most keys with others. Then only buckets that still
-  hold several components are paired, across components; buckets over ``SMALL`` nodes
-  are split by a second and a third chunk (the same pigeonhole on the other chunks), and
-  what is left is paired in blocks.
+  hold several components go on: the nodes outside the bucket's largest component are
+  paired with the nodes of other components. Where they are more than ``SMALL``, the
+  bucket is split by size (similar sets have similar sizes) and by a second chunk, the
+  same pigeonhole on the chunks after the first (it holds for 13 errors); what is still
+  over ``SMALL`` is paired in blocks.
 
 Defined results: null, empty and wordless texts have no shingles and no links. A row
 without an id is kept, linked with nothing, and has no component. Repeated rows share an
@@ -24,6 +26,7 @@ id, hence a component. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,6 @@ from .common import settled
 SYMBOLS, CHUNK = 32, 4
 GUARANTEED = SYMBOLS // CHUNK * 2 - 1
 SMALL = 64
-LEVELS = 3
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -148,8 +150,9 @@ def _side(members: DataFrame, name: str, *more: str) -> DataFrame:
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """(key, node, size, n) of the buckets with more than one node."""
-    keyed = nodes.select("node", "size", F.explode(_chunk_keys("sig")).alias("key"))
+    """(key, chunk, node, size, n) of the buckets with more than one node."""
+    keyed = nodes.select("node", "size", F.posexplode(_chunk_keys("sig")).alias("at", "key"))
+    keyed = keyed.select("key", F.expr("at div 4").cast("int").alias("chunk"), "node", "size")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     return keyed.join(sizes, "key")
 
@@ -164,46 +167,63 @@ def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
     return _pairs(_side(members, "x"), _side(hubs, "y"), percent)
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of buckets with several components; adds the largest one (``top``) and how
+    many nodes are outside it (``others``)."""
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("part"))
+    buckets = parts.groupBy("key").agg(
+        F.max_by("comp", "part").alias("top"), (F.sum("part") - F.max("part")).alias("others")
+    )
+    return members.join(buckets.where("others > 0"), "key")
+
+
+def _across(members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a node outside the largest component with nodes of other components."""
+    differ = F.col("x_comp") != F.col("y_comp")
+    once = (F.col("x") < F.col("y")) | (F.col("y_comp") == F.col("x_top"))
+    left, right = _side(others, "x", "comp", "top"), _side(members, "y", "comp")
+    return _pairs(left, right, percent, differ, once)
+
+
+def _size_bands() -> Column:
+    """Two bands of a size; sets whose sizes allow a link share one at least."""
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(1.25)).cast("int")
+    return F.array(band, band + 1)
+
+
 def _cross_pairs(
     members: DataFrame, nodes: DataFrame, components: DataFrame, percent: int
 ) -> list[DataFrame]:
     """Pairs between the components that a bucket still holds."""
-    rest = members.where("n > 2").join(components, "node", "left").select(
-        "key", "node", "size", F.coalesce("component", "node").alias("comp")
-    )
-    differ = F.col("x_comp") != F.col("y_comp")
-    ordered = F.col("x") < F.col("y")
     found = []
-    for level in range(LEVELS):
-        mixed = (
-            rest.groupBy("key")
-            .agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            .where("lo < hi")
-            .select("key", "n")
-        )
-        rest = settled(rest.join(mixed, "key"), f"buckets{level}")
-        small = rest.where(F.col("n") <= SMALL)
-        found.append(
-            _pairs(_side(small, "x", "comp"), _side(small, "y", "comp"), percent, ordered, differ)
-        )
-        rest = rest.where(F.col("n") > SMALL)
-        if rest.isEmpty():
-            return found
-        if level + 1 < LEVELS:
-            rest = rest.join(nodes.select("node", "sig"), "node").select(
-                "node", "size", "comp", F.explode(_chunk_keys("sig", F.col("key"))).alias("key")
-            )
-    blocks = F.ceil(F.col("n") / SMALL).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = rest.withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), blocks - 1))
-    )
-    spread = spread.withColumn(
-        "key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+
+    def paired(rest: DataFrame, name: str) -> DataFrame:
+        rest = settled(_mixed(rest), name)
+        easy, outside = rest.where(F.col("others") <= SMALL), F.col("comp") != F.col("top")
+        found.append(_across(easy, easy.where(outside), percent))
+        return rest.where(F.col("others") > SMALL)
+
+    labelled = members.where("n > 2").join(components, "node", "left").withColumn(
+        "comp", F.coalesce("component", "node")
     )
-    found.append(
-        _pairs(_side(spread, "x", "comp"), _side(spread, "y", "comp"), percent, ordered, differ)
+    rest = paired(labelled.select("key", "chunk", "node", "size", "comp"), "buckets")
+    if rest.isEmpty():
+        return found
+    later = F.slice(_chunk_keys("sig", F.col("key"), F.col("band")), F.col("chunk") * CHUNK + CHUNK + 1, SYMBOLS)
+    split = (
+        rest.drop("top", "others")
+        .join(nodes.select("node", "sig"), "node")
+        .withColumn("band", F.explode(_size_bands()))
+        .select("node", "size", "comp", F.explode(later).alias("key"))
     )
+    rest = paired(split, "split")
+    if rest.isEmpty():
+        return found
+    blocks = F.ceil(F.col("others") / SMALL).cast("int")
+    own = F.xxhash64("key", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    every = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64("key", i)))
+    outside = rest.where(F.col("comp") != F.col("top")).withColumn("key", own)
+    found.append(_across(rest.withColumn("key", every), outside, percent))
     return found
 
 
