@@ -24,6 +24,8 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from .common import texts_of
+
 NORMAL, UNKNOWN = 1, 2
 BPE_MODEL = 2
 UNKNOWN_PIECE = "<unk>"
@@ -162,3 +164,28 @@ def decode(
     return _mapped(
         encoded, "ids", "decoded", model, pattern, lambda codec: codec.decode, [*keep, "ids"]
     )
+
+
+def encode_checked(
+    documents: DataFrame, model: bytes, pattern: str, keep: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """The kept columns, ``ids``, and ``lossless``: whether decoding the ids gives the text."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(shared.value, pattern)
+        for batch in batches:
+            ids, lossless = [], []
+            for texts in texts_of(batch):
+                for text in texts:
+                    ids.append(codec.encode(text))
+                    lossless.append(codec.decode(ids[-1]) == (text or "").encode())
+            kept = [batch.column(name) for name in keep]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(ids, pa.binary()), pa.array(lossless)], [*keep, "ids", "lossless"]
+            )
+
+    kept = [f"`{name}` {documents.schema[name].dataType.simpleString()}" for name in keep]
+    return documents.select(*keep, "text").mapInArrow(
+        run, ", ".join([*kept, "ids binary", "lossless boolean"])
+    )

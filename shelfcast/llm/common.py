@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..workspace import scratch
@@ -20,6 +23,29 @@ def settled(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+SLICE = 256  # texts that a task holds as Python strings at a time
+
+
+def texts_of(batch: pa.RecordBatch) -> Iterator[list[str | None]]:
+    """The column ``text`` in slices, so that long texts don't pile up."""
+    for at in range(0, batch.num_rows, SLICE):
+        yield batch.column("text").slice(at, SLICE).to_pylist()
+
+
+def keep_rows(
+    documents: DataFrame, judge: Callable[[], Callable[[list[str | None]], Sequence[bool]]]
+) -> DataFrame:
+    """The rows whose texts are judged true, all columns; ``judge()`` is called in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = judge()
+        for batch in batches:
+            mask = [bool(kept) for texts in texts_of(batch) for kept in keep(texts)]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the fold of a document (null for no id)."""
     return F.crc32(doc_id.cast("string")) % modulus

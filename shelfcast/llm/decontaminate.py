@@ -32,6 +32,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import keep_rows
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.75
 HITS = 3  # marked words of an item that a passage above the threshold holds
@@ -103,6 +105,13 @@ class Index:
         self.is_marked = np.zeros(len(self.most), bool)
         self.is_marked[list(self.marked)] = True
 
+    @classmethod
+    def restored(cls, parts: dict) -> Index:
+        """An index from its ``vars``: plain data, which workers read without this module."""
+        index = cls.__new__(cls)
+        vars(index).update(parts)
+        return index
+
     def _marks(self, weights: dict[str, float]) -> tuple[int, list[str]]:
         """Words of a part, and how many of them a passage above the threshold must hold."""
         rest, inside, needed = 1.0, [], 0
@@ -213,11 +222,11 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def _matcher(frame: DataFrame, index: Index):
-    shared = frame.sparkSession.sparkContext.broadcast(index)
+    shared = frame.sparkSession.sparkContext.broadcast(vars(index))
 
     @F.pandas_udf("array<long>")
     def items(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = shared.value
+        index = Index.restored(shared.value)
         for texts in batches:
             yield pd.Series([index.matches(text) for text in texts], dtype=object)
 
@@ -236,5 +245,11 @@ def matched_items(documents: DataFrame, benchmark: DataFrame, threshold: float =
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that hold no item, columns unchanged."""
     for block in _blocks(benchmark):
-        documents = documents.where(F.size(_matcher(documents, Index(block, threshold))(F.col("text"))) == 0)
+        shared = documents.sparkSession.sparkContext.broadcast(vars(Index(block, threshold)))
+
+        def judge(shared=shared):
+            index = Index.restored(shared.value)
+            return lambda texts: [not index.matches(text) for text in texts]
+
+        documents = keep_rows(documents, judge)
     return documents

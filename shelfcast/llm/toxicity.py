@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import settled
+from .common import keep_rows, settled
 
 PER_CLASS = 3000
 POSITIVES, NEGATIVES, HARD = 600, 4000, 2000
@@ -39,7 +39,7 @@ SPAN, DISCOUNT = 6, 0.6
 WORD, STEP = 24, 12  # longer words are cut into pieces of WORD characters, STEP apart
 CODES = 64
 RIDGE = 0.001
-CACHED = 300_000
+CACHED = 100_000
 _GAPS = [(i, i + j) for i in range(1, SPAN - 1) for j in range(1, SPAN - i)]
 _TABLE = CODES**3
 
@@ -322,4 +322,11 @@ def score(documents: DataFrame, model: Model | None, threshold: float, held_out:
 
 def drop_toxic(documents: DataFrame, model: Model | None, threshold: float) -> DataFrame:
     """Documents below the threshold, columns unchanged."""
-    return documents.where(scorer(model)(F.col("text")) < threshold)
+    if model is None:
+        return documents
+
+    def judge():
+        highest = Highest(model)
+        return lambda texts: model.probability(highest(texts)) < threshold
+
+    return keep_rows(documents, judge)
