@@ -39,17 +39,9 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model, pattern = byte_bpe()
-    keep = ["doc_id", "lang", "source", "text"]
-    ids = bpe.encode(docs, model, pattern, keep)
-    decoded = bpe.decode(ids, model, pattern, keep)
-    return decoded.select(
-        "doc_id",
-        "lang",
-        "source",
-        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
-        "ids",
-        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("lossless"),
-    )
+    encoded = bpe.encode_checked(docs, model, pattern, ["doc_id", "lang", "source"])
+    n_tokens = F.expr("cast(octet_length(ids) div 4 as bigint)")
+    return encoded.select("doc_id", "lang", "source", n_tokens.alias("n_tokens"), "ids", "lossless")
 
 
 STAGES = [
