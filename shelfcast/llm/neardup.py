@@ -29,12 +29,13 @@ id, hence a component. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import settled
 
@@ -192,41 +193,66 @@ def _cross_pairs(members: DataFrame, components: DataFrame, percent: int) -> tup
     return pairs, crowd
 
 
+def _band(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / math.log(1.015)).cast("int")
+
+
 def _around_hubs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs across the components around a hub that can be similar enough.
 
-    With a set s, its part inside the hub i(s): sets without a common shingle outside the
-    hub have an overlap of at most min(i(x), i(y)), so a link needs (100 + percent) *
-    min(i(x), i(y)) >= percent * (|x| + |y|).
+    With the part i(s) of a set s inside the hub and the shingles that two sets share
+    outside it, k: their overlap is at most min(i(x), i(y)) + k, and a link needs
+    (100 + percent) * overlap >= percent * (|x| + |y|). Pairs that reach this with k = 0 are
+    looked up by size. All others share some number of shingles outside the hub, at least
+    need(|y|) by x alone; so one of them is among the |rest(x)| - need + 1 rarest of x.
     """
     hub_sets = sets.select(F.col("node").alias("hub"), F.col("hashes").alias("hub_set"))
     held = crowd.join(sets, "node").join(hub_sets, "hub").select(
         "hub", "node", "size", "comp", F.array_except("hashes", "hub_set").alias("rest")
     )
-    held = settled(held.withColumn("inside", F.col("size") - F.size("rest")), "around_hubs")
-    differ = F.col("x_comp") != F.col("y_comp")
-
-    own = held.select("hub", "node", "size", "comp", F.explode("rest").alias("shingle"))
-    own = own.withColumn("key", F.xxhash64("hub", "shingle"))
-    shared = own.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    own = own.join(shared.where("lo < hi").select("key"), "key")
-    together = _pairs(_side(own, "x", "comp"), _side(own, "y", "comp"), percent, differ, F.col("x") < F.col("y"))
-
-    # The largest partner that a set's inside allows; partners are looked up by size.
-    largest = F.floor((100 + percent) * F.col("inside") / percent - F.col("size"))
+    held = settled(
+        held.withColumn("outside", F.size("rest")).withColumn("inside", F.col("size") - F.col("outside")),
+        "around_hubs",
+    )
     tops = held.groupBy("hub", "comp").agg(F.count("*").alias("part")).groupBy("hub").agg(
         F.max_by("comp", "part").alias("top")
     )
-    sized = held.withColumn("largest", largest).join(tops, "hub")
-    least = F.ceil(F.col("size") * percent / 100)
+    known = held.join(tops, "hub")
+    more = ("comp", "top", "inside", "outside")
+    differ = F.col("x_comp") != F.col("y_comp")
+    once = (F.col("x") < F.col("y")) | (F.col("y_comp") == F.col("x_top"))
+    overlap = F.least("x_inside", "y_inside") + F.least("x_outside", "y_outside")
+    reach = (100 + percent) * overlap >= percent * (F.col("x_size") + F.col("y_size"))
+    least, greatest = F.ceil(F.col("size") * percent / 100), F.floor(F.col("size") * 100 / percent)
+
+    rests = known.withColumn("shingle", F.explode("rest")).drop("rest")
+    times = rests.groupBy("hub", "shingle").agg(
+        F.count("*").alias("times"), (F.min("comp") < F.max("comp")).alias("across")
+    )
+    rests = settled(rests.join(times, ["hub", "shingle"]), "rests")
+    rarest = Window.partitionBy("hub", "node").orderBy("times", "shingle")
+    ranked = rests.withColumn("rank", F.row_number().over(rarest)).where("across AND comp <> top")
+    spare = F.col("outside") - F.col("rank") + 1 + F.col("inside")
+    largest = F.least(F.floor(spare * (100 + percent) / percent - F.col("size")), greatest)
+    asking = ranked.withColumn("largest", largest).where(F.col("largest") >= least)
+    asking = asking.withColumn("band", F.explode(F.sequence(_band(least), _band(F.col("largest")))))
+    asked = rests.where("across").withColumn("band", _band(F.col("size")))
+    key = F.xxhash64("hub", "band", "shingle")
+    together = _pairs(
+        _side(asking.withColumn("key", key), "x", *more), _side(asked.withColumn("key", key), "y", *more),
+        percent, differ, once, reach,
+    )
+
+    alone = F.floor((100 + percent) * F.col("inside") / percent - F.col("size"))
+    sized = known.drop("rest").withColumn("largest", F.least(alone, greatest))
     asking = sized.where((F.col("comp") != F.col("top")) & (F.col("largest") >= least)).withColumn(
         "partner", F.explode(F.sequence(least, F.col("largest")))
     )
-    asking = asking.select(F.xxhash64("hub", "partner").alias("key"), "node", "size", "comp", "largest")
-    asked = sized.select(F.xxhash64("hub", "size").alias("key"), "node", "size", "comp", "largest")
+    by_size = ("comp", "top", "largest")
     apart = _pairs(
-        _side(asking, "x", "comp", "largest"), _side(asked, "y", "comp", "largest"), percent, differ,
-        (F.col("y_size") <= F.col("x_largest")) & (F.col("x_size") <= F.col("y_largest")),
+        _side(asking.withColumn("key", F.xxhash64("hub", "partner")), "x", *by_size),
+        _side(sized.withColumn("key", F.xxhash64("hub", F.col("size").cast("bigint"))), "y", *by_size),
+        percent, differ, once, F.col("x_size") <= F.col("y_largest"),
     )
     return together.unionByName(apart).distinct()
 
