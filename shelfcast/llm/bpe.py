@@ -24,12 +24,12 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import slices
 
 NORMAL, UNKNOWN = 1, 2
 BPE_MODEL = 2
 UNKNOWN_PIECE = "<unk>"
-CACHED = 200_000  # pre-tokens that a task remembers; more are encoded again
+CACHED = 100_000  # pre-tokens that a task remembers; more are encoded again
 CACHED_CHARS = 64
 
 
@@ -139,7 +139,7 @@ def _mapped(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = of(Codec(shared.value, pattern))
-        for batch in batches:
+        for batch in slices(batches):
             values = [each(value.as_py()) for value in batch.column(column)]
             kept = [batch.column(name) for name in keep]
             yield pa.RecordBatch.from_arrays(
@@ -174,12 +174,11 @@ def encode_checked(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids, lossless = [], []
-            for texts in texts_of(batch):
-                for text in texts:
-                    ids.append(codec.encode(text))
-                    lossless.append(codec.decode(ids[-1]) == (text or "").encode())
+            for text in batch.column("text").to_pylist():
+                ids.append(codec.encode(text))
+                lossless.append(codec.decode(ids[-1]) == (text or "").encode())
             kept = [batch.column(name) for name in keep]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(ids, pa.binary()), pa.array(lossless)], [*keep, "ids", "lossless"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -26,10 +26,11 @@ def settled(frame: DataFrame, name: str) -> DataFrame:
 SLICE = 256  # texts that a task holds as Python strings at a time
 
 
-def texts_of(batch: pa.RecordBatch) -> Iterator[list[str | None]]:
-    """The column ``text`` in slices, so that long texts don't pile up."""
-    for at in range(0, batch.num_rows, SLICE):
-        yield batch.column("text").slice(at, SLICE).to_pylist()
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that texts and what is made of them don't pile up."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def keep_rows(
@@ -39,8 +40,8 @@ def keep_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = judge()
-        for batch in batches:
-            mask = [bool(kept) for texts in texts_of(batch) for kept in keep(texts)]
+        for batch in slices(batches):
+            mask = [bool(kept) for kept in keep(batch.column("text").to_pylist())]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import settled
+from .common import settled, slices
 
 SYMBOLS, CHUNK = 32, 4
 GUARANTEED = SYMBOLS // CHUNK * 2 - 1
@@ -87,7 +87,7 @@ def signature(hashes: np.ndarray) -> bytes:
 
 def _sketches(documents: DataFrame, n: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digests, signatures = [], [], []
             for text in batch.column("text"):
                 hashes = shingle_hashes(text.as_py(), n)
@@ -111,7 +111,7 @@ def _sketches(documents: DataFrame, n: int) -> DataFrame:
 
 def _sets(documents: DataFrame, n: int) -> DataFrame:
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_hashes(t.as_py(), n).view(np.int64) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
