@@ -2,8 +2,9 @@
 
 The kernel of two words counts their common subsequences of three characters, with gaps of
 up to three inserted characters, each gap at a discount; so ``id-iot``, ``idi0ot`` and
-inflected forms stay close to ``idiot``. A run of single letters (``i d i o t``) is read
-as one word, and a long word as overlapping pieces.
+inflected forms stay close to ``idiot``. A run of single letters (``i d i o t``) hides where
+its words end, so it is read as all its pieces of ``RUN`` letters, however long it is; a
+long word is read as overlapping pieces.
 
 Training takes labelled texts, at most ``PER_CLASS`` of each class. A toxic text is toxic
 by some of its words, so first the words are found that stand in more different contexts
@@ -37,6 +38,7 @@ POSITIVES, NEGATIVES, HARD = 600, 4000, 2000
 LANDMARKS = 128
 SPAN, DISCOUNT = 6, 0.6
 WORD, STEP = 24, 12  # longer words are cut into pieces of WORD characters, STEP apart
+RUN = range(5, 13)  # sizes of the pieces of a run of single letters
 CODES = 64
 RIDGE = 0.001
 CACHED = 100_000
@@ -52,7 +54,7 @@ def words_of(text: str | None) -> list[str]:
         if len(raw) == 1 and raw.isalpha():
             letters.append(raw)
         elif letters:
-            found += ["".join(letters)] if len(letters) > 2 else letters
+            found += _run_words(letters)
             letters = []
         word = raw if raw.isalpha() else _trimmed(raw)
         if not word or len(raw) == 1:
@@ -61,7 +63,18 @@ def words_of(text: str | None) -> list[str]:
             found.append(word)
         else:
             found += [word[at : at + WORD] for at in range(0, len(word) - STEP, STEP)]
-    return found + (["".join(letters)[:WORD]] if len(letters) > 2 else letters)
+    return found + _run_words(letters)
+
+
+def _run_words(letters: list[str]) -> list[str]:
+    """What a run of single letters may say: a word if it is short, else all its pieces.
+
+    A word within a piece of other letters scores low, so pieces have all sizes and places.
+    """
+    if len(letters) <= RUN[0]:
+        return ["".join(letters)] if len(letters) > 2 else letters
+    run = "".join(letters)
+    return [run[at : at + size] for size in RUN for at in range(len(run) - size + 1)]
 
 
 def _trimmed(raw: str) -> str:
@@ -190,19 +203,28 @@ class Highest:
         self.known: dict[str, float] = {}
 
     def __call__(self, texts) -> np.ndarray:
-        out = np.empty(len(texts))
-        for at in range(0, len(texts), 256):
-            own = [set(words_of(text)) for text in texts[at : at + 256]]
+        out: list[float] = []
+        for own in self._word_sets(texts):
             if len(self.known) > CACHED:
                 self.known.clear()
             known = self.known
             missing = [word for word in set().union(*own) if word not in known]
             scores = weighed(missing, self.model.table) + self.model.intercept
             known.update(zip(missing, scores.tolist()))
-            out[at : at + 256] = [
-                max(map(known.__getitem__, words), default=self.model.intercept - 1) for words in own
-            ]
-        return out
+            out += [max(map(known.__getitem__, words), default=self.model.intercept - 1) for words in own]
+        return np.array(out, float)
+
+    @staticmethod
+    def _word_sets(texts) -> Iterator[list[set[str]]]:
+        """The texts' words, of at most 256 texts and of few if they have many words."""
+        own: list[set[str]] = []
+        for text in texts:
+            own.append(set(words_of(text)))
+            if len(own) == 256 or len(own[-1]) > CACHED // 10:
+                yield own
+                own = []
+        if own:
+            yield own
 
 
 def _contexts(sample: DataFrame) -> DataFrame:

@@ -132,6 +132,16 @@ def test_gapped_and_inserted_insults_are_caught(spark):
     assert (model.probability(highest(fine)) < 0.3).all()
 
 
+def test_insults_late_in_a_run_of_letters(spark):
+    highest = toxicity.Highest(toxicity.fit(insults(spark)))
+    clean = " ".join("wearegladthattheriverrunspastthegarden")
+    late = f"{clean} {' '.join('gruntbag')} {clean}"
+    for text in (late, f"so {late} said", f"{clean} {clean} {' '.join('gruntbag')}"):
+        assert "gruntbag" in toxicity.words_of(text)
+        assert highest.model.probability(highest([text]))[0] > 0.7
+    assert highest.model.probability(highest([clean]))[0] < 0.7
+
+
 def test_toxicity_of_odd_rows(spark):
     model, frame = toxicity.fit(insults(spark)), odd_frame(spark)
     rows = toxicity.score(frame, model, 0.7, F.lit(False)).collect()
