@@ -10,9 +10,10 @@ and put together again with a surrogate for each, in DataFrame expressions only.
 * Numbers go through a keyed permutation of their digits (a Feistel network on two
   halves), so distinct values stay distinct; separators and the country code stay, and a
   card number with a valid check digit gets a valid one. Public IPv4 addresses stay in
-  1.0.0.0 to 223.255.255.255, private ones in their range.
+  1.0.0.0 to 223.255.255.255, private ones in their range. IPv6 addresses keep their zero
+  groups, so a compressed one stays compressed; with a dotted end, only that end is replaced.
 * Other values are redrawn letter by letter within their classes (digit, lower and upper
-  case, hexadecimal). Mail domains become names under ``.example``.
+  case, hexadecimal), secrets to their end. Mail domains become names under ``.example``.
 * Names follow the title: given name and ending by gender, letters by script.
 * Collisions are checked over all documents: where a surrogate equals another one or a
   value that occurs, the later values are drawn again with a further attempt number, until
@@ -58,13 +59,21 @@ ENDINGS = {
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _SIGNS = r"\p{L}\p{N}._%+\-"
 _TITLE = "|".join(sorted({t for titles in TITLES.values() for t in titles}, key=len, reverse=True))
-_NAME = r"\p{Lu}[\p{L}'’\-]{1,30}"
+_NAME = r"\p{Lu}[\p{L}'’\-]++"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+# All places of the '::' among at most seven groups.
+_COMPRESSED = "|".join(
+    [rf"(?:{_HEX}:){{1,{7 - n}}}(?::{_HEX}){{1,{n}}}" for n in range(1, 7)]
+    + [rf"(?:{_HEX}:){{1,7}}:", rf":(?::{_HEX}){{1,7}}"]
+)
 # type: pattern; the first that matches the whole of a find names its type.
 PATTERNS = {
     "email": rf"(?<![{_SIGNS}])[{_SIGNS}]{{1,64}}+@(?:[A-Za-z0-9\-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}}",
-    "secret": r"\b(?i:password|passwd|pwd|token|secret|api[_\-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?[^\s\"',;]{6,128}",
-    "key": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})\b",
-    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "secret": r"\b(?i:password|passwd|pwd|token|secret|api[_\-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?[^\s\"',;]{6,}+",
+    "key": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+|sk-[0-9A-Za-z]{20,}+)\b",
+    "ipv6": r"(?<![0-9A-Fa-f:])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:])"
+    rf"(?:(?:{_HEX}:){{7}}{_HEX}(?![0-9A-Fa-f]|:[0-9A-Fa-f:])"
+    rf"|(?:{_COMPRESSED})(?![\p{{L}}\p{{N}}_]|:[0-9A-Fa-f:]|\.\d))",
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}"
@@ -115,13 +124,41 @@ def canonical(find: Column, kind: Column) -> Column:
     value = _tail(find, head_of(find, kind))
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(value, r"\D", ""))
-        .when(kind.isin("email", "ipv6"), F.lower(find))
+        .when(kind == "email", F.lower(find))
+        .when(kind == "ipv6", _eight_groups(find))
         .when(kind == "iban", F.regexp_replace(find, " ", ""))
         .when(kind == "name", F.concat(_style(find), F.lit(":"), value))
         .otherwise(value)
     )
 
 
+def _groups(find: Column, side: int) -> Column:
+    """The groups of an IPv6 address before (0) and after (1) its '::'."""
+    half = F.coalesce(F.get(F.split(F.lower(find), "::", -1), F.lit(side)), F.lit(""))
+    return F.filter(F.split(half, ":", -1), lambda group: group != "")
+
+
+def _eight_groups(find: Column) -> Column:
+    """An IPv6 address written out, without zeros in front."""
+    before, after = _groups(find, 0), _groups(find, 1)
+    zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(before) - F.size(after))
+    groups = F.transform(
+        F.concat(before, zeros, after), lambda group: F.regexp_replace(group, "^0+(?=.)", "")
+    )
+    return F.array_join(groups, ":")
+
+
+def _as_written(find: Column, groups: Column) -> Column:
+    """Eight groups with the '::' where a find has it."""
+    parts = F.split(groups, ":")
+    before, after = F.size(_groups(find, 0)), F.size(_groups(find, 1))
+    compressed = F.concat(
+        F.array_join(F.slice(parts, F.lit(1), before), ":"), F.lit("::"),
+        F.array_join(F.slice(parts, F.lit(9) - after, after), ":"),
+    )
+    return F.when(find.contains("::"), compressed).otherwise(groups)
+
+
 def _style(find: Column) -> Column:
     """Script and gender by the title; the first given-name list for a title in none."""
     found = F.lit("latin_m")
@@ -197,26 +234,50 @@ def _ipv4(value: Column, *parts: Column) -> Column:
     return F.concat_ws(".", *(x.cast("string") for x in (first, *bytes_)))
 
 
+def _ipv6(value: Column, *parts: Column) -> Column:
+    """Zero groups stay, so that a '::' does; the others are shifted by the rest of the
+    address, each twice, which is a keyed permutation."""
+    groups = F.transform(F.split(value, ":"), lambda group: F.conv(group, 16, 10).cast("long"))
+
+    def turned(now: Column, turn: Column) -> Column:
+        def shifted(group: Column, at: Column) -> Column:
+            others = F.transform(now, lambda other, i: F.when(i == at, F.lit(-1)).otherwise(other))
+            mark = F.array_join(others.cast("array<string>"), ":")
+            moved = 1 + F.pmod(group - 1 + _draw(*parts, turn.cast("string"), mark), F.lit(65535))
+            return F.when((at == turn % 8) & (group > 0), moved).otherwise(group)
+
+        return F.transform(now, shifted)
+
+    mixed = F.aggregate(F.sequence(F.lit(0), F.lit(15)), groups, turned)
+    return F.array_join(F.transform(mixed, lambda group: F.lower(F.conv(group.cast("string"), 10, 16))), ":")
+
+
 def _redrawn(value: Column, *parts: Column) -> Column:
     """Each digit and letter becomes another of its class; other signs stay."""
-    stream = F.concat(*(F.sha2(F.concat_ws("\0", *parts, F.lit(str(i))), 256) for i in range(4)))
     hexadecimal = value.rlike(r"\A[0-9a-f]+\z")
     letters = F.when(hexadecimal, F.lit("abcdef")).otherwise("abcdefghijklmnopqrstuvwxyz")
 
-    def redraw(character: Column, at: Column) -> Column:
-        number = F.conv(F.substring(stream, 2 * F.pmod(at, F.lit(128)) + 1, F.lit(2)), 16, 10).cast("int")
+    def redraw(bound: Column, character: Column, at: Column) -> Column:
+        # 32 characters a digest, so values may have any length
+        digest = F.sha2(F.concat_ws("\0", bound["seed"], F.floor(at / 32).cast("string")), 256)
+        number = F.conv(F.substring(digest, 2 * (at % 32) + 1, F.lit(2)), 16, 10).cast("int")
 
         def one_of(letters: Column) -> Column:
             return F.substring(letters, F.pmod(number, F.length(letters)) + 1, F.lit(1))
 
         return (
             F.when(character.rlike(r"\d"), one_of(F.lit("0123456789")))
-            .when(character.rlike(r"\p{Lu}"), F.upper(one_of(letters)))
-            .when(character.rlike(r"\p{L}"), one_of(letters))
+            .when(character.rlike(r"\p{Lu}"), F.upper(one_of(bound["letters"])))
+            .when(character.rlike(r"\p{L}"), one_of(bound["letters"]))
             .otherwise(character)
         )
 
-    return F.array_join(F.transform(F.split(value, ""), redraw), "")
+    def whole(bound: Column) -> Column:
+        return F.array_join(F.transform(F.split(value, ""), lambda c, at: redraw(bound, c, at)), "")
+
+    # Bound by a lambda, so that they are made once a value and not once a character.
+    once = F.struct(F.sha2(F.concat_ws("\0", *parts), 256).alias("seed"), letters.alias("letters"))
+    return F.get(F.transform(F.array(once), whole), F.lit(0))
 
 
 def _letters(count: Column, *parts: Column) -> Column:
@@ -261,8 +322,9 @@ def surrogate_of(kind: Column, value: Column, key: str, attempt: Column) -> Colu
         .when(kind == "card", _card(value, *parts))
         .when(kind.isin("phone", "ssn"), _permuted_digits(value, *parts))
         .when(kind == "ipv4", _ipv4(value, *parts))
+        .when(kind == "ipv6", _ipv6(value, *parts))
         .when(kind == "name", _name(value, *own))
-        .when(kind == "key", F.concat(F.substring(value, 1, 4), _redrawn(F.substring(value, 5, 128), *own)))
+        .when(kind == "key", F.concat(F.substring(value, 1, 4), _redrawn(F.substring(value, F.lit(5), F.length(value)), *own)))
         .when(kind == "iban", F.concat(F.substring(value, 1, 2), _redrawn(F.substring(value, 3, 64), *own)))
         .otherwise(F.concat(_redrawn(value, *own), _letters(F.least(attempt * 4, F.lit(64)), *own)))
     )
@@ -289,6 +351,7 @@ def formatted(find: Column, kind: Column, surrogate: Column) -> Column:
             F.concat(head, _poured(_tail(find, head), surrogate, r"\d")),
         )
         .when(kind == "iban", _poured(find, surrogate, "[A-Z0-9]"))
+        .when(kind == "ipv6", _as_written(find, surrogate))
         .otherwise(F.concat(head, surrogate))
     )
 

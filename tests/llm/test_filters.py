@@ -1,5 +1,6 @@
 """Rules, URLs, personal data and decontamination, against brute force."""
 
+import ipaddress
 import math
 import random
 import re
@@ -216,6 +217,30 @@ def test_surrogates_stay_distinct(spark):
     assert len({t.split()[1] for t in texts if "@" not in t}) == 100
 
 
+def test_long_secrets_and_ipv6(spark):
+    draw = random.Random(3)
+    token = "".join(draw.choice("abcXYZ0189._-") for _ in range(300))
+    key, name = "sk-" + "aB3" * 40, "Wolfe" + "schlegelstein" * 4
+    rows = [
+        f"token={token} end", f"{key} and Mr {name}.",
+        "2001:db8::1 2001:0DB8:0:0:0:0:0:1, fe80::1%eth0 ::7 2001:db8:: or 2001:db8:0:1:1:1:1:1: up",
+        "std::vector<int> a; Foo::bad(); 12:30:45 and :: stay",
+    ]
+    frame = spark.createDataFrame([*enumerate(rows)], "doc_id int, text string")
+    got = {r.doc_id: r.text for r in pii.replace_pii(frame, "key").collect()}
+    kept = re.fullmatch(r"token=([\w.\-]{300}) end", got[0])[1]
+    assert not any(token[i : i + 12] in kept for i in range(289))
+    assert kept[:128] != kept[128:256]
+    assert re.fullmatch(r"sk-[0-9A-Za-z]{120} and Mr [A-Z][a-z]+\.", got[1]) and key not in got[1]
+    found = re.fullmatch(r"(\S+) (\S+), (\S+)%eth0 (\S+) (\S+) or (\S+): up", got[2]).groups()
+    addresses = [ipaddress.IPv6Address(a) for a in found]
+    assert addresses[0] == addresses[1] and len(set(addresses)) == 5
+    assert "::" in found[0] and "::" not in found[1] and found[3].startswith("::") and found[4].endswith("::")
+    before = [ipaddress.IPv6Address(a) for a in ("2001:db8::1", "fe80::1", "::7", "2001:db8::", "2001:db8:0:1:1:1:1:1")]
+    assert not set(before) & set(addresses)
+    assert got[3] == rows[3]
+
+
 ITEMS = [
     (1, "What lies beyond the seven quiet hills of northern Marrow? A lake of green glass lies there."),
     (2, "one two three four five six seven eight nine ten eleven twelve"), (3, None), (4, ""), (5, "..."),
