@@ -17,7 +17,8 @@ and put together again with a surrogate for each, in DataFrame expressions only.
 * Names follow the title: given name and ending by gender, letters by script.
 * Collisions are checked over all documents: where a surrogate equals another one or a
   value that occurs, the later values are drawn again with a further attempt number, until
-  none is left. Only these exceptions are joined to the documents.
+  none is left. Names grow by a syllable with each attempt. Where more than a quarter of all
+  addresses or numbers of a range occurs, they are only permuted. Only these exceptions are joined to the documents.
 
 Defined results: null and empty texts stay as they are. Rows keep their order of columns
 and all other columns. Repeated rows are replaced alike.
@@ -286,18 +287,21 @@ def _letters(count: Column, *parts: Column) -> Column:
     return F.substring(F.translate(digest, "0123456789", "ghijklmnop"), F.lit(1), count)
 
 
-def _name(value: Column, *parts: Column) -> Column:
-    """value is ``style:name``; one word is a surname, two are given name and surname."""
+def _name(value: Column, attempt: Column, *parts: Column) -> Column:
+    """value is ``style:name``; one word is a surname, two are given name and surname.
+
+    Each attempt adds a syllable, so surnames don't run out.
+    """
     drawn = None
+    digest = F.sha2(F.concat_ws("\0", *parts), 256)
+    drawn_syllables = F.split(F.substring(digest, F.lit(17), F.least(attempt + 4, F.lit(48))), "")
     for (script, gender), given in GIVEN.items():
-        pick = _draw(*parts)
-        chosen = F.get(F.array(*map(F.lit, given)), F.pmod(pick, F.lit(len(given))).cast("int"))
+        chosen = F.get(F.array(*map(F.lit, given)), F.pmod(_draw(*parts), F.lit(len(given))).cast("int"))
         syllables = F.array(*map(F.lit, SYLLABLES[script]))
-        surname = F.concat(
-            *(F.get(syllables, F.pmod(F.shiftright(pick, 4 * i + 3), F.lit(16)).cast("int")) for i in range(4)),
-            F.lit(ENDINGS[script, gender]),
+        surname = F.array_join(
+            F.transform(drawn_syllables, lambda c: F.get(syllables, F.conv(c, 16, 10).cast("int"))), ""
         )
-        surname = F.concat(F.upper(F.substring(surname, 1, 1)), F.substring(surname, 2, 40))
+        surname = F.concat(F.initcap(surname), F.lit(ENDINGS[script, gender]))
         two = F.locate(" ", value) > 0
         made = F.when(two, F.concat(chosen, F.lit(" "), surname)).otherwise(surname)
         styled = value.startswith(f"{script}_{gender}:")
@@ -323,7 +327,7 @@ def surrogate_of(kind: Column, value: Column, key: str, attempt: Column) -> Colu
         .when(kind.isin("phone", "ssn"), _permuted_digits(value, *parts))
         .when(kind == "ipv4", _ipv4(value, *parts))
         .when(kind == "ipv6", _ipv6(value, *parts))
-        .when(kind == "name", _name(value, *own))
+        .when(kind == "name", _name(value, attempt, *own))
         .when(kind == "key", F.concat(F.substring(value, 1, 4), _redrawn(F.substring(value, F.lit(5), F.length(value)), *own)))
         .when(kind == "iban", F.concat(F.substring(value, 1, 2), _redrawn(F.substring(value, 3, 64), *own)))
         .otherwise(F.concat(_redrawn(value, *own), _letters(F.least(attempt * 4, F.lit(64)), *own)))
@@ -410,20 +414,57 @@ def mentions_of(documents: DataFrame) -> DataFrame:
     return found.select("text_key", "m.kind", "m.value").distinct()
 
 
+def _pool(kind: Column, value: Column) -> tuple[Column, Column]:
+    """Which values a permuted value is dealt among, and how many these are; null for others."""
+    mask = F.regexp_replace(value, "[1-9a-f][0-9a-f]*", "x")
+    first = F.substring_index(value, ".", 1)
+    local = value.startswith("192.168.")
+    private = (kind == "ipv4") & first.isin("0", "10", "127", *map(str, range(224, 256)))
+    digits = kind.isin("phone", "ssn")
+    name = (
+        F.when(kind == "ipv6", mask).when((kind == "ipv4") & local, "192.168").when(private, first)
+        .when(kind == "ipv4", "public").when(digits, F.length(value).cast("string"))
+    )
+    size = (
+        F.when(kind == "ipv6", F.pow(F.lit(65535.0), F.length(mask) - F.length(F.translate(mask, "x", ""))))
+        .when((kind == "ipv4") & local, 65536.0).when(private, float(1 << 24))
+        .when(kind == "ipv4", 223.0 * (1 << 24)).when(digits, F.pow(F.lit(10.0), F.length(value)))
+    )
+    return name, size
+
+
+def _crowded(entities: DataFrame) -> DataFrame:
+    """(kind, pool) of the pools of which more than a quarter occurs."""
+    name, size = _pool(F.col("kind"), F.col("value"))
+    pools = entities.select("kind", name.alias("pool"), size.alias("size")).where("pool IS NOT NULL")
+    return pools.groupBy("kind", "pool").agg(F.count("*").alias("n"), F.max("size").alias("size")).where(
+        "n > size / 4"
+    ).select("kind", "pool")
+
+
 def attempts_of(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, attempt > 0) of the entities whose first surrogates collide.
 
     A surrogate collides with an equal surrogate of another value of its type (the
     smallest value keeps it) or with a value that occurs. Values that collide draw again
-    with the next attempt; the others hold theirs.
+    with the next attempt; the others hold theirs. In a crowded pool few values are free,
+    so its values all hold their first surrogates: a permutation, distinct among themselves,
+    which may equal values that occur.
     """
 
     def drawn(frame: DataFrame, attempt: int) -> DataFrame:
         made = surrogate_of(F.col("kind"), F.col("value"), key, F.lit(attempt))
         return frame.select("kind", "value", made.alias("surrogate"), F.lit(attempt).alias("attempt"))
 
-    real = entities.select("kind", F.col("value").alias("surrogate")).distinct()
+    plain = F.when(F.col("kind") == "name", F.regexp_replace("value", "^[a-z_]+:", ""))
+    real = entities.select("kind", F.coalesce(plain, "value").alias("surrogate")).distinct()
     held, asking = None, entities
+    crowded = settled(_crowded(entities), "crowded")
+    if not crowded.isEmpty():
+        pool, _ = _pool(F.col("kind"), F.col("value"))
+        pooled = entities.withColumn("pool", pool)
+        held = settled(drawn(pooled.join(crowded, ["kind", "pool"], "left_semi"), 0), "held")
+        asking = pooled.join(crowded, ["kind", "pool"], "left_anti").select("kind", "value")
     for attempt in range(ATTEMPTS):
         asked = settled(drawn(asking, attempt), "asked")
         first = asked.groupBy("kind", "surrogate").agg(F.min("value").alias("first"))

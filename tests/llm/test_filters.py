@@ -241,6 +241,28 @@ def test_long_secrets_and_ipv6(spark):
     assert got[3] == rows[3]
 
 
+def test_surrogates_do_not_run_out(spark):
+    ids = spark.range(70_000)
+    names = ids.select(F.lit("name").alias("kind"), F.concat(F.lit("latin_m:N"), F.col("id").cast("string")).alias("value"))
+    address = F.concat_ws(".", F.lit("192.168"), F.expr("id div 256").cast("string"), (F.col("id") % 256).cast("string"))
+    local = ids.where("id < 40000").select(F.lit("ipv4").alias("kind"), address.alias("value"))
+    entities = names.unionByName(local)
+    again = pii.attempts_of(entities, "key")
+    assert {r.kind for r in again.select("kind").distinct().collect()} == {"name"}
+    attempt = F.coalesce("attempt", F.lit(0))
+    made = entities.join(again, ["kind", "value"], "left").select(
+        "kind", pii.surrogate_of(F.col("kind"), F.col("value"), "key", attempt).alias("surrogate")
+    )
+    assert made.distinct().count() == 110_000
+
+
+def test_surrogates_are_no_names_that_occur(spark):
+    first = spark.createDataFrame([("name", "latin_m:Adam Smith")], "kind string, value string")
+    made = first.select(pii.surrogate_of(F.col("kind"), F.col("value"), "key", F.lit(0))).first()[0]
+    entities = first.union(spark.createDataFrame([("name", f"latin_f:{made}")], first.schema))
+    assert [(r.value, r.attempt) for r in pii.attempts_of(entities, "key").collect()] == [("latin_m:Adam Smith", 1)]
+
+
 ITEMS = [
     (1, "What lies beyond the seven quiet hills of northern Marrow? A lake of green glass lies there."),
     (2, "one two three four five six seven eight nine ten eleven twelve"), (3, None), (4, ""), (5, "..."),
