@@ -103,6 +103,8 @@ def type_of(find: Column) -> Column:
 
 
 _SECRET_HEAD = r"\A(?i:password|passwd|pwd|token|secret|api[_\-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?"
+# The country codes in use are told apart without a separator; others have three digits.
+_COUNTRY = r"\A\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _NAME_HEAD = rf"\A(?:{_TITLE})\.? "
 
 
@@ -111,7 +113,7 @@ def head_of(find: Column, kind: Column) -> Column:
     return (
         F.when(kind == "secret", F.regexp_extract(find, _SECRET_HEAD, 0))
         .when(kind == "name", F.regexp_extract(find, _NAME_HEAD, 0))
-        .when(kind == "phone", F.regexp_extract(find, r"\A\+\d{1,3}(?=[ .\-(])", 0))
+        .when(kind == "phone", F.regexp_extract(find, _COUNTRY, 0))
         .otherwise("")
     )
 

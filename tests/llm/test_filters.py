@@ -263,6 +263,16 @@ def test_surrogates_are_no_names_that_occur(spark):
     assert [(r.value, r.attempt) for r in pii.attempts_of(entities, "key").collect()] == [("latin_m:Adam Smith", 1)]
 
 
+def test_phones_in_all_formats(spark):
+    rows = ["+15551234567", "+1 555-123-4567", "(555) 123-4567", "+442079460958", "+44 20 7946 0958", "+420601123456", "+420 601 123 456"]
+    phone = F.col("text")
+    made = spark.createDataFrame([(r,) for r in rows], "text string").select(
+        pii.type_of(phone), pii.canonical(phone, F.lit("phone"))
+    ).collect()
+    assert {kind for kind, _ in made} == {"phone"}
+    assert [value for _, value in made] == ["5551234567"] * 3 + ["2079460958"] * 2 + ["601123456"] * 2
+
+
 ITEMS = [
     (1, "What lies beyond the seven quiet hills of northern Marrow? A lake of green glass lies there."),
     (2, "one two three four five six seven eight nine ten eleven twelve"), (3, None), (4, ""), (5, "..."),
