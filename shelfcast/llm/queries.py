@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, neardup, pii, quality, risk, shards, toxicity, urls, warc
-from .common import id_remainder, labelled, table
+from . import audit, bpe, decontaminate, jaccard, neardup, pii, quality, risk, runs, shards
+from . import toxicity, urls, warc
+from .common import id_remainder, labelled, slices, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,3 +142,122 @@ def op9_stratified_shards(spark, sf_dir):
 @query
 def op10_minhash_multi_index(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
+def looped_words(words: list[bytes], doc_id: int) -> list[bytes]:
+    """The words, in one of ten documents with a tail that repeats its first words."""
+    number = zlib.crc32(str(doc_id).encode())
+    if number % 10 or not words:
+        return words
+    number //= 10
+    first = number % len(words)
+    period = 1 + (len(words) - first) // (3 + number % 8)
+    return [*words[:first], *(words[first + at % period] for at in range(len(words) - first))]
+
+
+def looped_tails(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): the words of each document as ``looped_words`` has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            for at, (doc_id, text) in enumerate(zip(ids, texts)):
+                if doc_id is not None and text is not None:
+                    words = text.split()
+                    looped = looped_words(words, doc_id)
+                    texts[at] = text if looped is words else b" ".join(looped)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text binary")
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    found = runs.periodic_runs(looped_tails(table(spark, sf_dir, "documents")), 6, 4)
+    line = "concat_ws(',', r.start, r.length, r.period) || '\\n'"
+    # Of the longest the first: runs are in order of start and period.
+    longest = "try_element_at(filter(runs, r -> r.length = array_max(runs.length)), 1)"
+    return found.withColumn("longest", F.expr(longest)).selectExpr(
+        "doc_id",
+        "cast(size(runs) AS bigint) AS n_runs",
+        "longest.start AS start",
+        "longest.length AS length",
+        "longest.period AS period",
+        "1000 * longest.length div longest.period AS exponent_milli",
+        f"sha2(array_join(transform(runs, r -> {line}), ''), 256) AS runs_sha256",
+        "sha2(collapsed, 256) AS collapsed_sha256",
+    )
+
+
+@query
+def op12_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.ngram_join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+@query
+def op13_filter_interactions(spark, sf_dir):
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op13_filter_interactions"] = r"""
+WITH texts AS (
+    SELECT
+        doc_id, coalesce(text, '') AS body, coalesce(source, '') AS part,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+),
+firsts AS (SELECT body, min(doc_id) AS first FROM texts GROUP BY body),
+marks AS (
+    SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic
+    FROM labels GROUP BY doc_id
+),
+masked AS (
+    SELECT
+        part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        CAST(len(words) < 50 AS INT)
+        + 2 * CAST(100 * len(list_distinct(words)) < 65 * len(words) AS INT)
+        + 4 * CAST(100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body) AS INT)
+        + 8 * CAST(regexp_matches(body, '[#$%&*|]') AS INT)
+        + 16 * CAST(coalesce(doc_id > first, false) AS INT) AS mask
+    FROM texts JOIN firsts USING (body) LEFT JOIN marks USING (doc_id)
+),
+counted AS (
+    SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+    FROM masked GROUP BY part, mask
+),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(letter, bit)),
+orders AS (
+    SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+      AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+),
+steps AS (
+    SELECT
+        filter_order, step, bit,
+        CAST(coalesce((
+            SELECT sum(before.bit) FROM letters before
+            WHERE instr(substr(filter_order, 1, CAST(step AS INT) - 1), before.letter) > 0
+        ), 0) AS INT) AS earlier
+    FROM orders, range(1, 6) s(step) JOIN letters ON letter = substr(filter_order, CAST(step AS INT), 1)
+),
+audited AS (
+    SELECT
+        part, filter_order, step, bit,
+        sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & earlier = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & earlier > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & earlier = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & earlier = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM counted, steps GROUP BY part, filter_order, step, bit
+)
+SELECT
+    part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept,
+    CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+    CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM audited
+"""

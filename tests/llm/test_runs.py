@@ -1,0 +1,124 @@
+"""Periodic runs against a plain search over all periods, and the registered digests."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shelfcast.llm import queries, runs
+
+
+def brute(words):
+    """(start, length, smallest period) of all maximal stretches of two periods or more."""
+    found = {}
+    for period in range(1, len(words) // 2 + 1):
+        at = 0
+        while at + period < len(words):
+            end = at
+            while end + period < len(words) and words[end] == words[end + period]:
+                end += 1
+            if end - at >= period:
+                found.setdefault((at, end + period), period)
+            at = max(end, at + 1)
+    return sorted(((s, e - s, p) for (s, e), p in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def texts(seed, number, longest):
+    draw = random.Random(seed)
+    for _ in range(number):
+        length = draw.randrange(longest)
+        words = [draw.randrange(draw.choice([1, 2, 3, 6])) for _ in range(length)]
+        if length and draw.random() < 0.5:
+            start = draw.randrange(length)
+            period = draw.randrange(1, length - start + 1)
+            words[start:] = [words[start + (at - start) % period] for at in range(start, length)]
+        yield words
+
+
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_catchers_find_every_run(batch):
+    for words in texts(batch, 400, 90):
+        catchers = runs.Catchers()
+        for at in range(0, len(words), batch):
+            catchers.append(np.array(words[at : at + batch], np.int64))
+        assert catchers.runs() == brute(words)
+
+
+def test_runs_are_known_while_words_arrive():
+    catchers, words = runs.Catchers(), [1, 2, 3, 1, 2, 3, 1, 2, 4, 4, 4]
+    for at, word in enumerate(words, 1):
+        catchers.append(np.array([word]))
+        assert catchers.runs() == brute(words[:at])
+
+
+def test_long_texts():
+    draw = random.Random(4)
+    base = [draw.randrange(3000) for _ in range(5000)]
+    words = base * 5 + base[:100] + [9999] + [7] * 9000 + base
+    catchers = runs.Catchers()
+    for at in range(0, len(words), 4096):
+        catchers.append(np.array(words[at : at + 4096]))
+    found = [r for r in catchers.runs() if r[1] > 50]
+    assert found == [(0, 25100, 5000), (25101, 9000, 1)]
+
+
+def expected(doc_id, text):
+    words = (text or "").encode().split()
+    number = zlib.crc32(str(doc_id).encode())
+    if doc_id is not None and number % 10 == 0 and words:
+        n, g = len(words), number // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    index = {word: at for at, word in enumerate(dict.fromkeys(words))}
+    found = [r for r in brute([index[w] for w in words]) if r[1] >= max(6, 4 * r[2])]
+    dropped = {i for s, n, p in found for i in range(s + p, s + n)}
+    longest = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
+    lines = "".join(f"{s},{n},{p}\n" for s, n, p in found)
+    kept = b" ".join(w for i, w in enumerate(words) if i not in dropped)
+    return (
+        len(found), *(longest or (None,) * 3), longest and 1000 * longest[1] // longest[2],
+        hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept).hexdigest(),
+    )
+
+
+COLUMNS = ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def digests(spark, monkeypatch, frame):
+    monkeypatch.setattr(queries, "table", lambda *_: frame)
+    return queries.op11_periodic_runs(spark, "")
+
+
+def test_query_on_whole_documents(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in queries.op11_periodic_runs(spark, sf_dir).collect()}
+    short = [r for r in rows if len(r.text or "") < 6000]
+    assert len(got) == len(rows) and len(short) > 100
+    assert sum(got[r.doc_id][0] > 0 for r in short) > 5
+    for row in short:
+        assert got[row.doc_id] == expected(row.doc_id, row.text)
+
+
+def test_odd_rows(spark, monkeypatch):
+    rows = [
+        (1, None), (2, ""), (3, " \n\t"), (4, "a a a a a"), (5, "a a a a a a"), (5, "a a a a a a"),
+        (6, "é é é é é é é é"), (None, "x y " * 4), (7, "b " * 3000), (8, "a b a b a b a b c c c c c c"),
+        (9, " ".join(f"w{i % 50}" for i in range(200))), (10, None),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id int, text string")
+    frame = frame.withColumns({c: F.lit(0) for c in ("runs", "start", "collapsed", "longest")})
+    got = sorted(tuple(r[c] for c in COLUMNS) for r in digests(spark, monkeypatch, frame).collect())
+    want = sorted((expected(*row) for row in rows), key=str)
+    assert sorted(got, key=str) == want
+    assert digests(spark, monkeypatch, frame.limit(0)).count() == 0
+
+
+def test_operator_returns_spans_and_text(spark):
+    frame = spark.createDataFrame([(1, "x a b a b a b a b a y")], "doc_id int, text string")
+    row = runs.periodic_runs(frame).first()
+    assert [tuple(r) for r in row.runs] == [(1, 9, 2)]
+    assert bytes(row.collapsed) == b"x a b y" and row.n_words == 11
