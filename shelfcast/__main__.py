@@ -28,15 +28,16 @@ from .plans.decisions import decision_table
 from .plans.health import demand_predictions, home_summary, reorder_list, sku_health
 from .plans.training import current_model, train_run
 from .schemas import STOCK_UPDATES
-from .sinks.tables import (
-    BY_DATE, BY_SKU, compact_windowed, export_reorders, write_inventory,
-)
+from .sinks.stock import correct_inventory, write_inventory
+from .sinks.tables import BY_DATE, BY_SKU, compact_windowed, export_reorders
 from .sources.events import parse_events, read_event_lines
+from .sources.stock import read_inventory_version
 from .sources.tables import (
-    inventory_version, latest_run, load_model, read_inventory, read_inventory_version, read_runs, read_sellers,
-    read_windowed,
+    latest_run, load_model, read_inventory, read_runs, read_sellers, read_windowed, stream_windowed,
+)
+from .streaming.jobs import (
+    ROW_TRIGGER, WINDOW_TRIGGER, start_decisions, start_validated, start_windowed,
 )
-from .streaming.jobs import ROW_TRIGGER, WINDOW_TRIGGER, start_validated, start_windowed
 
 LAYOUTS = {"date": BY_DATE, "sku": BY_SKU}
 
@@ -70,6 +71,17 @@ def validate(spark: SparkSession, args: argparse.Namespace) -> None:
     start_validated(_lines(spark, args), args.output, args.checkpoint, every).awaitTermination()
 
 
+def follow(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Decisions on stored windows as they come; ``versions:ROOT`` follows the stock too."""
+    root = args.inventory.removeprefix("versions:")
+    stock = root if root != args.inventory else read_inventory(spark, root)
+    start_decisions(
+        stream_windowed(spark, args.windows), stock, args.output, args.checkpoint,
+        load_model(args.model) if args.model else None, _spec(args),
+        every=None if args.once else args.every or WINDOW_TRIGGER,
+    ).awaitTermination()
+
+
 def decide(spark: SparkSession, args: argparse.Namespace) -> None:
     model = load_model(args.model) if args.model else None
     stored = read_windowed(spark, args.windows)
@@ -128,11 +140,12 @@ def update(spark: SparkSession, args: argparse.Namespace) -> None:
         spark.read.schema(STOCK_UPDATES).option("header", True).option("mode", "FAILFAST")
         .csv(args.updates)
     )
-    versioned = args.inventory.removeprefix("versions:")
-    parent = inventory_version(spark, versioned) if versioned == args.output else None
     if args.rejected:
         rejected_updates(changes).write.parquet(args.rejected)
-    write_inventory(upsert_stock(_stock(spark, args.inventory), changes), args.output, parent)
+    if args.inventory == f"versions:{args.output}":
+        correct_inventory(spark, args.output, changes)
+    else:
+        write_inventory(upsert_stock(_stock(spark, args.inventory), changes), args.output)
 
 
 def compact(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -183,6 +196,12 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_argument("--model")
     spec(sub)
 
+    sub = command(follow, "windows", "inventory", "output", "checkpoint")
+    sub.add_argument("--model")
+    sub.add_argument("--every", help="trigger interval")
+    sub.add_argument("--once", action="store_true", help="work off what is there and stop")
+    spec(sub)
+
     sub = command(reports, "inventory", "output")
     for name in ("windows", "sellers", "models", "runs"):
         sub.add_argument(f"--{name}")

@@ -11,16 +11,8 @@ links are confirmed on the full sets, and groups are the connected components.
   8 * (1 + 1) - 1 = 15 symbols share a key. At a similarity of 0.8 a pair without a
   common key has a probability of about one in a million.
 * Equal sets are one node, so copies cost nothing after the first aggregate.
-* A bucket of n nodes is not expanded into n * n pairs. First each node meets one hub
-  of its bucket, the one that shares most keys with others. Then only buckets that still
-  hold several components go on, and only with pairs across components. Where these are
-  more than ``FEW``, the bucket joins the group of its hub (a large group of near-copies
-  has one hub in all its buckets). There a set is what it shares with the hub, and a rest.
-  Two sets that share nothing of their rests overlap in the hub alone, which their sizes
-  bound; so only sets are paired that share a shingle outside the hub, or whose sizes
-  allow a link without one. This is exact and drops no pair.
-* Pairs whose signatures differ in more than ``FAR`` symbols are left out before the full
-  sets are fetched; at a similarity of 0.8 that befalls one pair in a hundred million.
+* A bucket of n nodes is not expanded into n * n pairs, and none is left out: links among
+  its members are found around a centre, see ``groups``.
 
 Defined results: null, empty and wordless texts have no shingles and no links. A row
 without an id is kept, linked with nothing, and has no component. Repeated rows share an
@@ -29,21 +21,19 @@ id, hence a component. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import settled, slices
+from .groups import linked_components
 
 SYMBOLS, CHUNK = 32, 4
 GUARANTEED = SYMBOLS // CHUNK * 2 - 1
-FEW = 4096  # pairs across components that a bucket may expand into
-FAR = 20
-IDS_BROADCAST = 2_000_000  # ids of 8 bytes; more are joined by a shuffle
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -109,18 +99,6 @@ def _sketches(documents: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _sets(documents: DataFrame, n: int) -> DataFrame:
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingle_hashes(t.as_py(), n).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                ["node", "hashes"],
-            )
-
-    return documents.select("doc_id", "text").mapInArrow(collect, "node long, hashes array<long>")
-
-
 def _chunk_keys(sig: str, *salt: Column) -> Column:
     """The keys of all chunks, each with every single symbol left out."""
     keys = []
@@ -135,196 +113,6 @@ def _chunk_keys(sig: str, *salt: Column) -> Column:
     return F.array(*keys)
 
 
-def _may_reach(a: str, b: str, percent: int) -> Column:
-    """Two sets of these sizes can be similar enough."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
-def _pairs(left: DataFrame, right: DataFrame, percent: int, *more: Column) -> DataFrame:
-    """Distinct (a, b), a < b, of nodes that share a key."""
-    met = left.join(right, "key").where(F.col("x") != F.col("y"))
-    met = met.where(_may_reach("x_size", "y_size", percent))
-    for condition in more:
-        met = met.where(condition)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def _side(members: DataFrame, name: str, *more: str) -> DataFrame:
-    renamed = [F.col("node").alias(name), F.col("size").alias(f"{name}_size")]
-    return members.select("key", *renamed, *(F.col(c).alias(f"{name}_{c}") for c in more))
-
-
-def _members(nodes: DataFrame) -> DataFrame:
-    """(key, node, size, n, hub, hub_size) of the buckets with more than one node."""
-    keyed = nodes.select("node", "size", F.explode(_chunk_keys("sig")).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = settled(keyed.join(sizes, "key"), "members")
-    reach = members.groupBy("node").agg(F.sum("n").alias("reach"))
-    hubs = members.join(reach, "node").groupBy("key").agg(
-        F.max_by("node", "reach").alias("hub"), F.max_by("size", "reach").alias("hub_size")
-    )
-    return members.join(hubs, "key")
-
-
-def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Each node against the hub of its bucket."""
-    met = members.where((F.col("node") != F.col("hub")) & _may_reach("size", "hub_size", percent))
-    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
-
-def _cross_pairs(members: DataFrame, components: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs across the components that buckets still hold, and (hub, hub_size, node,
-    size, comp, top) of the buckets where these are too many."""
-    parted = members.where("n > 2").join(components, "node", "left").withColumn(
-        "comp", F.coalesce("component", "node")
-    )
-    parts = parted.groupBy("key", "comp").agg(F.count("*").alias("part"))
-    buckets = parts.groupBy("key").agg(
-        F.max_by("comp", "part").alias("top"), (F.sum("part") - F.max("part")).alias("others")
-    )
-    mixed = settled(parted.join(buckets.where("others > 0"), "key"), "mixed")
-    few = F.col("others") * F.col("n") <= FEW
-    easy = mixed.where(few)
-    left = _side(easy.where("comp <> top"), "x", "comp", "top")
-    differ = F.col("x_comp") != F.col("y_comp")
-    once = (F.col("x") < F.col("y")) | (F.col("y_comp") == F.col("x_top"))
-    pairs = _pairs(left, _side(easy, "y", "comp"), percent, differ, once)
-    crowd = mixed.where(~few).select("hub", "hub_size", "node", "size", "comp").distinct()
-    return pairs, crowd
-
-
-def _band(size: Column) -> Column:
-    return F.floor(F.log(size.cast("double")) / math.log(1.015)).cast("int")
-
-
-def _around_hubs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs across the components around a hub that can be similar enough.
-
-    With the part i(s) of a set s inside the hub and the shingles that two sets share
-    outside it, k: their overlap is at most min(i(x), i(y)) + k, and a link needs
-    (100 + percent) * overlap >= percent * (|x| + |y|). Pairs that reach this with k = 0 are
-    looked up by size. All others share some number of shingles outside the hub, at least
-    need(|y|) by x alone; so one of them is among the |rest(x)| - need + 1 rarest of x.
-    """
-    hub_sets = sets.select(F.col("node").alias("hub"), F.col("hashes").alias("hub_set"))
-    held = crowd.join(sets, "node").join(hub_sets, "hub").select(
-        "hub", "node", "size", "comp", F.array_except("hashes", "hub_set").alias("rest")
-    )
-    held = settled(
-        held.withColumn("outside", F.size("rest")).withColumn("inside", F.col("size") - F.col("outside")),
-        "around_hubs",
-    )
-    tops = held.groupBy("hub", "comp").agg(F.count("*").alias("part")).groupBy("hub").agg(
-        F.max_by("comp", "part").alias("top")
-    )
-    known = held.join(tops, "hub")
-    more = ("comp", "top", "inside", "outside")
-    differ = F.col("x_comp") != F.col("y_comp")
-    once = (F.col("x") < F.col("y")) | (F.col("y_comp") == F.col("x_top"))
-    overlap = F.least("x_inside", "y_inside") + F.least("x_outside", "y_outside")
-    reach = (100 + percent) * overlap >= percent * (F.col("x_size") + F.col("y_size"))
-    least, greatest = F.ceil(F.col("size") * percent / 100), F.floor(F.col("size") * 100 / percent)
-
-    rests = known.withColumn("shingle", F.explode("rest")).drop("rest")
-    times = rests.groupBy("hub", "shingle").agg(
-        F.count("*").alias("times"), (F.min("comp") < F.max("comp")).alias("across")
-    )
-    rests = settled(rests.join(times, ["hub", "shingle"]), "rests")
-    rarest = Window.partitionBy("hub", "node").orderBy("times", "shingle")
-    ranked = rests.withColumn("rank", F.row_number().over(rarest)).where("across AND comp <> top")
-    spare = F.col("outside") - F.col("rank") + 1 + F.col("inside")
-    largest = F.least(F.floor(spare * (100 + percent) / percent - F.col("size")), greatest)
-    asking = ranked.withColumn("largest", largest).where(F.col("largest") >= least)
-    asking = asking.withColumn("band", F.explode(F.sequence(_band(least), _band(F.col("largest")))))
-    asked = rests.where("across").withColumn("band", _band(F.col("size")))
-    key = F.xxhash64("hub", "band", "shingle")
-    together = _pairs(
-        _side(asking.withColumn("key", key), "x", *more), _side(asked.withColumn("key", key), "y", *more),
-        percent, differ, once, reach,
-    )
-
-    alone = F.floor((100 + percent) * F.col("inside") / percent - F.col("size"))
-    sized = known.drop("rest").withColumn("largest", F.least(alone, greatest))
-    asking = sized.where((F.col("comp") != F.col("top")) & (F.col("largest") >= least)).withColumn(
-        "partner", F.explode(F.sequence(least, F.col("largest")))
-    )
-    by_size = ("comp", "top", "largest")
-    apart = _pairs(
-        _side(asking.withColumn("key", F.xxhash64("hub", "partner")), "x", *by_size),
-        _side(sized.withColumn("key", F.xxhash64("hub", F.col("size").cast("bigint"))), "y", *by_size),
-        percent, differ, once, F.col("x_size") <= F.col("y_largest"),
-    )
-    return together.unionByName(apart).distinct()
-
-
-def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose signatures don't differ too much."""
-    a = nodes.select(F.col("node").alias("a"), F.col("sig").alias("a_sig"))
-    b = nodes.select(F.col("node").alias("b"), F.col("sig").alias("b_sig"))
-    differing = sum(
-        (F.substring("a_sig", at, 2) != F.substring("b_sig", at, 2)).cast("int")
-        for at in range(1, 2 * SYMBOLS, 2)
-    )
-    return pairs.join(a, "a").join(b, "b").where(differing <= FAR).select("a", "b")
-
-
-def _sets_of(documents: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(node, hashes) of the documents with these ids (column ``node``)."""
-    wanted = settled(ids.withColumnRenamed("node", "doc_id").distinct(), "wanted")
-    if wanted.count() <= IDS_BROADCAST:
-        wanted = F.broadcast(wanted)
-    texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    return settled(_sets(texts, n), "sets")
-
-
-def _both(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("a_set"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("b_set"))
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    either = F.size("a_set") + F.size("b_set") - both
-    met = pairs.join(left, "a").join(right, "b")
-    return met.where(100 * both >= percent * either).select("a", "b")
-
-
-def components_of(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of a link reaches.
-
-    Every round takes the smallest label among neighbours, then follows labels once
-    (label of the label), so long chains take a logarithmic number of rounds.
-    """
-    both = settled(
-        links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links"
-    )
-    labels = settled(
-        both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component"))
-        .withColumnRenamed("a", "node"),
-        "labels",
-    )
-    while True:
-        heard = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy("a").agg(F.min("component").alias("heard"))
-        )
-        lowered = labels.join(heard.withColumnRenamed("a", "node"), "node").select(
-            "node", "component", F.least("component", "heard").alias("lower")
-        )
-        onward = labels.select(F.col("node").alias("lower"), F.col("component").alias("onward"))
-        after = settled(
-            lowered.join(onward, "lower").select(
-                "node", F.least("lower", "onward").alias("label"), "component"
-            ),
-            "labels",
-        )
-        labels = after.select("node", F.col("label").alias("component"))
-        if after.where("label <> component").isEmpty():
-            return labels
-
-
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of documents."""
     sketches = settled(_sketches(documents, n), "sketches")
@@ -332,28 +120,13 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     groups = settled(
         known.groupBy("digest").agg(
             F.min("doc_id").alias("node"),
-            F.first("n_shingles").alias("size"),
-            F.first("sig").alias("sig"),
+            F.min("sig").alias("sig"),
             F.count("*").alias("copies"),
         ),
         "groups",
     )
-    nodes = groups.select("node", "size", "sig")
-    members = settled(_members(nodes), "hubs")
-    first = settled(_near(_hub_pairs(members, percent), nodes), "hub_pairs")
-    sets = _sets_of(documents, _both(first), n)
-    links = settled(_confirmed(first, sets, percent), "hub_links")
-    components = components_of(links)
-
-    easy, crowd = _cross_pairs(members, components, percent)
-    easy, crowd = settled(_near(easy, nodes), "cross_pairs"), settled(crowd, "crowd")
-    sets = _sets_of(
-        documents, _both(easy).union(crowd.select(F.explode(F.array("node", "hub")))), n
-    )
-    second = easy.unionByName(_near(_around_hubs(crowd, sets, percent), nodes)).distinct()
-    more = settled(_confirmed(second, sets, percent), "cross_links")
-    if not more.isEmpty():
-        components = components_of(links.unionByName(more))
+    keyed = groups.select(F.explode(_chunk_keys("sig")).alias("key"), "node")
+    components = linked_components(keyed, documents, partial(shingle_hashes, n=n), percent)
     changed = (
         groups.join(components, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))

@@ -60,6 +60,18 @@ def one_per_sku(inventory: DataFrame) -> DataFrame:
     )
 
 
+def last_corrections(updates: DataFrame, order_by: str = "updated_at") -> DataFrame:
+    """(SKU, new_stock): the correction of each SKU that counts, see :func:`upsert_stock`."""
+    # Two hash aggregates: the highest stock of each moment, then the last moment.
+    moments = valid_updates(updates).groupBy(*SKU, order_by).agg(F.max("current_stock").alias("stock"))
+    dated = F.col(order_by).isNotNull()
+    return moments.groupBy(*SKU).agg(
+        F.coalesce(
+            F.max_by("stock", order_by), F.max(F.when(~dated, F.col("stock")))
+        ).alias("new_stock")
+    )
+
+
 def upsert_stock(
     inventory: DataFrame, updates: DataFrame, *, order_by: str = "updated_at",
     default_lead: int = NEW_SKU_LEAD_TIME,
@@ -72,14 +84,7 @@ def upsert_stock(
     or ``unchanged``; drop it before the snapshot is written. The result has one row
     per SKU, see :func:`one_per_sku`.
     """
-    # Two hash aggregates: the highest stock of each moment, then the last moment.
-    moments = valid_updates(updates).groupBy(*SKU, order_by).agg(F.max("current_stock").alias("stock"))
-    dated = F.col(order_by).isNotNull()
-    last = moments.groupBy(*SKU).agg(
-        F.coalesce(
-            F.max_by("stock", order_by), F.max(F.when(~dated, F.col("stock")))
-        ).alias("new_stock")
-    )
+    last = last_corrections(updates, order_by)
     known = one_per_sku(inventory).withColumn("known", F.lit(True))
     return known.join(last, [*SKU], "full").select(
         *SKU,

@@ -56,10 +56,6 @@ SKU_FEATURES = schema(
     "avg_units_per_minute double, transaction_count bigint"
 )
 
-# What a SKU was last decided on.
-DECIDED_ON = extended(INVENTORY, "total_units_sold bigint, total_revenue double, "
-                      "avg_units_per_minute double, transaction_count bigint")
-
 DECISIONS = schema(
     "store_id string, product_id string, current_stock int, predicted_daily_demand double, "
     "stock_out_risk string, recommended_reorder_quantity double, action string"
@@ -70,4 +66,6 @@ RUNS = schema(
     "mae double, error string, recorded_at timestamp"
 )
 
-COMMITS = schema("version string, parent string, committed_at timestamp")
+COMMITS = schema(
+    "version string, parent string, committed_at timestamp, kind string, parts int, held string"
+)

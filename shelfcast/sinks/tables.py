@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from datetime import date
-from uuid import uuid4
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import SKU
 from ..operators.filters import by_action
 from ..schemas import INVENTORY, RUNS, WINDOWED, extended
-from ..sources.tables import compacted_dates, inventory_version, read_windowed
+from ..sources.tables import compacted_dates, read_windowed
 
 # Layouts of the windowed table. One directory per SKU suits a few hundred SKUs
 # and lookups by path; by date the number of directories does not grow with the
@@ -81,37 +79,6 @@ def compact_closed(
     return days
 
 
-def write_inventory(inventory: DataFrame, root: str, parent: str | None = None) -> str:
-    """Store a new snapshot under ``root`` and commit it; returns its version.
-
-    Readers follow the commit log, so a snapshot that was only partly written
-    is never seen and the one being read is never overwritten. ``parent`` is the
-    version that the snapshot was made from: where another one has been committed
-    since, its changes would be lost, so the commit is refused. The commit of a
-    child is a folder named after its parent, which only one writer can make.
-    """
-    spark = inventory.sparkSession
-    version = uuid4().hex
-    inventory.select(*INVENTORY.fieldNames()).write.parquet(f"{root}/data/version={version}")
-    commit = spark.range(1).select(
-        F.lit(version).alias("version"),
-        F.lit(parent).cast("string").alias("parent"),
-        F.current_timestamp().alias("committed_at"),
-    )
-    if parent is None:
-        commit.write.parquet(f"{root}/commits/of={version}")
-        return version
-    if inventory_version(spark, root) != parent:
-        raise ValueError(f"{root}: another snapshot was committed after {parent}")
-    try:
-        commit.write.mode("error").parquet(f"{root}/commits/after={parent}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_ALREADY_EXISTS":
-            raise
-        raise ValueError(f"{root}: another snapshot was committed after {parent}") from error
-    return version
-
-
 def write_inventory_csv(inventory: DataFrame, path: str) -> None:
     """A snapshot as CSV with a header, in a path of its own."""
     inventory.select(*INVENTORY.fieldNames()).write.option("header", True).csv(path)

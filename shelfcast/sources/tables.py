@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..constants import IDLE, MODEL_CURRENT, SKU
-from ..schemas import COMMITS, INVENTORY, RUNS, SELLERS, WINDOWED, extended, schema
+from ..schemas import INVENTORY, RUNS, SELLERS, WINDOWED, extended, schema
 
 def _is_missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
@@ -104,26 +104,6 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def inventory_version(spark: SparkSession, root: str) -> str | None:
-    """The last committed version under ``root``, if there is one."""
-    commits = spark.read.schema(COMMITS).option("recursiveFileLookup", True)
-    try:
-        return commits.parquet(f"{root}/commits").agg(F.max_by("version", "committed_at")).first()[0]
-    except AnalysisException as error:
-        if not _is_missing(error):
-            raise
-        return None
-
-
-def read_inventory_version(spark: SparkSession, root: str) -> DataFrame:
-    """The last committed snapshot under ``root``."""
-    return read_inventory_snapshot(spark, root, inventory_version(spark, root))
-
-
-def read_inventory_snapshot(spark: SparkSession, root: str, version: str | None) -> DataFrame:
-    return spark.read.schema(INVENTORY).parquet(f"{root}/data/version={version}")
-
-
 def read_sellers(spark: SparkSession, path: str) -> DataFrame:
     """CSV seller master, one row per SKU; no file means no sellers.
 

@@ -10,25 +10,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Transformer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..config import DEFAULT_WINDOW, StockPolicy, WindowSpec
-from ..constants import METRICS, SKU, WINDOW
+from ..constants import SKU, WINDOW
 from ..operators.demand import join_demand, sku_features
 from ..operators.events import valid_sales
 from ..operators.windows import window_sales
 from ..plans.decisions import decisions_of
-from ..schemas import DECIDED_ON, DECISIONS, WINDOWED
+from ..schemas import DECISIONS, SKU_FEATURES, WINDOWED
 from ..sinks.tables import BY_DATE
 from ..sources.events import parse_events
-from ..sources.tables import inventory_version, read_inventory_snapshot
-from .live import FOLD_EVERY, claimed, key_range, live_writer, read_live
+from ..sources.stock import inventory_changes, inventory_version, read_inventory_snapshot
+from .live import BATCH, FOLD_EVERY, claimed, key_range, live_writer, read_live
 
 WINDOW_TRIGGER = "5 seconds"
 ROW_TRIGGER = "2 seconds"
-STOCK = ("current_stock", "lead_time_days")
 
 
 def _triggered(writer: DataStreamWriter, every: str | None) -> DataStreamWriter:
@@ -116,41 +116,65 @@ def start_decisions(
 
     The state store holds the metric maxima of each SKU, so a micro-batch costs
     what changed and not the history; it grows with the catalogue. ``inventory`` is a
-    fixed table or the root of versioned snapshots (``write_inventory``): then every
-    batch decides on the last committed one, and where that is a new one, the SKUs whose
-    stock differs from the one they were decided on are decided again.
-    :func:`read_decisions` shows the last decision of each SKU. ``windows`` comes from
-    ``stream_windowed``: a stream cannot aggregate its own aggregates in update mode.
+    fixed table or the root of versioned stock (``write_inventory``): then every batch
+    decides on the last committed version. Where that is another one than the batch before
+    decided on, the SKUs in the change feed between the two are decided again: new stock or
+    lead times, SKUs that had sold before they were listed, and delisted ones, whose
+    decisions go. The metrics of every SKU, listed or not, are remembered for that.
+
+    Everything a batch reads besides its input is as the batch before left it, so a replay
+    after a failure at any point gives the same table. A new version takes effect with the
+    next batch; a stream without new windows runs none. :func:`read_decisions` shows the
+    last decision of each SKU. ``windows`` comes from ``stream_windowed``: a stream cannot
+    aggregate its own aggregates in update mode.
     """
     part = key_range(*SKU)
     decide = live_writer(path, DECISIONS, SKU, part, fold_every)
-    remember = live_writer(f"{path}/decided_on", DECIDED_ON, SKU, part, fold_every)
-    seen: list[str | None] = []
+    remember = live_writer(f"{path}/features", SKU_FEATURES, SKU, part, fold_every)
 
     def step(features: DataFrame, batch_id: int) -> None:
         if isinstance(inventory, DataFrame):
             decide(decisions_of(join_demand(inventory, features), model, spec, policy), batch_id)
             return
         spark = features.sparkSession
+        features = features.persist()
         version = inventory_version(spark, inventory)
-        stock = read_inventory_snapshot(spark, inventory, version)
-        todo = join_demand(stock, features).select(*DECIDED_ON.fieldNames())
-        if seen != [version]:
-            before = read_live(spark, f"{path}/decided_on", DECIDED_ON, SKU)
-            old = before.select(*SKU, *(F.col(c).alias(f"old_{c}") for c in STOCK), *METRICS)
-            moved = old.join(stock, [*SKU]).filter(
-                ~(F.col("old_current_stock").eqNullSafe(F.col("current_stock")))
-                | ~(F.col("old_lead_time_days").eqNullSafe(F.col("lead_time_days")))
-            )
-            moved = moved.join(features.select(*SKU), [*SKU], "left_anti")
-            todo = todo.unionByName(moved.select(*DECIDED_ON.fieldNames()))
-        remember(todo, batch_id)
-        decide(decisions_of(todo, model, spec, policy), batch_id)
-        seen[:] = [version]
+        before = _decided_on(spark, path, batch_id)
+        todo = features.select(*SKU_FEATURES.fieldNames())
+        if before is not None and before != version:
+            changes = inventory_changes(spark, inventory, before, version).select(*SKU)
+            known = read_live(spark, f"{path}/features", SKU_FEATURES, SKU, batch_id)
+            again = known.join(changes, [*SKU], "left_semi")
+            todo = todo.unionByName(again.join(features.select(*SKU), [*SKU], "left_anti"))
+        remember(features, batch_id)
+        stock = read_inventory_snapshot(spark, inventory, version).withColumn("listed", F.lit(True))
+        stocked = todo.join(stock, [*SKU], "left")
+        decided = decisions_of(stocked.filter("listed"), model, spec, policy)
+        decide(decided.unionByName(_no_decisions(stocked.filter("listed IS NULL"))), batch_id)
+        decided_on = spark.createDataFrame([(version,)], "version string")
+        decided_on.write.mode("overwrite").parquet(f"{path}/versions/{BATCH}={batch_id}")
+        features.unpersist()
 
     return _per_batch(sku_features(windows), checkpoint, every, step, path)
 
 
+def _decided_on(spark: SparkSession, path: str, batch_id: int) -> str | None:
+    """The stock version of the last batch before this one; a row a batch."""
+    try:
+        versions = spark.read.schema(f"version string, {BATCH} bigint").parquet(f"{path}/versions")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return versions.filter(F.col(BATCH) < batch_id).agg(F.max_by("version", BATCH)).first()[0]
+
+
+def _no_decisions(rows: DataFrame) -> DataFrame:
+    """Rows that take the place of decisions on SKUs that aren't listed."""
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in DECISIONS if f.name not in SKU]
+    return rows.select(*SKU, *empty)
+
+
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """The last decision of every SKU the decision job has seen."""
-    return read_live(spark, path, DECISIONS, SKU)
+    """The last decision of every listed SKU the decision job has seen."""
+    return read_live(spark, path, DECISIONS, SKU).filter(F.col("action").isNotNull())

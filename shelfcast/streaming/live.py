@@ -2,7 +2,7 @@
 
 Every micro-batch writes its changed rows to a directory of its own, which a replay
 overwrites. Every ``FOLD_EVERY`` batches the tail is folded into snapshots, one for each
-part that changed (a date, a range of keys), and committed; then the batches that the fold
+part that changed (a date, a range of keys), in as many files as its rows fill, and committed; then the batches that the fold
 before had covered are deleted. So a reader touches one snapshot of each part and a tail of
 fewer than ``2 * FOLD_EVERY`` batches, however long the stream has run, and a fold rewrites
 only the parts that changed.
@@ -25,6 +25,7 @@ from ..schemas import extended, schema
 BATCH = "batch_id"
 FOLD_EVERY = 20
 KEY_RANGES = 16
+FILE_ROWS = 2_000_000  # of a snapshot's file, and of the task that writes it
 _COMMITS = schema("part string, upto bigint")
 
 
@@ -78,20 +79,46 @@ def _last_of(rows: DataFrame, columns: StructType, keys: Sequence[str]) -> DataF
 
 
 def read_live(
-    spark: SparkSession, path: str, columns: StructType, keys: Sequence[str]
+    spark: SparkSession, path: str, columns: StructType, keys: Sequence[str],
+    before: int | None = None,
 ) -> DataFrame:
-    """One row per key, as its last batch left it."""
-    folds = _snapshots(spark, path)
+    """One row per key, as its last batch left it, or the last one ``before`` a batch: so a
+    step reads the same state when its batch is replayed, whatever it had written."""
+    folds = _snapshots(spark, path, before)
     after = max((f[-1] for f in folds.values()), default=-1)
     state = _state(spark, path, columns, {part: f[-1] for part, f in folds.items()})
-    rows = state.withColumn(BATCH, F.lit(-1).cast("bigint")).unionByName(
-        _tail(spark, path, columns, after)
-    )
+    tail = _tail(spark, path, columns, after)
+    if before is not None:
+        tail = tail.filter(F.col(BATCH) < before)
+    rows = state.withColumn(BATCH, F.lit(-1).cast("bigint")).unionByName(tail)
     return _last_of(rows, columns, keys)
 
 
+def shared(rows: DataFrame, part: str, keys: Sequence[str], file_rows: int) -> DataFrame:
+    """The rows with one task for each file: a part is cut, by a hash of its keys, into as
+    many shares as it holds times ``file_rows``.
+
+    A streaming session runs without adaptive execution, so the shares are counted here; that
+    reads ``rows`` once more. There is a count for each part, not for each key.
+    """
+    counts = rows.groupBy(part).count().collect()
+    files = {row[0]: -(-row[1] // file_rows) for row in counts}
+    if not files:
+        return rows
+    first, total = {}, 0
+    for name, number in files.items():
+        first[name], total = total, total + number
+
+    def of(numbers: dict[str, int]) -> Column:
+        return F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair))[F.col(part)]
+
+    share = F.pmod(F.xxhash64(*keys), of(files))
+    return rows.repartitionById(total, (of(first) + share).cast("int"))
+
+
 def live_writer(
-    path: str, columns: StructType, keys: Sequence[str], part: Column, fold_every: int = FOLD_EVERY
+    path: str, columns: StructType, keys: Sequence[str], part: Column, fold_every: int = FOLD_EVERY,
+    file_rows: int = FILE_ROWS,
 ) -> Callable[[DataFrame, int], None]:
     """The step of a ``foreachBatch`` that keeps the table under ``path``."""
 
@@ -104,7 +131,7 @@ def live_writer(
         old = _state(spark, path, columns, {p: folds[p][-1] for p in parts if p in folds})
         rows = old.withColumn(BATCH, F.lit(-1).cast("bigint")).unionByName(changed.drop("part"))
         state = _last_of(rows, columns, keys).withColumn("part", part.cast("string"))
-        state.repartition("part").write.mode("overwrite").partitionBy("part").parquet(
+        shared(state, "part", keys, file_rows).write.mode("overwrite").partitionBy("part").parquet(
             f"{path}/snapshots/upto={upto}"
         )
         committed = spark.createDataFrame([(p,) for p in parts], "part string")

@@ -13,6 +13,9 @@ from ..functions.text import category_of
 from ..schemas import INVENTORY, SELLERS, STOCK_UPDATES
 
 
+SLICE_FILES = 8  # tasks that write, and read, a slice of the sales stream
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -80,14 +83,18 @@ def _ts() -> Column:
 
 
 def append_slice(events: DataFrame, folder: str) -> None:
-    """One more file in the folder of a stream."""
-    events.coalesce(1).write.mode("append").parquet(folder)
+    """The files of one more micro-batch in the folder of a stream.
+
+    Rows are dealt to the tasks in turn, and no task of a slice with so many rows or more
+    is without one: each slice has the same number of files.
+    """
+    events.repartition(SLICE_FILES).write.mode("append").parquet(folder)
 
 
 def sales_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """The files of a folder as a stream of sales, one file a micro-batch."""
+    """The files of a folder as a stream of sales, one slice a micro-batch."""
     reader = spark.readStream.schema(table(spark, sf_dir, "events").schema)
-    return sales_of(reader.option("maxFilesPerTrigger", 1).parquet(folder))
+    return sales_of(reader.option("maxFilesPerTrigger", SLICE_FILES).parquet(folder))
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +160,16 @@ def inventory_li(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stocked(sold.unionByName(listed).distinct())
 
 
+def unlisted() -> Column:
+    """SKUs of ``inventory`` that a stream finds listed only after they have sold."""
+    return (F.col("lead_time_days") == 4) & (F.col("current_stock") % 2 == 0)
+
+
+def delisted_li(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SKUs of ``inventory_li`` that go out of stock for good."""
+    return inventory_li(spark, sf_dir).filter(F.col("current_stock") % 9 == 0)
+
+
 def repeated_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``inventory_li`` with the SKUs of home stores listed a second time, with more stock."""
     stocked = inventory_li(spark, sf_dir)

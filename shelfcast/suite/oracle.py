@@ -198,7 +198,7 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
     "inventory_more": (("inventory",), """
     SELECT store_id, product_id, lead_time_days,
            CAST(current_stock + CASE lead_time_days WHEN 3 THEN 50 ELSE 0 END AS INTEGER) AS current_stock
-    FROM inventory"""),
+    FROM inventory WHERE current_stock % 7 <> 0"""),
     "decided_more": (("inventory_more", "sku_closed"), _decisions("inventory_more", "sku_closed", 21600)),
     "win_1h": (("valid",), windows("valid", 3600, 3600)),
     "win_1d": (("valid_li",), windows("valid_li", 86400, 86400)),
@@ -514,6 +514,16 @@ ORACLE: dict[str, str] = {
     WHERE store_id = 'STORE_001' ORDER BY window_start DESC, product_id LIMIT 10"""),
     "csv_inventory": _all("inventory_li"),
     "inventory_version": _all("upserted", UPDATED_COLUMNS),
+    "stock_change_feed": _sql("""
+    SELECT store_id, product_id,
+           CASE WHEN gone THEN 'delisted' WHEN old_current_stock IS NULL THEN 'new' ELSE 'changed' END AS change,
+           old_current_stock, CASE WHEN NOT gone THEN current_stock END AS current_stock,
+           old_lead_time_days, CASE WHEN NOT gone THEN lead_time_days END AS lead_time_days
+    FROM (SELECT u.*, i.current_stock AS old_current_stock, i.lead_time_days AS old_lead_time_days,
+                 coalesce(i.current_stock % 9 = 0, false) AS gone
+          FROM upserted u LEFT JOIN inventory_li i USING (store_id, product_id))
+    WHERE gone OR old_current_stock IS NULL OR old_current_stock <> current_stock""",
+        "upserted", "inventory_li"),
     "csv_sellers": _all("sellers_li", """store_id, product_id, seller_name, seller_contact,
            lower(trim(auto_confirm_eligible)) = 'true' AS auto_confirm_eligible"""),
     "reorder_export": _all("decided", rest="WHERE action = 'REORDER'"),

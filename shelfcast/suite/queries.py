@@ -23,12 +23,13 @@ from ..plans.health import (
 )
 from ..plans.training import current_model, train, train_run
 from ..sinks.tables import (
-    BY_SKU, compact_closed, export_reorders, write_inventory, write_inventory_csv, write_windowed,
+    BY_SKU, compact_closed, export_reorders, write_inventory_csv, write_windowed,
 )
 from ..sources.events import parse_events, read_event_lines
+from ..sinks.stock import append_changes, correct_inventory, delist, fold_inventory, write_inventory
+from ..sources.stock import inventory_changes, read_inventory_version
 from ..sources.tables import (
-    inventory_version as stored_version, query_windowed, read_inventory, read_inventory_version,
-    read_compacted, read_runs, read_sellers, read_windowed,
+    query_windowed, read_compacted, read_inventory, read_runs, read_sellers, read_windowed,
     register_windowed, stream_windowed,
 )
 from ..schemas import DECISIONS
@@ -606,14 +607,26 @@ def csv_inventory(spark, sf_dir):
 
 @query
 def inventory_version(spark, sf_dir):
+    """Corrections of two periods on a base, the first ones folded."""
     root = scratch(spark, "inventory")
     write_inventory(fx.inventory_li(spark, sf_dir), root)
-    stocked = read_inventory_version(spark, root)
-    changed = stock.upsert_stock(stocked, fx.stock_updates(spark, sf_dir))
-    write_inventory(changed, root, parent=stored_version(spark, root))
+    updates, early = fx.stock_updates(spark, sf_dir), F.year("updated_at") < 1995
+    correct_inventory(spark, root, updates.filter(early))
+    fold_inventory(spark, root, after=1)
+    correct_inventory(spark, root, updates.filter(~early))
     return read_inventory_version(spark, root)
 
 
+@query
+def stock_change_feed(spark, sf_dir):
+    """What differs after corrections and a delisting, read from the log of changes."""
+    root = scratch(spark, "inventory")
+    first = write_inventory(fx.inventory_li(spark, sf_dir), root)
+    corrected = correct_inventory(spark, root, fx.stock_updates(spark, sf_dir))
+    last = delist(fx.delisted_li(spark, sf_dir), root, corrected)
+    return inventory_changes(spark, root, first, last)
+
+
 @query
 def csv_sellers(spark, sf_dir):
     path = scratch(spark, "sellers")
@@ -707,13 +720,15 @@ def stream_restart(spark, sf_dir):
 
 @query
 def stream_decisions_stock(spark, sf_dir):
-    """New stock is committed between two runs: all its SKUs are decided again."""
+    """Stock changes between two runs: changed SKUs and those that had sold before they were
+    listed are decided again, decisions on delisted ones go."""
     root = scratch(spark, "stream")
     stock = fx.inventory(spark, sf_dir)
-    version = write_inventory(stock, f"{root}/stock")
+    unlisted, gone = fx.unlisted(), F.col("current_stock") % 7 == 0
+    version = write_inventory(stock.filter(~unlisted), f"{root}/stock")
     slices = fx.event_slices(spark, sf_dir, 4)
     with _state_partitions(spark):
-        for part in (slices[:2], slices[2:]):
+        for run, part in enumerate((slices[:2], slices[2:])):
             for events in part:
                 fx.append_slice(events, f"{root}/events")
             sales = ev.valid_sales(fx.sales_stream(spark, sf_dir, f"{root}/events"))
@@ -724,9 +739,12 @@ def stream_decisions_stock(spark, sf_dir):
                 stream_windowed(spark, f"{root}/windows"), f"{root}/stock", f"{root}/decisions",
                 f"{root}/decision_state", spec=SIX_HOURS, every=None, fold_every=1,
             ).awaitTermination()
-            more = F.when(F.col("lead_time_days") == 3, 50).otherwise(0)
-            stock = stock.withColumn("current_stock", (F.col("current_stock") + more).cast("int"))
-            version = write_inventory(stock, f"{root}/stock", parent=version)
+            if run == 0:
+                more = F.when(F.col("lead_time_days") == 3, 50).otherwise(0)
+                changed = stock.filter(unlisted | (F.col("lead_time_days") == 3) | gone).withColumns(
+                    {"delisted": gone, "current_stock": (F.col("current_stock") + more).cast("int")}
+                )
+                version = append_changes(changed, f"{root}/stock", version)
     return jobs.read_decisions(spark, f"{root}/decisions")
 
 

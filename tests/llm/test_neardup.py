@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.llm import neardup
+from shelfcast.llm.groups import components_of
 
 
 def shingles(text, n):
@@ -55,9 +56,8 @@ def test_whole_documents(spark, sf01_dir, n):
     check(neardup.near_duplicates(documents, n), rows, n)
 
 
-def test_crowded_buckets_keep_every_link(spark, monkeypatch):
+def test_crowded_buckets_keep_every_link(spark):
     """Many independent edits of one text: links only reach some of them through others."""
-    monkeypatch.setattr(neardup, "FEW", 4)
     draw = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -104,5 +104,5 @@ def test_signatures_within_the_guarantee_share_a_key(spark):
 
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 60), (51, 60)], "a long, b long")
-    got = {r.node: r.component for r in neardup.components_of(links).collect()}
+    got = {r.node: r.component for r in components_of(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 50: 50, 51: 50, 60: 50}

@@ -3,7 +3,8 @@
 import pytest
 
 from shelfcast.__main__ import main
-from shelfcast.sources.tables import read_inventory_version, read_windowed
+from shelfcast.sources.stock import read_inventory_version
+from shelfcast.sources.tables import read_windowed
 from shelfcast.suite import fixtures as fx
 from shelfcast.sinks.tables import write_inventory_csv
 

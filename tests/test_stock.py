@@ -13,10 +13,10 @@ from shelfcast.operators.stock import (
 )
 from shelfcast.plans.health import reorder_list, sku_health
 from shelfcast.schemas import INVENTORY, SELLERS, SKU_FEATURES, STOCK_UPDATES, WINDOWED
-from shelfcast.sinks.tables import export_reorders, write_inventory, write_inventory_csv
-from shelfcast.sources.tables import (
-    inventory_version, read_inventory, read_inventory_version, read_sellers,
-)
+from shelfcast.sinks.stock import write_inventory
+from shelfcast.sinks.tables import export_reorders, write_inventory_csv
+from shelfcast.sources.stock import inventory_version, read_inventory_version
+from shelfcast.sources.tables import read_inventory, read_sellers
 
 T = [datetime(2024, 3, 1, h, tzinfo=timezone.utc) for h in range(5)]
 

@@ -13,6 +13,8 @@ from shelfcast.operators.windows import window_sales
 from shelfcast.plans.decisions import decision_table
 from shelfcast.constants import SKU, WINDOW
 from shelfcast.schemas import INVENTORY, SALES_EVENT, WINDOWED
+from shelfcast.sinks.stock import append_changes, delist, write_inventory
+from shelfcast.sources.stock import CHANGES
 from shelfcast.sources.events import parse_events, read_event_lines
 from shelfcast.sources.tables import read_windowed, stream_windowed
 from shelfcast.streaming import jobs
@@ -218,6 +220,104 @@ def test_decisions_restart_with_their_state(spark, feed, path):
     assert after == before and query.lastProgress.stateOperators[0].numRowsTotal == 1
 
 
+def follow(spark, feed, path):
+    finish(jobs.start_windowed(feed.stream(spark), path + "/w", path + "/ws", every=None))
+    windows = stream_windowed(spark, path + "/w", maxFilesPerTrigger="1")
+    return finish(jobs.start_decisions(windows, path + "/stock", path + "/out", path + "/state", every=None, fold_every=2))
+
+
+def decided(spark, path):
+    return {r.product_id: (r.current_stock, r.predicted_daily_demand) for r in jobs.read_decisions(spark, path + "/out").collect()}
+
+
+def test_listed_after_their_sales_and_delisted(spark, feed, path):
+    version = write_inventory(spark.createDataFrame(STOCK[:1], INVENTORY), path + "/stock")
+    feed.add(event(0, 9), event(0, 2, "PROD_002"), event(0, 4, "PROD_004"))
+    feed.add(event(100))
+    follow(spark, feed, path)
+    assert decided(spark, path) == {"PROD_001": (4000, 9 * 288)}
+    listed = spark.createDataFrame([("STORE_001", "PROD_002", 10, 3, False)], CHANGES)
+    version = append_changes(listed, path + "/stock", version)
+    feed.add(event(200))  # closes windows of PROD_001 only
+    follow(spark, feed, path)
+    assert decided(spark, path) == {"PROD_001": (4000, 9 * 288), "PROD_002": (10, 2 * 288)}
+    gone = spark.createDataFrame(STOCK[:1], INVENTORY)
+    delist(gone, path + "/stock", version)
+    feed.add(event(300))
+    follow(spark, feed, path)
+    assert decided(spark, path) == {"PROD_002": (10, 2 * 288)}
+    feed.add(event(400, 1, "PROD_002"))  # the state stays right when the stock does not change
+    follow(spark, feed, path)
+    assert decided(spark, path) == {"PROD_002": (10, 2 * 288)}
+
+
+@pytest.mark.parametrize("fails_in", ["remember", "decide", "commit"])
+def test_a_replayed_batch_decides_the_same(spark, feed, path, monkeypatch, fails_in):
+    """The batch that meets new stock fails between its writes, and runs again."""
+    version = write_inventory(spark.createDataFrame(STOCK[:2], INVENTORY), path + "/stock")
+    feed.add(event(0, 9), event(0, 2, "PROD_002"), event(0, 4, "PROD_003"))
+    feed.add(event(100))
+    follow(spark, feed, path)
+    changed = [("STORE_001", "PROD_002", 70, 3, False), ("STORE_001", "PROD_003", 1, 3, False)]
+    append_changes(spark.createDataFrame(changed, CHANGES), path + "/stock", version)
+    feed.add(event(200))
+    broken = {"done": 0}
+    writer = jobs.live_writer
+
+    def failing(where, *args, **kwargs):
+        step = writer(where, *args, **kwargs)
+        mine = "remember" if where.endswith("features") else "decide"
+
+        def write(batch, batch_id):
+            step(batch, batch_id)
+            if batch_id and mine == fails_in and not broken["done"]:
+                broken["done"] = 1
+                raise RuntimeError("lost")
+
+        return write
+
+    if fails_in == "commit":
+        created = type(spark).createDataFrame
+
+        def create(self, data, *args, **kwargs):
+            if args[:1] == ("version string",) and not broken["done"] and decided(spark, path).get("PROD_003"):
+                broken["done"] = 1
+                raise RuntimeError("lost")
+            return created(self, data, *args, **kwargs)
+
+        monkeypatch.setattr(type(spark), "createDataFrame", create)
+    monkeypatch.setattr(jobs, "live_writer", failing)
+    with pytest.raises(Exception, match="lost"):
+        follow(spark, feed, path)
+    monkeypatch.undo()
+    assert broken["done"]
+    follow(spark, feed, path)
+    assert decided(spark, path) == {"PROD_001": (4000, 9 * 288), "PROD_002": (70, 2 * 288), "PROD_003": (1, 4 * 288)}
+
+
+def test_a_fold_writes_files_by_rows(spark, path):
+    """A date of 900 rows in files of at most a few hundred, each from a task of its own."""
+    part = F.date_format("window_start", "yyyy-MM-dd")
+    step = live_writer(path, WINDOWED, (*WINDOW, *SKU), part, 1, file_rows=100)
+    rows = [(BASE + timedelta(days=p % 10 // 9), BASE, "S", f"P{p}", p, 1.0, 1.0, 1) for p in range(1000)]
+    step(spark.createDataFrame(rows, WINDOWED), 0)
+    days = sorted(d for d in os.listdir(f"{path}/snapshots/upto=0") if d.startswith("part="))
+    files = [[f for f in os.listdir(f"{path}/snapshots/upto=0/{d}") if f.endswith(".parquet")] for d in days]
+    assert [len(f) for f in files] == [9, 1]
+    assert len({f.split("-")[1] for names in files for f in names}) == 10  # one file a task
+    assert read_live(spark, path, WINDOWED, (*WINDOW, *SKU)).count() == 1000
+
+
+def test_state_before_a_batch(spark, path):
+    part = F.lit("0")
+    step = live_writer(path, WINDOWED, (*WINDOW, *SKU), part, 2)
+    for n in range(5):
+        step(spark.createDataFrame([(BASE, BASE, "S", "P", n, 1.0, 1.0, 1)], WINDOWED), n)
+        for before in range(max(1, n - 1), n + 2):  # a replay reads what the batch before had left
+            got = read_live(spark, path, WINDOWED, (*WINDOW, *SKU), before).collect()
+            assert [r.total_units_sold for r in got] == [before - 1]
+
+
 def test_decisions_with_the_rocksdb_state_store(spark, feed, path):
     key = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
