@@ -63,6 +63,7 @@ def windows(spark: SparkSession, args: argparse.Namespace) -> None:
     start_windowed(
         sales, args.output, args.checkpoint, _spec(args), mode=args.mode,
         every=None if args.once else args.every or WINDOW_TRIGGER, layout=LAYOUTS[args.layout],
+        panes=args.panes,
     ).awaitTermination()
 
 
@@ -191,6 +192,7 @@ def _parser() -> argparse.ArgumentParser:
             spec(sub)
             sub.add_argument("--mode", choices=["append", "update"], default="append")
             sub.add_argument("--layout", choices=[*LAYOUTS], default="date")
+            sub.add_argument("--panes", action="store_true", help="chained aggregates, append mode")
 
     sub = command(decide, "windows", "inventory", "output")
     sub.add_argument("--model")

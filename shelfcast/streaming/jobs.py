@@ -68,21 +68,26 @@ def start_console(rows: DataFrame, mode: str = "append", every: str | None = ROW
 def start_windowed(
     sales: DataFrame, path: str, checkpoint: str, spec: WindowSpec = DEFAULT_WINDOW, *,
     mode: str = "append", every: str | None = WINDOW_TRIGGER, layout: tuple[str, ...] = BY_DATE,
-    files_per_date: int = 1, fold_every: int = FOLD_EVERY,
+    files_per_date: int | None = None, fold_every: int = FOLD_EVERY, panes: bool = False,
 ) -> StreamingQuery:
     """Valid sales to windowed aggregates.
 
     ``append`` writes a window once, after the watermark has passed its end; the file
     sink's log makes that exactly-once. With the date layout a trigger writes at most
-    ``files_per_date`` files for each date it touches, not one from each state partition.
+    ``files_per_date`` files for each date it touches, not one from each state partition:
+    a quarter as many as there are state partitions by default, each from a task of its own
+    where there are enough. ``panes`` is that of ``window_sales``, for append mode.
     ``update`` keeps the current state of every window, see ``live``;
     :func:`read_live_windows` shows it.
     """
-    windows = window_sales(sales, spec)
+    if panes and mode != "append":
+        raise ValueError("chained panes need the append mode")
+    windows = window_sales(sales, spec, panes=panes)
     if mode == "append":
         if "window_date" in layout:
             windows = windows.withColumn("window_date", F.to_date("window_start"))
-            share = F.pmod(F.xxhash64(*SKU), F.lit(files_per_date))
+            states = int(sales.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            share = F.pmod(F.xxhash64(*SKU), F.lit(files_per_date or max(1, states // 4)))
             windows = windows.repartition("window_date", share)
         return _start(windows, path, checkpoint, every, layout)
     if mode == "update":

@@ -528,6 +528,7 @@ ORACLE: dict[str, str] = {
            lower(trim(auto_confirm_eligible)) = 'true' AS auto_confirm_eligible"""),
     "reorder_export": _all("decided", rest="WHERE action = 'REORDER'"),
     "stream_windows_append": _all("closed_6h"),
+    "stream_windows_panes": _all("closed_6h"),
     "stream_windows_update": _all("win_6h"),
     "stream_late_data": _all("closed_late"),
     "stream_restart": _all("closed_6h"),

@@ -679,6 +679,18 @@ def stream_windows_append(spark, sf_dir):
     return read_windowed(spark, f"{root}/out")
 
 
+@query
+def stream_windows_panes(spark, sf_dir):
+    """The same from two chained aggregates, panes and their sums."""
+    root = scratch(spark, "stream")
+    with _state_partitions(spark):
+        jobs.start_windowed(
+            _valid_stream(spark, sf_dir, root), f"{root}/out", f"{root}/state", SIX_HOURS, every=None,
+            panes=True,
+        ).awaitTermination()
+    return read_windowed(spark, f"{root}/out")
+
+
 @query
 def stream_windows_update(spark, sf_dir):
     root = scratch(spark, "stream")

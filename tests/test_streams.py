@@ -79,6 +79,28 @@ def test_append_equals_batch_on_closed_windows(spark, feed, path):
     assert same(read_windowed(spark, path + "/out"), expected)  # the open tail is not written
 
 
+def test_chained_panes_equal_the_direct_form_with_less_state(spark, feed, path):
+    for minute in range(8):
+        feed.add(*[event(minute + s / 20, 1 + s % 3, f"PROD_{s % 2:03d}") for s in range(20)])
+    feed.add(event(2000))
+    updates = []
+    for panes in (False, True):
+        out = f"{path}/{panes}"
+        query = finish(jobs.start_windowed(feed.stream(spark), out + "/out", out + "/state", every=None, panes=panes))
+        expected = window_sales(feed.batch(spark)).filter("window_start < '2024-03-01 20:00'")
+        assert same(read_windowed(spark, out + "/out"), expected)
+        updates.append([sum(p.stateOperators[-1].numRowsUpdated for p in query.recentProgress),
+                        sum(p.stateOperators[0].numRowsUpdated for p in query.recentProgress)])
+    # The operator that takes in events: a state row per (window, SKU) against one per pane.
+    assert updates[0][0] == 8 * 2 * 5 + 5 and min(updates[1]) == 8 * 2 + 1
+
+
+def test_panes_need_the_append_mode(spark, feed, path):
+    feed.add(event(0))
+    with pytest.raises(ValueError, match="append"):
+        jobs.start_windowed(feed.stream(spark), path + "/o", path + "/s", mode="update", panes=True)
+
+
 def test_restart_goes_on_where_it_stopped(spark, feed, path):
     feed.add(event(0), event(3))
     finish(jobs.start_windowed(feed.stream(spark), path + "/out", path + "/state", every=None))

@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from shelfcast import DEFAULT_WINDOW, DEMO_WINDOW, WindowSpec
+from shelfcast.operators import windows as ow
 from shelfcast.operators.windows import latest_window, next_window_label, window_sales
 from shelfcast.suite import fixtures as fx
 
@@ -138,6 +139,47 @@ def test_next_observed_and_latest(spark):
     assert [(r.total_units_sold, r.window_start.hour) for r in last] == [(4, 11)]
 
 
+@QUIET
+@given(rows=sales_lists, span=st.sampled_from([1, 2, 7]))
+def test_next_observed_in_spans(spark, rows, span):
+    """Borders of spans, also of empty ones, don't matter."""
+    spec = WindowSpec.tumbling("1 minute")
+    windows = window_sales(frame(spark, rows), spec)
+    before, ow.OBSERVED_SPAN = ow.OBSERVED_SPAN, span
+    try:
+        got = {(r.window_start, r.store_id, r.product_id): r.next_units
+               for r in next_window_label(windows, spec, observed=True).collect()}
+    finally:
+        ow.OBSERVED_SPAN = before
+    times = {}
+    for r in windows.collect():
+        times.setdefault((r.store_id, r.product_id), []).append((r.window_start, r.total_units_sold))
+    expected = {}
+    for sku, seen in times.items():
+        seen.sort()
+        for (start, _), later in zip(seen, [*seen[1:], (None, None)]):
+            expected[start, *sku] = later[1]
+    assert got == expected
+
+
+def test_observed_labels_spread_a_hot_sku(spark):
+    """A third of all rows on one SKU: no partition of the ordered rows holds it whole."""
+    spec = WindowSpec.tumbling("1 minute")
+    start = F.timestamp_seconds(F.col("id") * 60)
+    windows = spark.range(30000).select(
+        start.alias("window_start"), (start + F.expr("INTERVAL 1 MINUTE")).alias("window_end"),
+        F.lit("S").alias("store_id"), F.when(F.col("id") % 3 == 0, "P").otherwise(F.concat(F.lit("Q"), F.col("id") % 2000)).alias("product_id"),
+        F.col("id").alias("total_units_sold"), F.lit(1.0).alias("total_revenue"),
+        F.lit(1.0).alias("avg_units_per_minute"), F.lit(1).cast("long").alias("transaction_count"),
+    )
+    labelled = next_window_label(windows, spec, observed=True)
+    plans = labelled._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(store_id" in plans and "span" in plans
+    held = labelled.filter("product_id = 'P'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) > 1 and sum(r["count"] for r in held) == 10000
+    assert labelled.filter("product_id = 'P' AND next_units = total_units_sold + 3").count() == 9999
+
+
 def test_revenue_does_not_depend_on_row_order(spark):
     rows = [(BASE, "A", "P", 0.1 + i / 1000, 3) for i in range(500)]
     one = window_sales(frame(spark, rows)).collect()
