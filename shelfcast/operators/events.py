@@ -39,6 +39,20 @@ def rejected_sales(events: DataFrame, *, require_time: bool = True) -> DataFrame
     return events.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
+def dead_letters(parsed: DataFrame) -> DataFrame:
+    """The rows of ``parse_lines`` that no window will count, with their lines and a reason.
+
+    ``bad_json`` is broken text, ``bad_field`` JSON with a field of another type than its
+    column, ``no_fields`` an empty text or object; the others are those of
+    :func:`rejected_sales`. Lines stay as they came, so they can be sent in again.
+    """
+    broken = F.col("corrupt") & (F.get_json_object("line", "$").isNull())
+    reason = F.when(broken, "bad_json").when(F.col("corrupt"), "bad_field")
+    reason = reason.when(_unreadable(), "no_fields").when(F.col("event_time").isNull(), "bad_time")
+    reason = reason.when(~sound_price(), "bad_price").when(~_positive("quantity"), "bad_quantity")
+    return parsed.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def _quality_counts() -> list[Column]:
     def rows_where(condition: Column, name: str) -> Column:
         return F.count_if(condition).alias(name)

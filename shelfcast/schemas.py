@@ -66,6 +66,12 @@ RUNS = schema(
     "mae double, error string, recorded_at timestamp"
 )
 
+# A micro-batch as reported; ``quality`` are observed counts as a JSON object.
+PROGRESS = schema(
+    "query_id string, batch_id bigint, reported_at string, rows_in bigint, late bigint, "
+    "state_rows bigint, watermark string, quality string"
+)
+
 COMMITS = schema(
     "version string, parent string, committed_at timestamp, kind string, parts int, held string"
 )

@@ -133,14 +133,18 @@ def read_sellers(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """The whole run log; empty when nothing has run yet."""
+def read_log(spark: SparkSession, path: str, columns: StructType) -> DataFrame:
+    """A whole log; empty when nothing has been written yet."""
     try:
-        return spark.read.schema(RUNS).parquet(path)
+        return spark.read.schema(columns).parquet(path)
     except AnalysisException as error:
         if not _is_missing(error):
             raise
-        return spark.createDataFrame([], RUNS)
+        return spark.createDataFrame([], columns)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    return read_log(spark, path, RUNS)
 
 
 def latest_run(runs: DataFrame) -> DataFrame:

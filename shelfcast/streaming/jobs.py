@@ -18,12 +18,12 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from ..config import DEFAULT_WINDOW, StockPolicy, WindowSpec
 from ..constants import SKU, WINDOW
 from ..operators.demand import join_demand, sku_features
-from ..operators.events import valid_sales
+from ..operators.events import dead_letters, valid_sales
 from ..operators.windows import window_sales
 from ..plans.decisions import decisions_of
 from ..schemas import DECISIONS, SKU_FEATURES, WINDOWED
 from ..sinks.tables import BY_DATE
-from ..sources.events import parse_events
+from ..sources.events import parse_events, parse_lines
 from ..sources.stock import inventory_changes, inventory_version, read_inventory_snapshot
 from .live import BATCH, FOLD_EVERY, claimed, key_range, live_writer, read_live
 
@@ -59,6 +59,13 @@ def start_validated(
     return _start(valid_sales(parse_events(lines)), path, checkpoint, every)
 
 
+def start_dead_letters(
+    lines: DataFrame, path: str, checkpoint: str, every: str | None = ROW_TRIGGER
+) -> StreamingQuery:
+    """Lines that no window will count, as they came, with the reason and their origin."""
+    return _start(dead_letters(parse_lines(lines)), path, checkpoint, every)
+
+
 def start_console(rows: DataFrame, mode: str = "append", every: str | None = ROW_TRIGGER) -> StreamingQuery:
     """Print each micro-batch, for a look at a running stream."""
     writer = rows.writeStream.outputMode(mode).format("console").option("truncate", False)

@@ -97,15 +97,17 @@ def sales_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     return sales_of(reader.option("maxFilesPerTrigger", SLICE_FILES).parquet(folder))
 
 
-def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sales as JSON text, with broken lines of every kind in between."""
+def event_lines(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """The sales as JSON text, with broken lines of every kind in between; ``keep`` are
+    columns that say where a line came from."""
     n, sale = F.col("event_id"), _sale_columns()
     stamp = F.date_format(sale["event_time"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
     sale["event_time"] = F.when(n % 83 == 2, "garbage").when(n % 71 != 5, stamp)
     sale["store_id"] = F.when(n % 101 != 6, sale["store_id"])
     sale["unit_price"] = F.when(n % 67 == 6, -sale["unit_price"]).otherwise(sale["unit_price"])
     whole = F.to_json(F.struct(*[c.alias(name) for name, c in sale.items()]))
-    rows = table(spark, sf_dir, "events").select("event_id", whole.alias("text"))
+    origin = [F.col("event_id").alias(name) for name in keep]
+    rows = table(spark, sf_dir, "events").select("event_id", *origin, whole.alias("text"))
     text = F.col("text")
     quoted = F.regexp_replace(text, r'"unit_price":([^,]+)', r'"unit_price":"$1"')
     halves = F.regexp_replace(text, r'"quantity":\d+', '"quantity":1.5')
@@ -115,7 +117,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         strange = F.regexp_replace(text, r'"unit_price":[^,]+', f'"unit_price":{number}')
         line = line.when(n % modulus == rest, strange)
     line = line.when(n % 103 == 11, "{}").when(n % 107 == 12, '{"unit_price": 5}')
-    return rows.select(line.otherwise(text).alias("value"))
+    return rows.select(line.otherwise(text).alias("value"), *keep)
 
 
 def sales_li(spark: SparkSession, sf_dir: str) -> DataFrame:

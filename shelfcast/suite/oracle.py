@@ -131,11 +131,28 @@ def _scaffold(source: str, days: int) -> str:
          range({days}) t(i)"""
 
 
+SLICED = """
+    SELECT *, least(floor((epoch_us(event_time) - lo) * 4 / CAST(hi - lo + 1 AS DOUBLE)), 3) AS slice
+    FROM {}, (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events)"""
 # Rows of the first slice that come with the last count in windows that had not closed
 # two slices before.
 LATE_COUNTS = """(slice > 0 OR event_id % 10 > 0 OR make_timestamp((start + {}) * 1000000) >
     (SELECT max(event_time) FROM sliced WHERE slice = 1) - INTERVAL 10 MINUTE)"""
 
+PARSED = """CAST(TRY_CAST(json_extract_string(j, '$.event_time') AS TIMESTAMP) AS TIMESTAMP) AS event_time,
+           json_extract_string(j, '$.store_id') AS store_id,
+           json_extract_string(j, '$.product_id') AS product_id,
+           json_extract_string(j, '$.category') AS category,
+           CASE WHEN json_type(j, '$.unit_price') IN ('DOUBLE', 'BIGINT', 'UBIGINT')
+                THEN CAST(json_extract_string(j, '$.unit_price') AS DOUBLE) END AS unit_price,
+           CASE WHEN json_type(j, '$.quantity') IN ('BIGINT', 'UBIGINT')
+                THEN CAST(json_extract_string(j, '$.quantity') AS INTEGER) END AS quantity,
+           json_extract_string(j, '$.payment_mode') AS payment_mode,
+           CAST(json_extract_string(j, '$.is_anomaly') AS BOOLEAN) AS is_anomaly"""
+UNREADABLE = """coalesce(store_id, product_id, category, payment_mode, CAST(event_time AS VARCHAR),
+    CAST(unit_price AS VARCHAR), CAST(quantity AS VARCHAR), CAST(is_anomaly AS VARCHAR)) IS NULL"""
+NOT_VALID = "coalesce(NOT ({} > 0), true)"
+
 # name -> (relations it reads, SQL)
 RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
     "sales": ((), f"""
@@ -157,7 +174,7 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
         'quantity', quantity, 'payment_mode', payment_mode, 'is_anomaly', is_anomaly) AS VARCHAR) AS text
     FROM sales"""),
     "lines": (("texts",), """
-    SELECT CASE WHEN event_id % 89 = 1 THEN left(text, length(text) - 9)
+    SELECT event_id, CASE WHEN event_id % 89 = 1 THEN left(text, length(text) - 9)
         WHEN event_id % 73 = 4 THEN regexp_replace(text, '"unit_price":([^,]+)', '"unit_price":"\\1"')
         WHEN event_id % 79 = 3 THEN regexp_replace(text, '"quantity":\\d+', '"quantity":1.5')
         WHEN event_id % 59 = 8 OR event_id % 61 = 9 OR event_id % 53 = 10
@@ -165,18 +182,22 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
         WHEN event_id % 103 = 11 THEN '{}' WHEN event_id % 107 = 12 THEN '{"unit_price": 5}'
         ELSE text END AS value
     FROM texts"""),
-    "parsed": (("lines",), """
-    SELECT CAST(TRY_CAST(json_extract_string(j, '$.event_time') AS TIMESTAMP) AS TIMESTAMP) AS event_time,
-           json_extract_string(j, '$.store_id') AS store_id,
-           json_extract_string(j, '$.product_id') AS product_id,
-           json_extract_string(j, '$.category') AS category,
-           CASE WHEN json_type(j, '$.unit_price') IN ('DOUBLE', 'BIGINT', 'UBIGINT')
-                THEN CAST(json_extract_string(j, '$.unit_price') AS DOUBLE) END AS unit_price,
-           CASE WHEN json_type(j, '$.quantity') IN ('BIGINT', 'UBIGINT')
-                THEN CAST(json_extract_string(j, '$.quantity') AS INTEGER) END AS quantity,
-           json_extract_string(j, '$.payment_mode') AS payment_mode,
-           CAST(json_extract_string(j, '$.is_anomaly') AS BOOLEAN) AS is_anomaly
+    "parsed": (("lines",), f"""
+    SELECT {PARSED}
     FROM (SELECT CASE WHEN json_valid(value) THEN value END AS j FROM lines)"""),
+    "letters": (("lines",), """
+    SELECT event_id, CASE WHEN json_valid(value) THEN value END AS j, value,
+           CASE WHEN NOT json_valid(value) THEN true
+                ELSE coalesce(json_type(value, '$.unit_price') = 'VARCHAR', false)
+                     OR coalesce(json_type(value, '$.quantity') = 'DOUBLE', false) END AS corrupt
+    FROM lines"""),
+    "refused": (("letters",), f"""
+    SELECT *, CASE WHEN corrupt AND j IS NULL THEN 'bad_json' WHEN corrupt THEN 'bad_field'
+                   WHEN {UNREADABLE} THEN 'no_fields' WHEN event_time IS NULL THEN 'bad_time'
+                   WHEN {NOT_VALID.format('unit_price')} THEN 'bad_price'
+                   WHEN {NOT_VALID.format('quantity')} THEN 'bad_quantity' END AS reason
+    FROM (SELECT event_id, corrupt, value, j, {PARSED} FROM letters)
+    WHERE reason IS NOT NULL"""),
     "parsed_valid": (("parsed",), "SELECT * FROM parsed WHERE unit_price > 0 AND quantity > 0"),
     "sales_li": ((), f"""
     SELECT l_shipdate AS event_time, {_id('STORE_', 'l_suppkey')} AS store_id,
@@ -189,9 +210,7 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
     SELECT * FROM win_6h
     WHERE window_end <= (SELECT max(event_time) FROM valid) - INTERVAL 10 MINUTE"""),
     "sku_closed": (("closed_6h",), f"SELECT store_id, product_id, {MAXIMA} FROM closed_6h GROUP BY ALL"),
-    "sliced": (("valid",), """
-    SELECT *, least(floor((epoch_us(event_time) - lo) * 4 / CAST(hi - lo + 1 AS DOUBLE)), 3) AS slice
-    FROM valid, (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events)"""),
+    "sliced": (("valid",), SLICED.format("valid")),
     "closed_late": (("sliced",), f"""
     SELECT * FROM ({windows("sliced", 12 * 86400, 86400, LATE_COUNTS.format(12 * 86400))})
     WHERE window_end <= (SELECT max(event_time) FROM valid) - INTERVAL 10 MINUTE"""),
@@ -316,9 +335,6 @@ def _percent(part: str, whole: str) -> str:
 
 
 AT_RISK = "count(*) FILTER (risk_level IN ('HIGH', 'CRITICAL'))"
-UNREADABLE = """coalesce(store_id, product_id, category, payment_mode, CAST(event_time AS VARCHAR),
-    CAST(unit_price AS VARCHAR), CAST(quantity AS VARCHAR), CAST(is_anomaly AS VARCHAR)) IS NULL"""
-NOT_VALID = "coalesce(NOT ({} > 0), true)"
 DECIDED_COUNTS = "count(*) AS count FROM decided GROUP BY ALL"
 IS_TEST = """substr(md5(store_id || '|' || product_id || '|' ||
                       CAST(epoch_us(window_start) // 1000000 AS VARCHAR)), 1, 4) < '3333'"""
@@ -335,6 +351,21 @@ ORACLE: dict[str, str] = {
                        WHEN {NOT_VALID.format('quantity')} THEN 'bad_quantity' END AS reason
         FROM parsed)
     WHERE reason IS NOT NULL""", "parsed"),
+    "dead_letters": _all("refused", """event_id AS "offset", reason, corrupt, event_time, store_id,
+           product_id, category, unit_price, quantity, payment_mode, is_anomaly,
+           regexp_extract(value, '"payment_mode":"([A-Za-z]+)"', 1) AS line_mode"""),
+    "stream_dead_letters": _all("refused", "reason, count(*) AS lines, count(*) AS placed", "GROUP BY reason"),
+    "stream_late_report": _sql(f"""
+    SELECT CAST(slice AS BIGINT) AS batch_id, rows_in, valid,
+           CASE WHEN slice = 3 THEN late ELSE 0 END AS late
+    FROM (SELECT CASE WHEN slice = 0 AND event_id % 10 = 0 THEN 3 ELSE slice END AS slice,
+                 count(*) AS rows_in, count(*) FILTER (unit_price > 0 AND quantity > 0) AS valid
+          FROM ({SLICED.format('sales')}) GROUP BY 1),
+         (SELECT count(*) AS late FROM (
+              SELECT DISTINCT start, store_id, product_id
+              FROM (SELECT *, (epoch_us(event_time) // 86400000000) * 86400 - i * 86400 AS start
+                    FROM sliced, range(12) t(i))
+              WHERE NOT {LATE_COUNTS.format(12 * 86400)}))""", "sales", "sliced"),
     "event_quality": _sql(f"""
     SELECT count(*) AS events,
            count(*) FILTER ({UNREADABLE}) AS unreadable,

@@ -25,15 +25,16 @@ from ..plans.training import current_model, train, train_run
 from ..sinks.tables import (
     BY_SKU, compact_closed, export_reorders, write_inventory_csv, write_windowed,
 )
-from ..sources.events import parse_events, read_event_lines
+from ..sources.events import parse_events, parse_lines, read_event_lines
 from ..sinks.stock import append_changes, correct_inventory, delist, fold_inventory, write_inventory
 from ..sources.stock import inventory_changes, read_inventory_version
 from ..sources.tables import (
     query_windowed, read_compacted, read_inventory, read_runs, read_sellers, read_windowed,
     register_windowed, stream_windowed,
 )
-from ..schemas import DECISIONS
+from ..schemas import DECISIONS, SALES_EVENT
 from ..streaming import jobs
+from ..streaming.progress import QUALITY, ProgressLog, late_report, read_progress
 from ..workspace import scratch
 from . import fixtures as fx
 
@@ -81,6 +82,14 @@ def rejected_sales(spark, sf_dir):
     return ev.rejected_sales(_parsed(spark, sf_dir))
 
 
+@query
+def dead_letters(spark, sf_dir):
+    """Refused lines with their place in the source, and a field read from the kept text."""
+    refused = ev.dead_letters(parse_lines(fx.event_lines(spark, sf_dir, "offset")))
+    mode = F.regexp_extract("line", '"payment_mode":"([A-Za-z]+)"', 1)
+    return refused.select("offset", "reason", "corrupt", *SALES_EVENT.fieldNames(), mode.alias("line_mode"))
+
+
 @query
 def event_quality(spark, sf_dir):
     return ev.event_quality(_parsed(spark, sf_dir))
@@ -714,6 +723,40 @@ def stream_late_data(spark, sf_dir):
     return read_windowed(spark, f"{root}/out")
 
 
+@query
+def stream_late_report(spark, sf_dir):
+    """What each batch of the stream above took in, what was valid, and what came too late."""
+    root = scratch(spark, "stream")
+    for events in fx.event_slices(spark, sf_dir, 4, late=True):
+        fx.append_slice(events, f"{root}/events")
+    counted = ev.observe_quality(fx.sales_stream(spark, sf_dir, f"{root}/events"), QUALITY)
+    log = ProgressLog(spark, f"{root}/progress")
+    spark.streams.addListener(log)
+    try:
+        with _state_partitions(spark):
+            running = jobs.start_windowed(
+                ev.valid_sales(counted), f"{root}/out", f"{root}/state", LATE, every=None
+            )
+            running.awaitTermination()
+        if not log.finished(running):
+            raise RuntimeError("the last batches were not reported")
+    finally:
+        spark.streams.removeListener(log)
+    return late_report(read_progress(spark, f"{root}/progress")).drop("query_id")
+
+
+@query
+def stream_dead_letters(spark, sf_dir):
+    root = scratch(spark, "stream")
+    fx.event_lines(spark, sf_dir).write.text(f"{root}/lines")
+    lines = read_event_lines(spark, "text", f"{root}/lines", keep=("_metadata.file_name AS file",))
+    jobs.start_dead_letters(lines, f"{root}/out", f"{root}/state", every=None).awaitTermination()
+    rows = spark.read.parquet(f"{root}/out")
+    return rows.groupBy("reason").agg(
+        F.count("*").alias("lines"), F.count_if(F.col("file").startswith("part-")).alias("placed")
+    )
+
+
 @query
 def stream_restart(spark, sf_dir):
     """Stopped after half of the files and started again on the same checkpoint."""

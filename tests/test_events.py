@@ -7,11 +7,12 @@ from pyspark.sql import Observation, functions as F
 
 from shelfcast.functions.text import category_of
 from shelfcast.operators.events import (
+    dead_letters,
     anomaly_shares, event_quality, flag_anomalies, observe_quality, rejected_sales, valid_sales,
     with_category,
 )
 from shelfcast.operators.windows import window_sales
-from shelfcast.sources.events import parse_events, read_event_lines
+from shelfcast.sources.events import parse_events, parse_lines, read_event_lines
 
 GOOD = {
     "event_time": "2024-03-01T10:00:30.250+00:00", "store_id": "STORE_001",
@@ -122,3 +123,21 @@ def test_anomaly_rules(spark):
     assert (shares["PROD_001"].anomaly_percent, shares["PROD_001"].agreement_percent) == (50.0, 75.0)
     assert shares["PROD_077"].producer_anomalies == 0
     assert with_category(rows).filter("category = 'Rice'").count() == 4
+
+
+def test_dead_letters_tell_broken_text_from_empty_objects(spark):
+    lines = spark.createDataFrame(
+        [
+            (1, "{}"), (2, ""), (3, None), (4, '{"store_id": "S"'), (5, "[1]"), (6, '{"quantity": "x"}'),
+            (7, '{"event_time": "2024-03-01T10:00:00Z", "unit_price": 2.5, "quantity": 1}'),
+            (8, '{"unit_price": 2.5, "quantity": 1}'), (9, '{"event_time": "2024-03-01T10:00:00Z", "quantity": 1}'),
+            (10, '{"event_time": "2024-03-01T10:00:00Z", "unit_price": NaN, "quantity": 1}'),
+        ],
+        "offset int, value string",
+    )
+    parsed = parse_lines(lines)
+    got = {r.offset: r.reason for r in dead_letters(parsed).collect()}
+    assert got[1] == got[2] == got[3] == "no_fields"
+    assert got[4] == "bad_json" and got[6] == "bad_field" and 7 not in got
+    assert (got[8], got[9], got[10]) == ("bad_time", "bad_price", "bad_price")
+    assert {r.offset: r.line for r in parsed.collect()} == {r.offset: r.value for r in lines.collect()}

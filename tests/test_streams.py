@@ -19,6 +19,7 @@ from shelfcast.sources.events import parse_events, read_event_lines
 from shelfcast.sources.tables import read_windowed, stream_windowed
 from shelfcast.streaming import jobs
 from shelfcast.streaming.live import live_writer, read_live
+from shelfcast.streaming.progress import QUALITY, ProgressLog, late_report, read_progress
 
 SPEC = WindowSpec()
 BASE = datetime(2024, 3, 1, 10, tzinfo=timezone.utc)
@@ -361,6 +362,43 @@ def test_quality_counts_of_each_micro_batch(spark, feed, path):
     assert [(s.events, s.unreadable, s.nonpositive_quantity, s.valid) for s in seen] == [(2, 1, 0, 1), (1, 0, 1, 0)]
 
 
+def test_progress_is_logged_batch_by_batch(spark, feed, path):
+    feed.add(event(0), "not json")
+    feed.add(event(60))
+    feed.add(event(61))
+    feed.add(event(36, 9), event(37, 9))  # behind the watermark
+    parsed = observe_quality(parse_events(read_event_lines(spark, "text", path + "/in", maxFilesPerTrigger="1")), QUALITY)
+    log = ProgressLog(spark, path + "/progress")
+    spark.streams.addListener(log)
+    try:
+        query = finish(jobs.start_windowed(valid_sales(parsed), path + "/out", path + "/state", every=None))
+        assert log.finished(query)
+    finally:
+        spark.streams.removeListener(log)
+    report = {r.batch_id: (r.rows_in, r.valid, r.late) for r in late_report(read_progress(spark, path + "/progress")).collect()}
+    assert report == {0: (2, 1, 0), 1: (1, 1, 0), 2: (1, 1, 0), 3: (2, 2, 6)}  # six windows hold them
+    whole = read_progress(spark, path + "/progress")
+    assert whole.filter("query_id IS NOT NULL AND state_rows >= 0").count() == whole.count() >= 4
+    again = whole.filter("batch_id = 2").withColumn("reported_at", F.lit("9999")).withColumn("late", F.lit(1).cast("long"))
+    again.write.mode("append").parquet(path + "/progress")  # the batch ran again
+    assert read_progress(spark, path + "/progress").filter("batch_id = 2").first().late == 1
+
+
+def test_progress_of_nothing(spark, path):
+    assert read_progress(spark, path + "/none").count() == 0
+
+
+def test_dead_letters_keep_their_lines(spark, feed, path):
+    feed.add(event(0), "not json", "{}", '{"unit_price": "5"}', event(1, 0))
+    lines = read_event_lines(spark, "text", path + "/in", keep=("_metadata.file_name AS file",))
+    finish(jobs.start_dead_letters(lines, path + "/out", path + "/state", every=None))
+    got = {r.line: (r.reason, r.file) for r in spark.read.parquet(path + "/out").collect()}
+    assert got == {
+        "not json": ("bad_json", "000.json"), "{}": ("no_fields", "000.json"),
+        '{"unit_price": "5"}': ("bad_field", "000.json"), feed.lines[4]: ("bad_quantity", "000.json"),
+    }
+
+
 def test_console_sink_runs(spark, feed):
     feed.add(event(0))
     query = finish(jobs.start_console(feed.stream(spark), every=None))
