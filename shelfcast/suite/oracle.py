@@ -481,6 +481,7 @@ ORACLE: dict[str, str] = {
     WHERE contains(lower(store_id), 'store_01') AND contains(lower(product_id), '9')
       AND risk_level = 'MEDIUM'"""),
     "reorder_rows": _all("reorders"),
+    "reorders_bucketed": _all("reorders"),
     "reorder_queue_filtered": _all("reorders", "*, store_id || '-' || product_id AS key", """
     WHERE contains(lower(store_id), 'store_0') AND contains(lower(product_id), 'prod_1')"""),
     "demand_predictions_first": _all("health_li", """TIMESTAMP '2024-01-31 12:00:00' AS timestamp,
@@ -490,6 +491,8 @@ ORACLE: dict[str, str] = {
     "demand_search": _all("predictions", rest="""
     WHERE contains(lower(store_id || ' ' || product_id || ' ' || date), '7 prod_0')"""),
     "demand_page": _all("predictions", rest="ORDER BY store_id, product_id LIMIT 20 OFFSET 60"),
+    "demand_page_stored": _all("predictions", rest="""ORDER BY store_id, product_id LIMIT 20
+    OFFSET (SELECT 20 * (CAST(ceil(count(*) / 20) AS BIGINT) // 2) FROM predictions)"""),
     "demand_page_after": _all("predictions", rest="""
     WHERE store_id > 'STORE_003' OR (store_id = 'STORE_003' AND product_id > 'PROD_100')
     ORDER BY store_id, product_id LIMIT 20"""),
@@ -563,6 +566,8 @@ ORACLE: dict[str, str] = {
     "stream_windows_update": _all("win_6h"),
     "stream_late_data": _all("closed_late"),
     "stream_restart": _all("closed_6h"),
+    "stream_open_windows": _all("win_6h", "window_start, window_end, store_id, product_id", """
+    WHERE window_end > (SELECT max(event_time) FROM valid) - INTERVAL 10 MINUTE"""),
     "stream_decisions_stock": _all("decided_more"),
     "stream_validated": _all("parsed_valid"),
     "stream_decisions": _all("decided_closed"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import date, datetime, timedelta, timezone
+from uuid import uuid4
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
@@ -19,9 +20,11 @@ from ..operators.demand import join_demand, sku_features
 from ..operators.windows import latest_window, next_window_label, window_sales
 from ..plans.decisions import decision_table
 from ..plans.health import (
-    demand_predictions, reorder_list, sku_health as health_plan,
+    demand_predictions, health_of, reorder_list, sku_health as health_plan,
 )
 from ..plans.training import current_model, train, train_run
+from ..sinks.bucketed import write_bucketed
+from ..sinks.pages import read_page, stored_page_count, write_pages
 from ..sinks.tables import (
     BY_SKU, compact_closed, export_reorders, write_inventory_csv, write_windowed,
 )
@@ -34,6 +37,7 @@ from ..sources.tables import (
 )
 from ..schemas import DECISIONS, SALES_EVENT
 from ..streaming import jobs
+from ..streaming.state import open_windows
 from ..streaming.progress import QUALITY, ProgressLog, late_report, read_progress
 from ..workspace import scratch
 from . import fixtures as fx
@@ -47,6 +51,7 @@ DAY = WindowSpec.tumbling("1 day")
 FIVE_WEEKS = WindowSpec("35 days", "7 days")
 LATE = WindowSpec("12 days", "1 day")
 UTC = timezone.utc
+BUCKETS = 16
 AS_OF = datetime(2024, 1, 31, 12, tzinfo=UTC)
 AS_OF_DAY = date(2024, 1, 28)
 
@@ -233,6 +238,22 @@ def sku_health_li(spark, sf_dir):
     return _health_li(spark, sf_dir)
 
 
+@query
+def reorders_bucketed(spark, sf_dir):
+    """Reorder rows from stored features, stock and sellers; no shuffle before the joins."""
+    root, tag = scratch(spark, "bucketed"), uuid4().hex
+    tables = {
+        "features": sku_features(_windows_li(spark, sf_dir)),
+        "stock": fx.inventory_li(spark, sf_dir),
+        "sellers": fx.sellers_li(spark, sf_dir),
+    }
+    features, stocked, sellers = (
+        write_bucketed(rows, f"{name}_{tag}", f"{root}/{name}", BUCKETS) for name, rows in tables.items()
+    )
+    health = health_of(ml.score(join_demand(stocked, features, "left"), None), DAY)
+    return reorder_list(health, sellers)
+
+
 @query
 def sku_health_no_demand(spark, sf_dir):
     return health_plan(fx.inventory_li(spark, sf_dir), None, spec=DAY)
@@ -413,6 +434,15 @@ def demand_page(spark, sf_dir):
     return ordering.page(_predictions(spark, sf_dir), 3)
 
 
+@query
+def demand_page_stored(spark, sf_dir):
+    """The page in the middle of the stored report."""
+    path = scratch(spark, "pages")
+    write_pages(_predictions(spark, sf_dir), path)
+    pages = stored_page_count(spark, path).first()["pages"]
+    return read_page(spark, path, pages // 2)
+
+
 @query
 def demand_page_after(spark, sf_dir):
     return ordering.page_after(_predictions(spark, sf_dir), ("STORE_003", "PROD_100"))
@@ -773,6 +803,22 @@ def stream_restart(spark, sf_dir):
     return read_windowed(spark, f"{root}/out")
 
 
+@query
+def stream_open_windows(spark, sf_dir):
+    """What the state of a restarted job holds: the windows that the sink doesn't have yet."""
+    root = scratch(spark, "stream")
+    slices = fx.event_slices(spark, sf_dir, 4)
+    with _state_partitions(spark):
+        for part in (slices[:2], slices[2:]):
+            for events in part:
+                fx.append_slice(events, f"{root}/events")
+            sales = ev.valid_sales(fx.sales_stream(spark, sf_dir, f"{root}/events"))
+            jobs.start_windowed(
+                sales, f"{root}/out", f"{root}/state", SIX_HOURS, every=None
+            ).awaitTermination()
+    return open_windows(spark, f"{root}/state")
+
+
 @query
 def stream_decisions_stock(spark, sf_dir):
     """Stock changes between two runs: changed SKUs and those that had sold before they were

@@ -13,7 +13,7 @@ from shelfcast.sources.events import parse_events
 from shelfcast.operators.events import valid_sales
 from shelfcast.suite import fixtures as fx
 
-WRITING = ("stock_change_feed", "rf_", "stream_", "partitioned_", "windowed_", "csv_", "inventory_version", "reorder_export")
+WRITING = ("stock_change_feed", "reorders_bucketed", "demand_page_stored", "rf_", "stream_", "partitioned_", "windowed_", "csv_", "inventory_version", "reorder_export")
 LAZY = sorted(n for n in SUITE if not n.startswith(WRITING))
 
 
@@ -63,6 +63,34 @@ def test_joins_are_left_to_the_size_check(spark, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, sf_dir, path):
+    from shelfcast.operators.demand import join_demand
+    from shelfcast.operators.stock import with_sellers
+    from shelfcast.plans.health import health_of
+    from shelfcast.operators.model import score
+    from shelfcast.sinks.bucketed import write_bucketed
+
+    day = WindowSpec.tumbling("1 day")
+    windows = window_sales(valid_sales(fx.sales_li(spark, sf_dir)), day)
+    tables = {"windows": windows, "stock": fx.inventory_li(spark, sf_dir), "sellers": fx.sellers_li(spark, sf_dir)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        stored = {n: write_bucketed(t, f"plan_{n}", f"{path}/{n}", 8) for n, t in tables.items()}
+        features = sku_features(stored["windows"])
+        health = health_of(score(join_demand(stored["stock"], features, "left"), None), day)
+        listed = with_sellers(health, stored["sellers"])
+        text = plan(listed)
+        assert "SortMergeJoin" in text and "Exchange" not in text
+        assert "Bucketed: true" in text
+        plain = with_sellers(health_of(score(join_demand(tables["stock"], sku_features(windows), "left"), None), day), tables["sellers"])
+        assert listed.exceptAll(plain).isEmpty() and listed.count() == plain.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS plan_{name}")
+
+
 def test_store_filter_reaches_the_scan(spark, sf_dir, path):
     from shelfcast.sinks.tables import write_windowed
     from shelfcast.sources.tables import query_windowed

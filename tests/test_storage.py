@@ -10,6 +10,7 @@ from shelfcast import WindowSpec
 from shelfcast.operators.ordering import recent_windows
 from shelfcast.operators.windows import window_sales
 from shelfcast.schemas import WINDOWED
+from shelfcast.sinks.pages import read_page, stored_page_count, write_pages
 from shelfcast.sinks.tables import BY_DATE, BY_SKU, compact_windowed, write_windowed
 from shelfcast.sources.tables import query_windowed, read_windowed, register_windowed
 from shelfcast.suite import fixtures as fx
@@ -77,6 +78,31 @@ def test_sql_and_recent_windows(spark, windows, path):
     assert len(rows) == 3 and rows[0].window_start == newest
 
 
+def test_pages_at_any_depth(spark, path):
+    rows = spark.range(1000).select(
+        F.concat(F.lit("S"), F.format_string("%03d", F.col("id") % 7)).alias("store_id"),
+        F.format_string("P%04d", F.pmod(F.col("id") * 37, F.lit(1000))).alias("product_id"), "id",
+    )
+    write_pages(rows, path + "/p", ranges=6)
+    expected = [tuple(r) for r in rows.orderBy("store_id", "product_id").collect()]
+    assert stored_page_count(spark, path + "/p", 30).first().asDict() == {"rows": 1000, "pages": 34}
+    for number in (0, 5, 17, 33, 34):
+        page = read_page(spark, path + "/p", number, 30)
+        assert [tuple(r) for r in page.collect()] == expected[30 * number : 30 * number + 30]
+        assert page.columns == rows.columns
+    plan = read_page(spark, path + "/p", 17, 30)._jdf.queryExecution().executedPlan().toString()
+    assert "page_range" in plan.partition("PartitionFilters: [")[2].partition("PushedFilters")[0], plan
+    assert "page_place" in plan.partition("PushedFilters: [")[2].partition("ReadSchema")[0], plan
+    assert "Offset" not in plan
+
+
+def test_pages_of_nothing(spark, path):
+    empty = spark.createDataFrame([], "store_id string, product_id string, n int")
+    write_pages(empty, path + "/p")
+    assert read_page(spark, path + "/p", 0).count() == 0
+    assert stored_page_count(spark, path + "/p").first().asDict() == {"rows": 0, "pages": 0}
+
+
 def test_scratch_is_under_the_shared_folder(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     first, second = scratch(spark, "x"), scratch(spark, "x")

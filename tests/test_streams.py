@@ -19,6 +19,7 @@ from shelfcast.sources.events import parse_events, read_event_lines
 from shelfcast.sources.tables import read_windowed, stream_windowed
 from shelfcast.streaming import jobs
 from shelfcast.streaming.live import live_writer, read_live
+from shelfcast.streaming.state import open_windows, state_operators
 from shelfcast.streaming.progress import QUALITY, ProgressLog, late_report, read_progress
 
 SPEC = WindowSpec()
@@ -113,6 +114,27 @@ def test_restart_goes_on_where_it_stopped(spark, feed, path):
     assert first == 0 and same(read_windowed(spark, path + "/out"), expected)
 
 
+def test_state_of_a_checkpoint(spark, feed, path):
+    """What is open before a restart is in the state, and still there after it."""
+    for minute in (0, 3, 20):
+        feed.add(event(minute), event(minute, 2, "PROD_002"))
+    finish(jobs.start_windowed(feed.stream(spark), path + "/out", path + "/state", every=None))
+    keys = [*WINDOW, *SKU]
+
+    def open_and_written():
+        return open_windows(spark, path + "/state").unionByName(read_windowed(spark, path + "/out").select(keys))
+
+    assert same(open_and_written(), window_sales(feed.batch(spark)).select(keys))
+    before = open_windows(spark, path + "/state").collect()
+    last = state_operators(spark, path + "/state").first()
+    assert last.operatorName.startswith("stateStoreSave") and last.numPartitions == 4
+    feed.add(event(40))
+    finish(jobs.start_windowed(feed.stream(spark), path + "/out", path + "/state", every=None))
+    assert same(open_and_written(), window_sales(feed.batch(spark)).select(keys))
+    again = open_windows(spark, path + "/state", last.maxBatchId).collect()
+    assert sorted(again) == sorted(before) and len(before) > 0
+
+
 def dropped(query):
     return sum(
         s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators
