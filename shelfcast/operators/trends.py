@@ -72,12 +72,18 @@ def daily_trend(
     windows: DataFrame, inventory: DataFrame, spec: WindowSpec, policy: StockPolicy = StockPolicy()
 ) -> DataFrame:
     """Real per-day units, revenue, demand and SKUs at risk against current stock."""
+    return trend_of(daily_skus(windows, spec), inventory, policy)
+
+
+def trend_of(
+    daily: DataFrame, inventory: DataFrame, policy: StockPolicy = StockPolicy()
+) -> DataFrame:
+    """:func:`daily_trend` from daily totals of SKUs, computed or stored."""
     cover = days_of_cover(F.col("current_stock"), F.col("demand"))
     risky = F.coalesce(risk_level(cover, policy).isin(*AT_RISK), F.lit(False))
     risky = risky & F.col("current_stock").isNotNull()
     return (
-        daily_skus(windows, spec)
-        .join(inventory, [*SKU], "left")
+        daily.join(inventory, [*SKU], "left")
         .groupBy("day")
         .agg(
             F.sum("units").alias("units"),

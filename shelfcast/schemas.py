@@ -66,6 +66,11 @@ RUNS = schema(
     "mae double, error string, recorded_at timestamp"
 )
 
+DAILY = schema(
+    "day date, store_id string, product_id string, units bigint, revenue double, demand double"
+)
+ROLLED = schema("day date, files string, rolled_at timestamp")
+
 # A micro-batch as reported; ``quality`` are observed counts as a JSON object.
 PROGRESS = schema(
     "query_id string, batch_id bigint, reported_at string, rows_in bigint, late bigint, "

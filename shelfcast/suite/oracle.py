@@ -206,6 +206,10 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
     FROM lineitem"""),
     "valid_li": (("sales_li",), "SELECT * FROM sales_li WHERE unit_price > 0 AND quantity > 0"),
     "win_6h": (("valid",), windows("valid", 21600, 3600)),
+    "gaps": (("win_6h",), """
+    SELECT * REPLACE (CASE WHEN transaction_count % 5 <> 0 THEN total_units_sold END AS total_units_sold,
+                      CASE WHEN total_units_sold % 7 <> 0 THEN total_revenue END AS total_revenue)
+    FROM win_6h"""),
     "closed_6h": (("valid", "win_6h"), """
     SELECT * FROM win_6h
     WHERE window_end <= (SELECT max(event_time) FROM valid) - INTERVAL 10 MINUTE"""),
@@ -507,6 +511,7 @@ ORACLE: dict[str, str] = {
            (SELECT count(*) FROM health WHERE risk_level = 'CRITICAL') AS critical_sku_count
     FROM ({_scaffold('health', 7)})""", "health"),
     "daily_trend": _sql(_daily_trend("daily_li", "inventory_li"), "daily_li", "inventory_li"),
+    "daily_trend_rollup": _sql(_daily_trend("daily", "inventory"), "daily", "inventory"),
     "daily_trend_last_days": _sql(f"""
     SELECT * FROM ({_daily_trend('daily', 'inventory')})
     WHERE CAST(date AS DATE) > (SELECT max(day) FROM daily) - 7""", "daily", "inventory"),
@@ -525,6 +530,12 @@ ORACLE: dict[str, str] = {
                  {r2("coalesce(sum(units) FILTER (day <= DATE '2024-01-21'), 0) / 7")} AS previous_daily_sales
           FROM daily WHERE day > DATE '2024-01-14' AND day <= DATE '2024-01-28' GROUP BY ALL)""", "daily"),
     "train_test_split": _all("win_6h", f"window_start, store_id, product_id, {IS_TEST} AS is_test"),
+    "null_features_dropped": _all("gaps", rest="WHERE total_units_sold IS NOT NULL AND total_revenue IS NOT NULL"),
+    "null_features_not_scored": _all("gaps", rest="WHERE total_units_sold IS NOT NULL AND total_revenue IS NOT NULL"),
+    "checked_windows": _all("win_6h", "*, 'missing columns: store_id, total_revenue; no rows' AS refusals"),
+    "demand_rows_now": _all("health", "store_id, product_id, predicted_daily_demand, true AS stamped_now"),
+    "version_stamps": _all("win_6h", "strftime(window_start, 'model_%Y%m%d_%H%M%S') AS version, count(*) AS windows",
+        "GROUP BY version"),
     "metric_aggregates": _sql("""
     SELECT store_id, rows, floor(sqrt(squared) * 1000000 + 0.5) / 1000000 AS rmse,
            floor((1 - squared / variance) * 1000000 + 0.5) / 1000000 AS r2,

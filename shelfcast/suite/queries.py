@@ -12,9 +12,9 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT_WINDOW, DEMO_WINDOW, WindowSpec
-from ..constants import ACTIONS, SKU
+from ..constants import ACTIONS, METRICS, SKU
 from ..functions.numbers import fixed_point
-from ..functions.text import sku_key, text_flag
+from ..functions.text import sku_key, text_flag, version_stamp
 from ..operators import events as ev, filters, model as ml, ordering, stock, summary, trends
 from ..operators.demand import join_demand, sku_features
 from ..operators.windows import latest_window, next_window_label, window_sales
@@ -22,6 +22,7 @@ from ..plans.decisions import decision_table
 from ..plans.health import (
     demand_predictions, health_of, reorder_list, sku_health as health_plan,
 )
+from ..plans.rollup import read_daily, refresh_daily
 from ..plans.training import current_model, train, train_run
 from ..sinks.bucketed import write_bucketed
 from ..sinks.pages import read_page, stored_page_count, write_pages
@@ -33,7 +34,7 @@ from ..sinks.stock import append_changes, correct_inventory, delist, fold_invent
 from ..sources.stock import inventory_changes, read_inventory_version
 from ..sources.tables import (
     query_windowed, read_compacted, read_inventory, read_runs, read_sellers, read_windowed,
-    register_windowed, stream_windowed,
+    register_windowed, require_columns, require_rows, stream_windowed,
 )
 from ..schemas import DECISIONS, SALES_EVENT
 from ..streaming import jobs
@@ -472,6 +473,18 @@ def daily_trend(spark, sf_dir):
     return trends.daily_trend(windows, inventory, DAY)
 
 
+@query
+def daily_trend_rollup(spark, sf_dir):
+    """The trend from stored daily totals, after windows of a store came late."""
+    root, late = scratch(spark, "rollup"), F.col("store_id") == "STORE_003"
+    windows = _windows(spark, sf_dir, HOUR)
+    write_windowed(windows.filter(~late), f"{root}/windows")
+    refresh_daily(spark, f"{root}/windows", f"{root}/daily", HOUR)
+    write_windowed(windows.filter(late), f"{root}/windows")
+    refresh_daily(spark, f"{root}/windows", f"{root}/daily", HOUR)
+    return trends.trend_of(read_daily(spark, f"{root}/daily"), fx.inventory(spark, sf_dir))
+
+
 @query
 def daily_trend_last_days(spark, sf_dir):
     windows, inventory = _windows(spark, sf_dir, HOUR), fx.inventory(spark, sf_dir)
@@ -521,6 +534,60 @@ def train_test_split(spark, sf_dir):
     return rows.select("window_start", *SKU, "is_test")
 
 
+def _with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of which some lack a metric."""
+    lines, units = F.col("transaction_count"), F.col("total_units_sold")
+    return _windows(spark, sf_dir).withColumns(
+        {
+            "total_units_sold": F.when(lines % 5 != 0, units),
+            "total_revenue": F.when(units % 7 != 0, F.col("total_revenue")),
+        }
+    )
+
+
+@query
+def null_features_dropped(spark, sf_dir):
+    return filters.drop_null_features(_with_gaps(spark, sf_dir))
+
+
+@query
+def null_features_not_scored(spark, sf_dir):
+    """Rows that a model with an assembler leaves out."""
+    return ml.assemble(_with_gaps(spark, sf_dir)).drop("features")
+
+
+@query
+def checked_windows(spark, sf_dir):
+    """Windows that have their columns and rows, and what is said of some that don't."""
+    windows = _windows(spark, sf_dir)
+    said = []
+    for check in (
+        lambda: require_columns(windows.drop("total_revenue", "store_id"), SKU + METRICS),
+        lambda: require_rows(windows.filter("total_units_sold < 0")),
+    ):
+        try:
+            check()
+        except ValueError as refused:
+            said.append(str(refused))
+    checked = require_rows(require_columns(windows, [*SKU, *METRICS]))
+    return checked.withColumn("refusals", F.lit("; ".join(said)))
+
+
+@query
+def demand_rows_now(spark, sf_dir):
+    """Demand rows stamped with the clock, and versions named after their windows' times."""
+    began = F.lit(datetime.now(UTC))
+    rows = summary.demand_rows(_health(spark, sf_dir))
+    late = F.unix_seconds("timestamp") - F.unix_seconds(began)
+    return rows.select(*SKU, "predicted_daily_demand", late.between(0, 86400).alias("stamped_now"))
+
+
+@query
+def version_stamps(spark, sf_dir):
+    stamp = version_stamp("model", F.col("window_start"))
+    return _windows(spark, sf_dir).groupBy(stamp.alias("version")).agg(F.count("*").alias("windows"))
+
+
 @query
 def metric_aggregates(spark, sf_dir):
     rows = next_window_label(_windows(spark, sf_dir), SIX_HOURS)

@@ -13,7 +13,7 @@ from shelfcast.sources.events import parse_events
 from shelfcast.operators.events import valid_sales
 from shelfcast.suite import fixtures as fx
 
-WRITING = ("stock_change_feed", "reorders_bucketed", "demand_page_stored", "rf_", "stream_", "partitioned_", "windowed_", "csv_", "inventory_version", "reorder_export")
+WRITING = ("daily_trend_rollup", "stock_change_feed", "reorders_bucketed", "demand_page_stored", "rf_", "stream_", "partitioned_", "windowed_", "csv_", "inventory_version", "reorder_export")
 LAZY = sorted(n for n in SUITE if not n.startswith(WRITING))
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from shelfcast import WindowSpec
 from shelfcast.operators.ordering import recent_windows
+from shelfcast.operators.trends import daily_skus
 from shelfcast.operators.windows import window_sales
-from shelfcast.schemas import WINDOWED
+from shelfcast.plans.rollup import read_daily, refresh_daily
+from shelfcast.schemas import DAILY, WINDOWED
 from shelfcast.sinks.pages import read_page, stored_page_count, write_pages
 from shelfcast.sinks.tables import BY_DATE, BY_SKU, compact_windowed, write_windowed
 from shelfcast.sources.tables import query_windowed, read_windowed, register_windowed
@@ -121,3 +123,17 @@ def test_scratch_refuses_a_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch(Session(), "x")
+
+
+def test_a_rollup_sums_changed_dates_only(spark, windows, path):
+    late = F.col("store_id") == "STORE_002"
+    some_days = "window_start >= '2024-01-08' AND window_start < '2024-01-10'"
+    write_windowed(windows.filter(~late), path + "/w")
+    days = refresh_daily(spark, path + "/w", path + "/r", HOUR)
+    assert len(days) == windows.select(F.to_date("window_start")).distinct().count()
+    assert refresh_daily(spark, path + "/w", path + "/r", HOUR) == []
+    assert same(read_daily(spark, path + "/r"), daily_skus(windows.filter(~late), HOUR).select(DAILY.fieldNames()))
+    write_windowed(windows.filter(late).filter(some_days), path + "/w")
+    assert [d.day for d in refresh_daily(spark, path + "/w", path + "/r", HOUR)] == [8, 9]
+    expected = daily_skus(windows.filter(~late | F.expr(some_days)), HOUR).select(DAILY.fieldNames())
+    assert same(read_daily(spark, path + "/r"), expected)
