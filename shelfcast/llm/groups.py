@@ -12,8 +12,10 @@ pair that may be linked shares a bucket. The members of a bucket meet around a c
    sets x, y differ in d(x) and d(y) but for what these share, so they are linked only if
    d(x) and d(y) share (|d(x)| + |d(y)| - D) / 2 elements or more, D being the difference
    that their sizes allow. As one of them is no neighbour of the centre, that is at least
-   one element. Differences are put in one order, what a set adds to the centre before what
-   it lacks; edits being rare, the first ones are found in few other sets. By the prefix
+   one element. The differences of a group are put in one order: what a set adds to the
+   centre, what it lacks, and last what many of the group add or lack, as a sample of it
+   shows (any order gives the same links). Edits being rare, the first elements are found
+   in few other sets. By the prefix
    principle the first (|d(x)| - |d(y)| + D) / 2 + 1 elements of d(x) and the same of d(y)
    meet. The one with the smaller difference needs at most D / 2 + 1, which is about what it
    adds; the other at most D + 1. Pairs within one component are left out.
@@ -27,22 +29,59 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import settled, slices
 
+IDS_BROADCAST = 2_000_000  # rows of one or two ids; more are joined by a shuffle
+SAMPLE = 64  # members of a large group whose differences show what is common
 Hashes = Callable[[str | None], np.ndarray]
 
 
 def bucket_edges(keyed: DataFrame) -> DataFrame:
     """(hub, node, reach) of (key, node): members of buckets of two nodes or more; the hub
-    is a bucket's smallest node, the reach how many nodes are met there."""
-    shared = keyed.groupBy("key").agg(
-        F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("n")
-    )
-    met = keyed.join(shared.where("hub < last").select("key", "hub", "n"), "key")
-    return met.groupBy("hub", "node").agg(F.sum("n").alias("reach"))
+    is a bucket's smallest node, the reach how many nodes are met there (of a bucket that
+    goes on in another Arrow batch, those of the batch: it only serves to choose a centre).
+
+    Buckets stream by in order of key and node, one shuffle and sort; of a bucket no more
+    than its first node is remembered, so a large one takes no memory.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key = last_node = hub = None
+        led = False
+        for batch in batches:
+            key, node = (batch.column(c).to_numpy() for c in ("key", "node"))
+            if not len(key):
+                continue
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            new[0] = key[0] != last_key
+            repeated = np.zeros(len(key), bool)
+            repeated[1:] = ~new[1:] & (node[1:] == node[:-1])
+            repeated[0] = not new[0] and node[0] == last_node
+            start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            hubs = np.where(start < 0, hub or 0, node[start])
+            met = np.flatnonzero((hubs != node) & ~repeated)
+            # A hub has an edge to itself, once a bucket.
+            first = np.ones(len(met), bool)
+            first[1:] = start[met[1:]] != start[met[:-1]]
+            if len(met) and start[met[0]] < 0:
+                first[0] = not led
+            led = bool(len(met)) and start[met[-1]] == start[-1] or start[-1] < 0 and led
+            last_key, last_node, hub = key[-1], node[-1], hubs[-1]
+            met = np.concatenate([met, met[first]])
+            other = node[met]
+            other[len(first):] = hubs[met[len(first):]]
+            number = np.bincount(start + 1, minlength=len(key) + 1)[start[met] + 1]
+            columns = [pa.array(hubs[met]), pa.array(other), pa.array(number)]
+            yield pa.RecordBatch.from_arrays(columns, ["hub", "node", "reach"])
+
+    sorted_keys = keyed.repartition("key").sortWithinPartitions("key", "node")
+    edges = sorted_keys.mapInArrow(meet, "hub long, node long, reach long")
+    return edges.groupBy("hub", "node").agg(F.sum("reach").alias("reach"))
 
 
 def _centred(edges: DataFrame) -> DataFrame:
@@ -56,22 +95,24 @@ def _centred(edges: DataFrame) -> DataFrame:
     return edges.join(centres, "hub").select("centre", "node").distinct()
 
 
+def _bounded(ids: DataFrame) -> DataFrame:
+    """A few ids a row: broadcast where a count shows that they are not too many."""
+    return F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids
+
+
 def sets_of(documents: DataFrame, ids: DataFrame, hashes: Hashes) -> DataFrame:
-    """The rows of ``ids`` (column ``node``) with the set of each document, ``hashes``."""
-    others = [c for c in ids.columns if c != "node"]
+    """(node, hashes): the set of each document whose id is in ``ids`` (column ``node``)."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [hashes(t.as_py()).view(np.int64) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), *(batch.column(c) for c in others), pa.array(sets, pa.list_(pa.int64()))],
-                ["node", *others, "hashes"],
+                [batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"]
             )
 
+    wanted = _bounded(settled(ids, "wanted"))
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text")
-    types = "".join(f"{c} {ids.schema[c].dataType.simpleString()}, " for c in others)
-    rows = texts.join(ids, "node").select("node", *others, "text")
-    return rows.mapInArrow(collect, f"node long, {types}hashes array<long>")
+    return texts.join(wanted, "node", "left_semi").mapInArrow(collect, "node long, hashes array<long>")
 
 
 def _allowed(a: str, b: str, percent: int) -> Column:
@@ -79,25 +120,53 @@ def _allowed(a: str, b: str, percent: int) -> Column:
     return F.expr(f"({100 - percent} * ({a} + {b})) div {100 + percent}")
 
 
-def _differences(documents: DataFrame, groups: DataFrame, hashes: Hashes, percent: int) -> DataFrame:
-    """(centre, node, size, differing, linked, first) of each member but the centre."""
-    members = sets_of(documents, groups.where("node <> centre"), hashes)
-    centres = sets_of(documents, groups.where("node = centre").select("node"), hashes)
-    centres = centres.select(F.col("node").alias("centre"), F.col("hashes").alias("core"))
-    both = members.join(centres, "centre").withColumns(
-        {"added": F.array_except("hashes", "core"), "lacking": F.array_except("core", "hashes")}
-    )
-    sized = both.select(
+def _apart(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(centre, node, size, core_size, added, lacking) of each member but the centre."""
+    cores = sets.select(F.col("node").alias("centre"), F.col("hashes").alias("core"))
+    centres = cores.join(_bounded(groups.select("centre").distinct()), "centre", "left_semi")
+    members = sets.join(_bounded(groups.where("node <> centre")), "node")
+    # Always the same join, whatever its size: sets are many times larger than ids.
+    return members.join(centres.hint("merge"), "centre").select(
         "centre",
         "node",
         F.size("hashes").cast("long").alias("size"),
-        (F.size("added") + F.size("lacking")).cast("long").alias("differing"),
         F.size("core").cast("long").alias("core_size"),
-        "added",
-        "lacking",
+        F.array_except("hashes", "core").alias("added"),
+        F.array_except("core", "hashes").alias("lacking"),
+    )
+
+
+def _common(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(centre, common): elements in a quarter or more of a large group's differences, as
+    ``SAMPLE`` to twice as many of its members show."""
+    large = groups.groupBy("centre").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * SAMPLE)
+    every = F.expr(f"n div {SAMPLE}")
+    some = groups.join(large, "centre").where(F.pmod(F.xxhash64("node"), every) == 0)
+    some = settled(some.where("node <> centre").select("centre", "node"), "some")
+    shown = _apart(some, sets).select("centre", F.concat("added", "lacking").alias("element"))
+
+    def often(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
+        elements, times = np.unique(np.concatenate(rows["element"].to_list()), return_counts=True)
+        return pd.DataFrame({"centre": [key[0]], "common": [elements[4 * times >= len(rows)]]})
+
+    return shown.groupBy("centre").applyInPandas(often, "centre long, common array<long>")
+
+
+def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(centre, node, size, differing, linked, first) of each member but the centre."""
+    common = settled(_common(groups, sets), "common")
+    sized = _apart(groups, sets).join(common, "centre", "left").withColumns(
+        {
+            "differing": (F.size("added") + F.size("lacking")).cast("long"),
+            "common": F.coalesce("common", F.array().cast("array<long>")),
+        }
     )
     most = _allowed("size", f"(100 * size) div {percent}", percent) + 1
-    ordered = F.concat(F.array_sort("added"), F.array_sort("lacking"))
+    ordered = F.concat(
+        F.array_sort(F.array_except("added", "common")),
+        F.array_sort(F.array_except("lacking", "common")),
+        F.array_sort(F.array_intersect(F.concat("added", "lacking"), "common")),
+    )
     return sized.select(
         "centre",
         "node",
@@ -186,7 +255,8 @@ def linked_components(keyed: DataFrame, documents: DataFrame, hashes: Hashes, pe
     documents, and ``hashes`` gives the set of a text."""
     edges = settled(bucket_edges(keyed), "edges")
     groups = settled(_centred(edges), "groups")
-    members = settled(_differences(documents, groups, hashes, percent), "differences")
+    sets = settled(sets_of(documents, groups.select("node").distinct(), hashes), "sets")
+    members = settled(_differences(groups, sets, percent), "differences")
     pair = (F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
     links = settled(members.where("linked").select(*pair).distinct(), "centre_links")
     components = components_of(links)
@@ -199,9 +269,9 @@ def linked_components(keyed: DataFrame, documents: DataFrame, hashes: Hashes, pe
     )
     parted = parted.join(mixed.where("low < high").select("centre"), "centre")
     meeting = settled(_meeting(settled(parted, "parted"), percent), "meeting")
-    ids = meeting.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = settled(sets_of(documents, ids, hashes), "sets")
-    more = settled(confirmed(meeting, sets, percent), "other_links")
+    met = meeting.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = settled(sets.join(_bounded(met), "node", "left_semi"), "needed")
+    more = settled(confirmed(meeting, needed, percent), "other_links")
     if more.isEmpty():
         return components
     return components_of(links.unionByName(more))

@@ -8,18 +8,19 @@ Documents are linked if 100 * intersection >= ``percent`` * union.
   elements are hashed to H + 1 segments. By the pigeonhole principle linked sets have a
   segment in which they hold the same subset. A set is indexed in its own band and in those
   below that hold sets small enough for a link with it.
-* The index is on subsets of segments. A subset of no or one element is found in many sets
-  that have nothing else in common: its list costs more than it saves. A set with k such
-  segments spends nothing on these, and a second unit on k others: there it is also indexed
-  under its one-deletion neighbourhood (all subsets with one element left out), which finds
-  a segment that differs in one element. If all other segments differ, and k of them in two
+* The index is on subsets of segments. The empty subset is found in many sets that have
+  nothing else in common: its list costs more than it saves. A set with k empty segments
+  spends nothing on these, and a second unit on k others: there it is also indexed under
+  its one-deletion neighbourhood (all subsets with one element left out), which finds a
+  segment that differs in one element. If all other segments differ, and k of them in two
   or more, the difference is at least H + 1; so a linked pair is found, as the allocation
-  (0 for k segments, 2 for k, 1 for the rest) still adds up to H + 1. The k segments are the
-  first that hold two elements or more; these are among the first 2k, and whichever of two
-  sets has the smaller k decides, so each set is indexed in its first 2k.
-* Where more than half of the segments are such, a set is indexed under all of them.
-* Equal sets are one node. Links among the members of a list are found exactly, see
-  ``groups``, and confirmed on full sets.
+  (0 for k segments, 2 for k, 1 for the rest) still adds up to H + 1. The k are the first
+  that hold two elements or more; with s segments that hold less they are among the first
+  k + s. Whichever of two sets has the smaller k + s decides (no empty ones count as 0), so
+  each set has its neighbourhoods in its first k + s segments.
+* Where k + s exceeds the number of segments, a set is indexed under its empty ones, too.
+* Of equal texts in a task one is indexed. Links among the members of a list are found
+  exactly, see ``groups``, and confirmed on full sets.
 
 Defined results: null, empty and wordless texts have no shingles and no links. A row
 without an id is kept, linked with nothing, and has no component. Repeated rows share an
@@ -41,7 +42,6 @@ from .groups import linked_components
 from .neardup import shingle_hashes
 
 GROWTH = 1.35  # of the sizes within a band
-POOR = 1  # elements of a subset up to which its list is dearer than a deletion neighbourhood
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
@@ -91,14 +91,14 @@ def index_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
         high = np.bincount(place, hashes >> _SHIFT, segments).astype(np.uint64)
         subset = low + (high << _SHIFT)
         held = np.bincount(place, minlength=segments)
-        rich = held > POOR
-        poor = segments - int(np.count_nonzero(rich))
-        if 2 * poor > segments:
-            rich[:] = True
-        at = np.flatnonzero(rich)
+        listed = held > 0
+        empty = segments - int(np.count_nonzero(listed))
+        first = empty and empty + int(np.count_nonzero(held < 2))
+        if first > segments:
+            listed[:] = True
+        at = np.flatnonzero(listed)
         found.append(_keys(subset[at], at, band, 0))
-        if poor:
-            first = min(2 * poor, segments)
+        if empty:
             some = np.flatnonzero(held[:first])
             found.append(_keys(subset[some], some, band, 1))
             out = np.flatnonzero((place < first) & (held[place] > 1))
@@ -123,34 +123,49 @@ def _sketches(documents: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary")
 
 
-def _keyed(documents: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """(key, node) of all nodes; nodes are ids of documents."""
+def _keyed(documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """(key, node) of the documents; of copies in a task, one."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in slices(batches):
-            found = [index_keys(shingle_hashes(t.as_py(), n), percent) for t in batch.column("text")]
-            nodes = np.repeat(batch.column("node").to_numpy(), [len(k) for k in found])
-            flat = np.concatenate(found) if found else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(nodes)], ["key", "node"])
+            found, nodes = [], []
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text")):
+                hashes = shingle_hashes(text.as_py(), n)
+                digest = xxhash.xxh3_128_digest(hashes.tobytes())
+                if digest not in seen:
+                    seen.add(digest)
+                    found.append(index_keys(hashes, percent))
+                    nodes.append(np.full(len(found[-1]), node, np.int64))
+            if found:
+                flat = np.concatenate(found).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat), pa.array(np.concatenate(nodes))], ["key", "node"]
+                )
 
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text")
-    return texts.join(nodes, "node", "left_semi").mapInArrow(keys, "key long, node long")
+    return texts.where("node IS NOT NULL").mapInArrow(keys, "key long, node long")
 
 
 def ngram_join(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of documents."""
     sketches = settled(_sketches(documents, n), "sketches")
-    groups = settled(
-        sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")),
-        "nodes",
-    )
-    keyed = _keyed(documents, groups.select("node"), n, percent)
+    keyed = _keyed(documents, n, percent)
     components = linked_components(keyed, documents, partial(shingle_hashes, n=n), percent)
+    known = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    firsts = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    # A component is named after the node that reached all others; its documents include
+    # copies that no task indexed, and the smallest of these may be smaller.
+    reached = (
+        known.join(components.withColumnRenamed("node", "doc_id"), "doc_id")
+        .groupBy("digest").agg(F.min("component").alias("label"))
+    )
+    named = settled(firsts.join(reached, "digest", "left"), "named")
+    smallest = named.groupBy("label").agg(F.min("first").alias("component"))
     changed = (
-        groups.join(components, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-        .where((F.col("copies") > 1) | (F.col("component") != F.col("node")))
+        named.join(smallest.where("label IS NOT NULL"), "label", "left")
+        .withColumn("component", F.coalesce("component", "first"))
+        .where("copies > 1 OR component <> first")
         .select("digest", "component")
     )
     own = F.when(F.col("n_shingles") > 0, F.col("component"))
