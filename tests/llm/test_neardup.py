@@ -30,6 +30,8 @@ def brute(rows, n, percent):
 
     for i, (a, left) in enumerate(sets):
         for b, right in sets[i + 1 :]:
+            if 100 * min(len(left), len(right)) < percent * max(len(left), len(right)):
+                continue  # too different in size
             both = len(left & right)
             if both and 100 * both >= percent * (len(left) + len(right) - both):
                 x, y = find(a), find(b)
