@@ -57,15 +57,22 @@ def labelled(
 ) -> DataFrame:
     """(doc_id, text, label int) of at most ``per_class`` training rows for each label.
 
-    The sample is the rows with the smallest hashes of the id, so it is the same for
-    any partitioning. Labels other than 0 and 1, and rows without an id, are left out.
+    The sample is the ids with the smallest hashes, so it is the same for any partitioning.
+    Labels other than 0 and 1, rows without an id, and ids labelled both 0 and 1 are left
+    out; an id counts once, and of its texts the one with the smallest hash.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(trains)
+    agreed = known.where("label IN (0, 1)").groupBy("doc_id").agg(
+        F.min("label").alias("label"), F.max("label").alias("other")
+    )
     picked = [
-        known.where(F.col("label") == value)
+        agreed.where((F.col("label") == value) & (F.col("other") == value))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(per_class)
         for value in (0, 1)
     ]
-    chosen = picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"])
-    return documents.select("doc_id", "text").join(chosen, "doc_id")
+    chosen = picked[0].unionByName(picked[1]).select("doc_id", "label")
+    found = documents.select("doc_id", "text").join(chosen, "doc_id")
+    return found.groupBy("doc_id", "label").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    ).select("doc_id", "text", "label")

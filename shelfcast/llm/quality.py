@@ -38,7 +38,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def word_shape(word: str) -> str:
     """Runs of letters as X, x or o (upper, lower, other), digits as 9, signs as they are."""
     out, last = [], ""
-    for character in word[:64]:
+    for character in word:
         if character.isalpha():
             kind = "X" if character.isupper() else "x" if character.islower() else "o"
         else:

@@ -7,8 +7,8 @@ its words end, so it is read as all its pieces of ``RUN`` letters, however long
 long word is read as overlapping pieces.
 
 Training takes labelled texts, at most ``PER_CLASS`` of each class. A toxic text is toxic
-by some of its words, so first the words are found that stand in more different contexts
-of toxic texts, and in none of clean ones, than chance allows. They train the machine
+by some of its words, so first the words are found that stand in toxic texts more often
+than chance allows, in how many different contexts, and hardly in clean ones. They train the machine
 against words of clean texts, first a sample, then those that score highest. Landmarks are
 picked greedily by what the earlier ones leave unexplained (pivoted Cholesky). The Nyström
 features are linear in the subsequences, so the machine is folded into one weight for each
@@ -41,6 +41,7 @@ WORD, STEP = 24, 12  # longer words are cut into pieces of WORD characters, STEP
 RUN = range(5, 13)  # sizes of the pieces of a run of single letters
 CODES = 64
 RIDGE = 0.001
+PURE = 0.8  # of an insult's contexts that are toxic, at least
 CACHED = 100_000
 _GAPS = [(i, i + j) for i in range(1, SPAN - 1) for j in range(1, SPAN - i)]
 _TABLE = CODES**3
@@ -251,15 +252,25 @@ def _contexts(sample: DataFrame) -> DataFrame:
     return contexts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _evidence(words: DataFrame) -> int:
-    """How many toxic contexts a word without clean ones must have.
+def _insults(words: DataFrame) -> Column:
+    """Which words are toxic by more than chance: true for a few, also if labels are wrong.
 
-    If words stood in either class at random, less than one word would have as many.
+    If words stood in either class at random, less than one of all would have a share of
+    toxic contexts that is as large for its number of contexts (Chernoff's bound of the
+    binomial tail). And that share must be ``PURE`` or more: clean contexts, as of wrong
+    labels or quotations, count against a word but don't rule it out.
     """
     toxic, clean, known = words.agg(F.sum("toxic"), F.sum("clean"), F.count("*")).first()
     if not toxic or not clean:
-        return 1 << 30
-    return max(3, math.ceil(math.log(known) / math.log((toxic + clean) / toxic)))
+        return F.lit(False)
+    base = toxic / (toxic + clean)
+    number = F.col("toxic") + F.col("clean")
+    share = F.col("toxic") / number
+    apart = share * F.log(share / base) + F.when(
+        F.col("clean") > 0, (1 - share) * F.log((1 - share) / (1 - base))
+    ).otherwise(0.0)
+    strong = number * apart >= math.log(known)
+    return F.coalesce((F.col("toxic") >= 3) & (share >= max(PURE, (1 + base) / 2)) & strong, F.lit(False))
 
 
 def _logistic(highest: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -278,11 +289,11 @@ def fit(sample: DataFrame) -> Model | None:
     """A model from a bounded sample (doc_id, text, label); None where nothing is learnt."""
     sample = settled(sample, "labelled")
     words = settled(_contexts(sample), "words")
-    least = _evidence(words)
+    judged = words.withColumn("insult", _insults(words))
     # Bounded lists: the strongest words, a sample by hash, and the highest scored.
-    insults = words.where((F.col("clean") == 0) & (F.col("toxic") >= least))
+    insults = judged.where("insult")
     insults = [r.word for r in insults.orderBy(F.desc("toxic"), "word").limit(POSITIVES).collect()]
-    clean = words.where("clean > 0")
+    clean = judged.where("clean > 0 AND NOT insult")
     others = [r.word for r in clean.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES).collect()]
     if not insults or not others:
         return None

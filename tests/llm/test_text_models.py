@@ -1,5 +1,6 @@
 """The trained classifiers: held-out labels, folds, odd rows."""
 
+import math
 import random
 import zlib
 
@@ -110,16 +111,17 @@ def test_words():
     assert all(len(w) <= toxicity.WORD for w in toxicity.words_of("y" * 1000))
 
 
-def insults(spark):
+def insults(spark, wrong=0.0):
     clean = "the river runs along green fields near old stone houses under quiet morning light"
     words, draw = clean.split(), random.Random(4)
     words += ["".join(draw.choice("aeilnorstdhm") for _ in range(draw.randrange(3, 9))) for _ in range(300)]
-    rows = []
+    rows, noise = [], random.Random(8)
     for i in range(300):
         text = [draw.choice(words) for _ in range(30)]
         if i % 3 == 0:
             text[draw.randrange(30)] = draw.choice(("gruntbag", "snorkface"))
-        rows.append((i, " ".join(text), int(i % 3 == 0)))
+        label = int(i % 3 == 0)
+        rows.append((i, " ".join(text), 1 - label if noise.random() < wrong else label))
     return spark.createDataFrame(rows, "doc_id int, text string, label int")
 
 
@@ -132,6 +134,68 @@ def test_gapped_and_inserted_insults_are_caught(spark):
     assert (model.probability(highest(fine)) < 0.3).all()
 
 
+@pytest.mark.parametrize("wrong", [0.02, 0.05])
+def test_insults_are_learnt_from_labels_that_are_partly_wrong(spark, wrong):
+    model = toxicity.fit(insults(spark, wrong))
+    highest = toxicity.Highest(model)
+    assert (model.probability(highest(["the gruntbag runs", "snork-face of fields", "GRUNT-BAG"])) > 0.7).all()
+    assert (model.probability(highest(["the river runs along", "quiet morning light near old houses"])) < 0.7).all()
+
+
+def test_labelled_rows_are_bounded_and_agreed(spark):
+    documents = spark.createDataFrame(
+        [*((1, f"copy {i}") for i in range(50)), (2, "two"), (3, "three"), (4, None), (None, "none"), (5, "five")],
+        "doc_id int, text string",
+    )
+    labels = spark.createDataFrame(
+        [(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (4, 1), (None, 1), (5, 2), (6, 0)], "doc_id int, toxic int"
+    )
+    rows = labelled(documents, labels, "toxic", F.lit(True), 10).collect()
+    assert sorted((r.doc_id, r.label) for r in rows) == [(1, 1), (2, 0), (4, 1)]
+    assert labelled(documents, labels, "toxic", F.lit(True), 1).count() <= 2
+    again = labelled(documents.orderBy(F.desc("text")), labels, "toxic", F.lit(True), 10).collect()
+    assert {tuple(r) for r in again} == {tuple(r) for r in rows}
+
+
+def test_a_long_word_is_read_to_its_end():
+    assert quality.word_shape("a" * 64 + "ABC123!!") == "xX9!"
+    assert quality.word_shape("a" * 100) == "x"
+
+
+def plain_ftrl(rows, epochs):
+    """The recursion of one weight after the other."""
+    z, n, w = {}, {}, {}
+    for _ in range(epochs):
+        for buckets, values, label in rows:
+            x = dict(zip([*buckets.tolist(), quality.BUCKETS], [*values.tolist(), 1.0]))
+            for i in x:
+                zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+                shrunk = 0.0 if abs(zi) <= quality.L1 else zi - quality.L1 * (1 if zi > 0 else -1)
+                w[i] = -shrunk / ((quality.BETA + ni**0.5) / quality.ALPHA + quality.L2)
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - label) * x[i]
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / quality.ALPHA * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    out = {}
+    for i in z:
+        shrunk = 0.0 if abs(z[i]) <= quality.L1 else z[i] - quality.L1 * (1 if z[i] > 0 else -1)
+        out[i] = -shrunk / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+    return out
+
+
+def test_ftrl_equals_the_plain_recursion():
+    features, draw = quality.Features(), random.Random(2)
+    rows = []
+    for i in range(60):
+        text = " ".join(draw.choice(["fine", "words", "BUY!!", "now", "x9", "river"]) for _ in range(12))
+        rows.append((*features(text), i % 2))
+    weights, plain = quality.follow_the_leader(rows, 3), plain_ftrl(rows, 3)
+    assert len(plain) > 20 and np.flatnonzero(weights).size <= len(plain)
+    for i, weight in plain.items():
+        assert weights[i] == pytest.approx(weight, rel=1e-4, abs=1e-6)
+
+
 def test_insults_late_in_a_run_of_letters(spark):
     highest = toxicity.Highest(toxicity.fit(insults(spark)))
     clean = " ".join("wearegladthattheriverrunspastthegarden")
