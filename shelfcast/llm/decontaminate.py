@@ -10,13 +10,16 @@ below the threshold whatever else it holds. A retrieved item is verified on the
 shares of its question's and its answer's shingles that occur there. An item without a
 marked answer ends in it (its last sentence, or its last half if it is one sentence).
 
-Items are indexed in blocks of at most ``BLOCK_ITEMS``, so the broadcast index is bounded;
-all documents are asked against each block in turn.
+Items are indexed in blocks of about ``BLOCK_ITEMS``, so the broadcast index is bounded;
+all documents are asked against each block in turn, a job for each, so a core holds one
+block's index. Word frequencies, lengths and the window are those of all items, so the
+result doesn't depend on the blocks.
 
 Words are runs of letters, digits and marks in lower case, so case and punctuation don't
 hide an item. Defined results: null and empty texts match nothing; null, empty and
-wordless items are not indexed; items of equal text all match. Repeated rows match alike.
-Only the ids and texts are read; filtering keeps all columns.
+wordless items are not indexed; items of equal text all match, repeated items once. An item
+without an id matches as a null, listed last. Repeated rows match alike. Only the ids and
+texts are read; filtering keeps all columns.
 """
 
 from __future__ import annotations
@@ -27,12 +30,13 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import keep_rows
+from .common import settled, slices
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.75
@@ -65,25 +69,49 @@ def shingles(words: list[str], n: int) -> set[tuple[str, ...]]:
     return set(zip(*(words[i:] for i in range(n)))) if n else set()
 
 
+def parts_of(words: list[str]) -> list[list[str]]:
+    """What is indexed of an item: its words, at most ``LONGEST`` at a time."""
+    return [words[at : at + LONGEST] for at in range(0, len(words), LONGEST)]
+
+
+class Statistics(NamedTuple):
+    """Of all items: their parts, the words in these, the longest part, and in how many parts
+    a word occurs."""
+
+    parts: int
+    words: int
+    longest: int
+    found: dict[str, int]
+
+    @classmethod
+    def of(cls, parts: list[list[str]]) -> Statistics:
+        sizes = [len(words) for words in parts]
+        found = Counter(word for words in parts for word in set(words))
+        return cls(len(sizes), sum(sizes), max(sizes, default=1), found)
+
+
 class Index:
     """Posting lists of (part, weight), cut into blocks with their greatest weights."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD) -> None:
+    def __init__(
+        self,
+        items: list[tuple[int | None, str]],
+        threshold: float = THRESHOLD,
+        statistics: Statistics | None = None,
+    ) -> None:
         self.threshold = threshold - 1e-9
         self.items, self.parts = [], []
         for item_id, text in items:
             words = words_of(text)
             if words:
                 self.items.append((item_id, *question_and_answer(text)))
-                for at in range(0, len(words), LONGEST):
-                    self.parts.append((len(self.items) - 1, words[at : at + LONGEST]))
-        self.longest = max((len(words) for _, words in self.parts), default=1)
-        found = Counter(word for _, words in self.parts for word in set(words))
-        average = sum(len(words) for _, words in self.parts) / max(1, len(self.parts))
+                self.parts.extend((len(self.items) - 1, part) for part in parts_of(words))
+        n_parts, n_words, self.longest, found = statistics or Statistics.of([w for _, w in self.parts])
+        average = n_words / max(1, n_parts)
         postings, marked, self.needed = defaultdict(list), defaultdict(list), []
         for part, (_, words) in enumerate(self.parts):
             weights = {
-                word: math.log(1 + (len(self.parts) - found[word] + 0.5) / (found[word] + 0.5))
+                word: math.log(1 + (n_parts - found[word] + 0.5) / (found[word] + 0.5))
                 * times * (K1 + 1) / (times + K1 * (1 - B + B * len(words) / average))
                 for word, times in Counter(words).items()
             }
@@ -194,7 +222,7 @@ class Index:
                 hits[window - 1, part] += 1
         return sorted({max(0, window) for (window, part), n in hits.items() if n >= self.needed[part]})
 
-    def matches(self, text: str | None) -> list[int]:
+    def matches(self, text: str | None) -> list[int | None]:
         """Ids of the items that a whole text holds."""
         words = words_of(text)
         codes = np.fromiter(map(self.terms.get, words, repeat(0)), np.int64, len(words))
@@ -209,47 +237,92 @@ class Index:
                     whole = words if parts > self.longest else words[start : start + 2 * self.longest]
                     if self.verified(item, whole):
                         found.add(item)
-        return sorted(self.items[item][0] for item in found)
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, at most about ``BLOCK_ITEMS`` at a time."""
-    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    blocks = -(-items.count() // BLOCK_ITEMS)
+        return sorted((self.items[item][0] for item in found), key=lambda i: (i is None, i))
+
+
+def _words_of_items(items: DataFrame) -> DataFrame:
+    """(block, word, size): a row for each word of a part, and one without a word that tells
+    the part's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist()):
+                for part in parts_of(words_of(text)):
+                    rows.append((block, None, len(part)))
+                    rows.extend((block, word, None) for word in set(part))
+            columns = zip(*rows) if rows else ((), (), ())
+            types = (pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(columns, types)], ["block", "word", "size"]
+            )
+
+    return items.select("block", "text").mapInArrow(run, "block long, word string, size long")
+
+
+def _indexes(benchmark: DataFrame, threshold: float) -> Iterator[Index]:
+    """The items' indexes, of about ``BLOCK_ITEMS`` each, with statistics over all items."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
+    items = settled(items.distinct(), "items")
+    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    words = settled(_words_of_items(items), "item_words")
+    sizes = words.where("word IS NULL").agg(
+        F.count("*").alias("parts"), F.sum("size").alias("words"), F.max("size").alias("longest")
+    ).first()
+    if not sizes.parts:
+        return
+    words = words.where("word IS NOT NULL")
+    found = settled(words.groupBy("word").agg(F.count("*").alias("n")), "item_frequencies")
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield sorted((row.item_id, row.text) for row in part.collect())
+        rows = items.where(F.col("block") == block).select("item_id", "text").collect()
+        own = found.join(words.where(F.col("block") == block), "word", "left_semi").collect()
+        statistics = Statistics(*sizes, {row.word: row.n for row in own})
+        order = sorted(rows, key=lambda row: (row.item_id is None, row.item_id or 0, row.text))
+        yield Index([(row.item_id, row.text) for row in order], threshold, statistics)
 
 
-def _matcher(frame: DataFrame, index: Index):
-    shared = frame.sparkSession.sparkContext.broadcast(vars(index))
+def _text_key() -> Column:
+    return F.unhex(F.sha2("text", 256))
 
-    @F.pandas_udf("array<long>")
-    def items(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index.restored(shared.value)
-        for texts in batches:
-            yield pd.Series([index.matches(text) for text in texts], dtype=object)
 
-    return items
+def _hits(documents: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """(text_key, items) of the texts that hold items, each text once."""
+    texts = documents.where(F.col("text").isNotNull()).select(_text_key().alias("text_key"), "text")
+    none = documents.sparkSession.createDataFrame([], "text_key binary, items array<long>")
+    hits = none
+    for index in _indexes(benchmark, threshold):
+        shared = documents.sparkSession.sparkContext.broadcast(vars(index))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Index.restored(shared.value)
+            for batch in slices(batches):
+                found = [index.matches(text) for text in batch.column("text").to_pylist()]
+                held = [at for at, items in enumerate(found) if items]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("text_key").take(pa.array(held, pa.int64())),
+                        pa.array([found[at] for at in held], pa.list_(pa.int64())),
+                    ],
+                    ["text_key", "items"],
+                )
+
+        found = texts.mapInArrow(run, none.schema).dropDuplicates(["text_key"])
+        hits = hits.unionByName(settled(found, "hits"))
+        shared.unpersist()
+    return hits.groupBy("text_key").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
 
 
 def matched_items(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, items array<long>) of each row: the items that its text holds, sorted."""
-    columns = []
-    for block in _blocks(benchmark):
-        columns.append(_matcher(documents, Index(block, threshold))(F.col("text")))
-    items = F.array_sort(F.concat(*columns)) if columns else F.array().cast("array<long>")
-    return documents.select("doc_id", items.alias("items"))
+    # Few: Spark broadcasts them where their size on disk allows.
+    hits = settled(_hits(documents, benchmark, threshold), "matched")
+    rows = documents.select("doc_id", _text_key().alias("text_key")).join(hits, "text_key", "left")
+    return rows.select("doc_id", F.coalesce("items", F.array().cast("array<long>")).alias("items"))
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that hold no item, columns unchanged."""
-    for block in _blocks(benchmark):
-        shared = documents.sparkSession.sparkContext.broadcast(vars(Index(block, threshold)))
-
-        def judge(shared=shared):
-            index = Index.restored(shared.value)
-            return lambda texts: [not index.matches(text) for text in texts]
-
-        documents = keep_rows(documents, judge)
-    return documents
+    hits = settled(_hits(documents, benchmark, threshold).select("text_key"), "contaminated")
+    rows = documents.select(F.struct(*documents.columns).alias("row"), _text_key().alias("text_key"))
+    return rows.join(hits, "text_key", "left_anti").select("row.*")

@@ -297,6 +297,11 @@ def test_decontamination(spark):
     kept = decontaminate.drop_contaminated(frame, benchmark)
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7, 8]
     assert decontaminate.drop_contaminated(frame, benchmark.limit(0)).count() == len(rows)
+    nameless = benchmark.withColumn("item_id", F.lit(None).cast("int"))
+    nameless = nameless.unionByName(nameless)
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(frame, nameless).collect()) == [3, 4, 5, 6, 7, 8]
+    got = decontaminate.matched_items(frame, nameless).collect()
+    assert sorted(len(r["items"]) for r in got) == [0] * 6 + [1] * 3 + [2]
     assert decontaminate.drop_contaminated(frame.limit(0), benchmark).count() == 0
 
 
@@ -312,6 +317,39 @@ def test_items_in_blocks(spark, sf01_dir, monkeypatch):
         assert row["items"] == [i for i, words in sorted(items.items()) if f" {' '.join(words)} " in f" {texts[row.doc_id]} "]
 
 
+def test_edited_passages_in_blocks(spark, sf01_dir, monkeypatch):
+    """What is found of edited items doesn't depend on the blocks, and is all that scores."""
+    draw, rows = random.Random(5), []
+    benchmark = spark.read.parquet(f"{sf01_dir}/benchmark.parquet").select("item_id", "text")
+    items = [(r.item_id, r.text) for r in benchmark.orderBy("item_id").collect()]
+    for item_id, text in items * 3:
+        words = text.split()
+        for _ in range(draw.randrange(1, 2 + len(words) // 6)):
+            words[draw.randrange(len(words))] = "edited"
+        filler = [f"filler{draw.randrange(999)}" for _ in range(300)]
+        rows.append((len(rows), " ".join([*filler[: draw.randrange(300)], *words, *filler])))
+    frame = spark.createDataFrame(rows, "doc_id int, text string")
+    found = []
+    for size in (1 << 20, 15, 4):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", size)
+        found.append({r.doc_id: r["items"] for r in decontaminate.matched_items(frame, benchmark).collect()})
+    assert found[0] == found[1] == found[2]
+    index = decontaminate.Index(items)
+    want = {}
+    for doc_id, text in rows:
+        words, held = decontaminate.words_of(text), set()
+        for start in range(0, len(words), index.longest):
+            passage = words[start : start + 2 * index.longest]
+            scores = Counter()
+            for word in set(passage) & set(index.terms):
+                at = index.terms[word] - 1
+                for part, weight in zip(index.ids[at], index.weights[at]):
+                    scores[part] += weight
+            held |= {index.parts[p][0] for p, score in scores.items() if score >= index.threshold and index.verified(index.parts[p][0], passage)}
+        want[doc_id] = sorted(index.items[i][0] for i in held)
+    assert found[0] == want and 0 < sum(map(bool, want.values())) < len(want)
+
+
 def test_search_finds_all_above_the_threshold():
     draw = random.Random(2)
     items = [(i, " ".join(f"w{int(draw.expovariate(0.02))}" for _ in range(draw.randrange(3, 40)))) for i in range(400)]
