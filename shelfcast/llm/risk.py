@@ -1,15 +1,20 @@
 """Quality rules with risk-controlled thresholds.
 
-Every rule compares a signal of the text with a cutoff and rejects what lies above. The
-cutoffs are not set by hand: for each stratum (language) and rule, each cutoff of a grid
-is tested on the labelled good documents of the stratum. With k of n good documents
-rejected, a cutoff passes if Binomial(n, RISK) gives k or fewer with a probability of at
-most ``ERROR`` / number of tests (Bonferroni over strata, rules and cutoffs); that is the
-same as an exact upper bound on the rejection rate below RISK. The lowest cutoff that
-passes holds; where none does, the rule is off in that stratum. So with probability
-1 - ERROR no rule in any stratum rejects more than RISK of its good documents.
-
-Only the counts of (stratum, rule, cutoff) leave the executors: all labelled rows count.
+Every rule compares a signal of the text with a cutoff and rejects what lies above; a
+document is kept if no rule rejects it. The cutoffs are not set by hand: for each stratum
+(language), each setting of all rules together (a cutoff of its grid, or off, for each) is
+tested on the labelled good documents of the stratum. With k of n good documents rejected
+by any rule, a setting passes if Binomial(n, RISK) gives k or fewer with a probability of
+at most ``ERROR`` / number of tests (Bonferroni over strata and settings); that is the same
+as an exact upper bound on the rejection rate below RISK. Of the settings that pass, the one
+that rejects most labelled bad documents holds; of equals, the one that rejects fewest good
+ones, then the one with the lower cutoffs. With all rules off nothing is rejected, so that
+needs no test. So with probability 1 - ERROR the verdict rejects no more than RISK of the
+good documents in any stratum. The bound is one on independent documents: where labelled
+texts repeat each other it is weaker.
+
+Only counts leave the executors, at most one a (stratum, level of each rule): all labelled
+rows count, and an id labelled both good and bad does not.
 
 Defined results: a null or empty text has no words and fails the base rules. A null
 language is a stratum of its own; a stratum without labels has no rules. Repeated rows are
@@ -20,9 +25,11 @@ Columns besides doc_id, text and lang are not read.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -109,44 +116,63 @@ def at_most(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-def rejections(counted: DataFrame, labels: DataFrame) -> DataFrame:
-    """(stratum, n, and for each rule the rejected at each cutoff) over good documents."""
-    good = labels.where(F.col("quality") == 1).select("doc_id").distinct()
-    passed = counted.where(~_base_failed()).join(good, "doc_id", "left_semi")
-    tests = [
-        F.sum(F.when(F.expr(signal) > cutoff, 1).otherwise(0)).alias(f"{rule}_{i}")
+def levels(counted: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, a level for each rule, good, bad): how many labelled documents exceed that
+    many of the rule's cutoffs, for each rule."""
+    known = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(
+        F.min("quality").alias("quality"), F.max("quality").alias("other")
+    )
+    known = known.where("quality = other").select("doc_id", "quality")
+    exceeded = [
+        sum((F.when(F.expr(signal) > cutoff, 1).otherwise(0) for cutoff in cutoffs), F.lit(0)).alias(rule)
         for rule, (signal, cutoffs) in RULES.items()
-        for i, cutoff in enumerate(cutoffs)
     ]
-    return passed.groupBy("stratum").agg(F.count("*").alias("n"), *tests)
+    passed = counted.where(~_base_failed()).select("doc_id", "stratum", *exceeded)
+    return passed.join(known, "doc_id").groupBy("stratum", *RULES).agg(
+        F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")
+    )
+
+
+def most_rejected(n: int, risk: float, error: float) -> int:
+    """The greatest k that passes the test, -1 if none does."""
+    return bisect_right(range(n + 1), error, key=lambda k: at_most(k, n, risk)) - 1
+
+
+def chosen(frame: pd.DataFrame, risk: float, error: float) -> list[float | None]:
+    """A cutoff or None for each rule, from the levels of one stratum."""
+    shape = [len(cutoffs) + 1 for _, cutoffs in RULES.values()]
+    places = tuple(frame[rule].to_numpy() for rule in RULES)
+    rejected = {}
+    for label in ("good", "bad"):
+        kept = np.zeros(shape, np.int64)
+        np.add.at(kept, places, frame[label].to_numpy())
+        n = int(kept.sum())
+        for axis in range(kept.ndim):  # setting i of a rule keeps the levels 0 to i
+            kept = kept.cumsum(axis)
+        rejected[label] = n - kept
+    n = int(frame["good"].sum())
+    passed = rejected["good"] <= (most_rejected(n, risk, error) if n else -1)
+    passed[tuple(size - 1 for size in shape)] = True  # all off
+    settings = zip(*np.nonzero(passed))
+    best = min(settings, key=lambda s: (-rejected["bad"][s], rejected["good"][s], sum(s), s))
+    return [cutoffs[i] if i < len(cutoffs) else None for i, (_, cutoffs) in zip(best, RULES.values())]
 
 
 def certify(counts: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(stratum, then a cutoff or null for each rule) from the counts of ``rejections``.
+    """(stratum, then a cutoff or null for each rule) from the counts of ``levels``.
 
-    Strata are tested in tasks; the correction only needs their number.
+    A group is a stratum, with at most as many rows as there are settings.
     """
-    tests = max(1, counts.count()) * sum(len(cutoffs) for _, cutoffs in RULES.values())
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = frame[["stratum"]].copy()
-            for rule, (_, cutoffs) in RULES.items():
-                out[rule] = [
-                    next(
-                        (
-                            cutoff
-                            for i, cutoff in enumerate(cutoffs)
-                            if at_most(int(row[f"{rule}_{i}"]), int(row["n"]), risk) <= error / tests
-                        ),
-                        None,
-                    )
-                    for row in frame.to_dict("records")
-                ]
-                out[rule] = out[rule].astype(float)
-            yield out
-
-    return counts.mapInPandas(run, ", ".join(["stratum string", *(f"{rule} double" for rule in RULES)]))
+    settings = math.prod(len(cutoffs) + 1 for _, cutoffs in RULES.values()) - 1
+    tests = settings * max(1, counts.select("stratum").distinct().count())
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        row = {"stratum": frame["stratum"].iloc[0], **dict(zip(RULES, chosen(frame, risk, error / tests)))}
+        return pd.DataFrame([row]).astype({rule: float for rule in RULES})
+
+    return counts.groupBy("stratum").applyInPandas(
+        run, ", ".join(["stratum string", *(f"{rule} double" for rule in RULES)])
+    )
 
 
 def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -155,7 +181,7 @@ def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
         "doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("stratum")
     )
     counted = settled(_counted(columns, ["doc_id", "stratum"]), "counts")
-    counts = settled(rejections(counted, labels), "rejections")
+    counts = settled(levels(counted, labels), "levels")
     cutoffs = settled(certify(counts), "cutoffs")
     failed = F.array_compact(
         F.array(*(F.when(F.expr(signal) > F.col(rule), F.lit(rule)) for rule, (signal, _) in RULES.items()))

@@ -1,6 +1,7 @@
 """Rules, URLs, personal data and decontamination, against brute force."""
 
 import ipaddress
+import itertools
 import math
 import random
 import re
@@ -77,13 +78,52 @@ def test_certified_cutoffs_reject_junk_only(spark):
 
 
 def test_certification_by_hand(spark):
-    names = [f"{rule}_{i}" for rule, (_, cutoffs) in risk.RULES.items() for i in range(len(cutoffs))]
-    row = {name: 900 for name in names} | {"symbols_per_char_2": 3, "symbols_per_char_3": 0, "upper_per_word_3": 60}
-    frame = spark.createDataFrame([("en", 1000, *(row[n] for n in names))], ["stratum", "n", *names])
-    got = risk.certify(frame).first()
-    tests = sum(len(c) for _, c in risk.RULES.values())
-    assert risk.at_most(3, 1000, risk.RISK) <= risk.ERROR / tests < risk.at_most(60, 1000, risk.RISK)
-    assert (got.symbols_per_char, got.upper_per_word, got.dup_lines_per_word) == (0.1, None, None)
+    """Against trying every setting on every labelled document."""
+    draw, rules = random.Random(6), list(risk.RULES)
+    known = {}
+    for stratum, n in (("en", 3000), ("de", 900), ("few", 40)):
+        for _ in range(n):
+            good = draw.random() < 0.8
+            level = tuple(draw.choices(range(5), (2000, 2, 2, 1, 1) if good else (9, 3, 2, 1, 1))[0] for _ in rules)
+            known.setdefault((stratum, *level), [0, 0])[0 if good else 1] += 1
+    counts = spark.createDataFrame(
+        [(*key, *n) for key, n in known.items()], f"stratum string, {', '.join(f'{r} int' for r in rules)}, good long, bad long"
+    )
+    got = {r.stratum: tuple(r[rule] for rule in rules) for r in risk.certify(counts).collect()}
+    error = risk.ERROR / (3 * (5**5 - 1))
+    for stratum in got:
+        rows = [(key[1:], n) for key, n in known.items() if key[0] == stratum]
+        n_good = sum(n[0] for _, n in rows)
+        best = None
+        for setting in itertools.product(range(5), repeat=5):
+            hit = [n for level, n in rows if any(x > s for x, s in zip(level, setting))]
+            good, bad = sum(n[0] for n in hit), sum(n[1] for n in hit)
+            if min(setting) == 4 or risk.at_most(good, n_good, risk.RISK) <= error:
+                best = min(best or ((1,),), ((-bad, good, sum(setting)), setting))
+        cutoffs = [c for _, c in risk.RULES.values()]
+        assert got[stratum] == tuple(c[i] if i < 4 else None for i, c in zip(best[1], cutoffs))
+    assert got["few"] == (None,) * 5 and any(got["en"])
+    assert risk.most_rejected(100, 0.02, 1e-9) == -1
+
+
+def test_verdict_of_all_rules_holds_the_risk(spark):
+    """Each rule alone rejects 1.2 % of the good documents, all five 6 %: not all may hold."""
+    n, rows = 5000, []
+    for at in range(5):
+        rows.append((*(4 if i == at else 0 for i in range(5)), n * 12 // 1000, 100))
+    rows.append((0, 0, 0, 0, 0, n - 5 * (n * 12 // 1000), 100))
+    counts = spark.createDataFrame(
+        [("en", *row) for row in rows], f"stratum string, {', '.join(f'{r} int' for r in risk.RULES)}, good long, bad long"
+    )
+    got = risk.certify(counts).first()
+    assert sum(got[rule] is not None for rule in risk.RULES) == 1
+
+
+def test_rules_bear_repeated_and_contradicting_labels(spark):
+    frame = rules_frame(spark, 1200)
+    both = frame.unionByName(frame.withColumn("quality", F.lit(0)).where("doc_id % 4 = 1")).unionByName(frame)
+    got = {r.doc_id: r.kept for r in risk.judge(frame, both).collect()}
+    assert got == {i: i % 4 > 0 for i in range(1200)}
 
 
 def test_rules_on_odd_rows(spark):
