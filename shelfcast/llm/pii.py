@@ -14,7 +14,9 @@ and put together again with a surrogate for each, in DataFrame expressions only.
   groups, so a compressed one stays compressed; with a dotted end, only that end is replaced.
 * Other values are redrawn letter by letter within their classes (digit, lower and upper
   case, hexadecimal), secrets to their end. Mail domains become names under ``.example``.
-* Names follow the title: given name and ending by gender, letters by script.
+* Names follow the title: given name and ending by gender, letters by script. A name is all
+  capitalised words after the title, particles between them included; one of several words
+  becomes a given name and a surname.
 * Collisions are checked over all documents: where a surrogate equals another one or a
   value that occurs, the later values are drawn again with a further attempt number, until
   none is left. Names grow by a syllable with each attempt. Where more than a quarter of all
@@ -61,6 +63,9 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _SIGNS = r"\p{L}\p{N}._%+\-"
 _TITLE = "|".join(sorted({t for titles in TITLES.values() for t in titles}, key=len, reverse=True))
 _NAME = r"\p{Lu}[\p{L}'’\-]++"
+# Particles that may stand between the words of a name.
+_PARTICLES = "de|del|della|di|da|das|dos|do|du|des|la|le|las|los|el|al|van|von|vom|der|den|ter|ten|zu|zur|af|av|bin|ibn|y|e"
+_HOST = r"[\p{L}\p{N}\-]"
 _HEX = r"[0-9A-Fa-f]{1,4}"
 # All places of the '::' among at most seven groups.
 _COMPRESSED = "|".join(
@@ -69,8 +74,11 @@ _COMPRESSED = "|".join(
 )
 # type: pattern; the first that matches the whole of a find names its type.
 PATTERNS = {
-    "email": rf"(?<![{_SIGNS}])[{_SIGNS}]{{1,64}}+@(?:[A-Za-z0-9\-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}}",
-    "secret": r"\b(?i:password|passwd|pwd|token|secret|api[_\-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?[^\s\"',;]{6,}+",
+    "email": rf"(?<![{_SIGNS}])[{_SIGNS}]++@(?:{_HOST}++(?:\.{_HOST}++)++(?<=\.\p{{L}}{_HOST}{{1,62}})"
+    r"|(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24})",
+    "secret": r"\b(?:(?i:password|passwd|pwd|token|secret|api[_\-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?[^\s\"',;]{6,}+"
+    r"|(?i:password|passwd|pwd)[ ]{1,3}(?i:is)[ ]{1,3}[\"']?(?=[^\s\"',;]*\d)[^\s\"',;]{6,}+"
+    r"|(?i:bearer)[ ]{1,3}(?=[^\s\"',;]*\d)[^\s\"',;]{16,}+)",
     "key": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+|sk-[0-9A-Za-z]{20,}+)\b",
     "ipv6": r"(?<![0-9A-Fa-f:])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:])"
     rf"(?:(?:{_HEX}:){{7}}{_HEX}(?![0-9A-Fa-f]|:[0-9A-Fa-f:])"
@@ -78,10 +86,11 @@ PATTERNS = {
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}"
+    r"|\+(?=(?:[ .\-()]{0,2}\d){8})\d{1,3}(?:[ .\-]\(?\d{1,4}\)?){2,6}"
     r"|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4})(?![\d])",
     "card": r"(?<!\d)(?:\d{4}(?:[ \-]\d{4}){3}|\d{13,19})(?!\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_NAME}(?:(?: (?:{_PARTICLES})){{0,3}}+ {_NAME})*+",
 }
 # Finds start at the edge of a word, or at a number after a letter; elsewhere the
 # alternatives need not be tried, which is most of the text.
@@ -102,7 +111,10 @@ def type_of(find: Column) -> Column:
     )
 
 
-_SECRET_HEAD = r"\A(?i:password|passwd|pwd|token|secret|api[_\-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?"
+_SECRET_HEAD = (
+    r"\A(?i:(?:password|passwd|pwd|token|secret|api[_\-]?key)[ ]{0,3}[=:][ ]{0,3}"
+    r"|(?:password|passwd|pwd)[ ]{1,3}is[ ]{1,3}|bearer[ ]{1,3})[\"']?"
+)
 # The country codes in use are told apart without a separator; others have three digits.
 _COUNTRY = r"\A\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _NAME_HEAD = rf"\A(?:{_TITLE})\.? "
@@ -290,7 +302,7 @@ def _letters(count: Column, *parts: Column) -> Column:
 
 
 def _name(value: Column, attempt: Column, *parts: Column) -> Column:
-    """value is ``style:name``; one word is a surname, two are given name and surname.
+    """value is ``style:name``; one word is a surname, more are given name and surname.
 
     Each attempt adds a syllable, so surnames don't run out.
     """
@@ -486,7 +498,10 @@ def attempts_of(entities: DataFrame, key: str) -> DataFrame:
 def replace_pii(documents: DataFrame, key: str) -> DataFrame:
     """The documents, all columns, with surrogates in ``text``."""
     mentions = settled(mentions_of(documents), "mentions")
-    again = attempts_of(mentions.select("kind", "value").distinct(), key)
+    # The values are few bytes, but drawing costs: by a number of tasks, not by size.
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = mentions.select("kind", "value").distinct().repartition(tasks, "kind", "value")
+    again = attempts_of(values, key)
     exceptions = (
         mentions.join(again, ["kind", "value"])
         .groupBy("text_key")

@@ -303,6 +303,68 @@ def test_surrogates_are_no_names_that_occur(spark):
     assert [(r.value, r.attempt) for r in pii.attempts_of(entities, "key").collect()] == [("latin_m:Adam Smith", 1)]
 
 
+def test_whole_names_hosts_phones_and_secrets(spark):
+    rows = [
+        "Mr John Ronald Smith came.", "Herr Karl Heinz Müller, bitte", "Señora María de la Cruz y Vega dijo",
+        "call +33 6 12 34 56 78 now", "to anna@почта.рф.", "x@mail.xn--p1ai, y", "a@" + "b1." * 10 + "example.com.",
+        "q" * 70 + "@example.org", "password is hunter22", "Bearer eyJhbGciOiJIUzI1NiJ9.e30.x_y-z", "+49 (30) 12 34 56 78",
+        "Frau Dr said: password is required, the bearer of internationalization", "a@1.2.3 and 5 @ 6.50 +1 2 3",
+        "x@" + "a." * 20000, "+1" * 20000,
+    ]
+    frame = spark.createDataFrame([*enumerate(rows)], "doc_id int, text string")
+    got = [r.text for r in pii.replace_pii(frame, "key").orderBy("doc_id").collect()]
+    for text, pattern in zip(got, (
+        r"Mr [A-Z][a-z]+ [A-Z][a-z]+ came\.", r"Herr [A-Z][a-z]+ [A-Z][a-z]+, bitte", r"Señora [A-Z][a-z]+ [A-Z][a-z]+ dijo",
+        r"call \+33 \d \d\d \d\d \d\d \d\d now", r"to [a-z]{4}@[a-z]{8}\.example\.", r"[a-z]@[a-z]{8}\.example, y",
+        r"[a-z]@[a-z]{8}\.example\.", r"[a-z]{70}@[a-z]{8}\.example", r"password is [a-z]{6}\d\d",
+        r"Bearer [A-Za-z]{10}\w+\.[a-z]\d\d\.[a-z]_[a-z]-[a-z]", r"\+49 \(\d\d\) \d\d \d\d \d\d \d\d",
+    )):
+        assert re.fullmatch(pattern, text), text
+    held = ("John", "Ronald", "Smith", "Karl", "Heinz", "Müller", "María", "Cruz", "Vega", "6 12 34", "anna", "p1ai", "hunter22", "eyJh")
+    assert not [h for h in held for text in got if h in text]
+    assert got[11] == re.sub("Dr", re.search(r"Frau (\w+)", got[11])[1], rows[11]) and got[12:] == rows[12:]
+
+
+def plain_canonical(find, kind):
+    """A value without its format, written anew for the checks below."""
+    if kind in ("card", "ssn"):
+        return re.sub(r"\D", "", find)
+    return find.lower() if kind in ("email", "ipv6") else find.replace(" ", "") if kind == "iban" else find
+
+
+def test_surrogates_on_all_documents(spark, sf01_dir):
+    """A plain check of the whole table: each find replaced by another of its type and format,
+    equal for equal values, distinct for distinct ones, never a value that occurs; the text
+    between stays."""
+    documents = spark.read.parquet(f"{sf01_dir}/documents.parquet").select("doc_id", "text")
+    out = pii.replace_pii(documents, "key")
+    finds = F.transform(pii.finds(F.col("text")), lambda m: F.struct(m.alias("find"), pii.type_of(m).alias("kind")))
+    before = {r.doc_id: r for r in documents.withColumn("finds", finds).collect()}
+    after = {r.doc_id: r.text for r in out.collect()}
+    assert before.keys() == after.keys()
+    made, real = {}, {(m.kind, plain_canonical(m.find, m.kind)) for r in before.values() for m in r.finds or ()}
+    shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", s)))
+    for doc_id, row in before.items():
+        if not row.finds:
+            assert after[doc_id] == row.text
+            continue
+        at, pattern = 0, ""
+        for m in row.finds:
+            place = row.text.index(m.find, at)
+            pattern += re.escape(row.text[at:place]) + ("(.+?)" if m.kind in ("email", "name", "ipv4", "ipv6") else f"(.{{{len(m.find)}}})")
+            at = place + len(m.find)
+        found = re.fullmatch(pattern + re.escape(row.text[at:]), after[doc_id], re.S)
+        assert found
+        for m, new in zip(row.finds, found.groups()):
+            if m.kind in ("card", "ssn", "phone", "key", "iban"):
+                assert shape(new) == shape(m.find)
+            if m.kind in ("card", "ssn", "ipv4", "email"):
+                value, other = plain_canonical(m.find, m.kind), plain_canonical(new, m.kind)
+                assert (m.kind, other) not in real
+                assert made.setdefault((m.kind, value), other) == other
+    assert len({(kind, new) for (kind, _), new in made.items()}) == len(made) > 40
+
+
 def test_phones_in_all_formats(spark):
     rows = ["+15551234567", "+1 555-123-4567", "(555) 123-4567", "+442079460958", "+44 20 7946 0958", "+420601123456", "+420 601 123 456"]
     phone = F.col("text")
