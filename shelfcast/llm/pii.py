@@ -62,6 +62,8 @@ ENDINGS = {
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _SIGNS = r"\p{L}\p{N}._%+\-"
 _TITLE = "|".join(sorted({t for titles in TITLES.values() for t in titles}, key=len, reverse=True))
+# Few words start like a title or a secret's name, so the others need not be compared with each.
+_INITIALS = "".join(sorted({title[0] for titles in TITLES.values() for title in titles}))
 _NAME = r"\p{Lu}[\p{L}'’\-]++"
 # Particles that may stand between the words of a name.
 _PARTICLES = "de|del|della|di|da|das|dos|do|du|des|la|le|las|los|el|al|van|von|vom|der|den|ter|ten|zu|zur|af|av|bin|ibn|y|e"
@@ -76,8 +78,8 @@ _COMPRESSED = "|".join(
 PATTERNS = {
     "email": rf"(?<![{_SIGNS}])[{_SIGNS}]++@(?:{_HOST}++(?:\.{_HOST}++)++(?<=\.\p{{L}}{_HOST}{{1,62}})"
     r"|(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24})",
-    "secret": r"\b(?:(?i:password|passwd|pwd|token|secret|api[_\-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?[^\s\"',;]{6,}+"
-    r"|(?i:password|passwd|pwd)[ ]{1,3}(?i:is)[ ]{1,3}[\"']?(?=[^\s\"',;]*\d)[^\s\"',;]{6,}+"
+    "secret": r"\b(?=[AaBbPpSsTt])(?:(?i:password|passwd|pwd|token|secret|api[_\-]?key)"
+    r"(?:[ ]{0,3}[=:][ ]{0,3}[\"']?|[ ]{1,3}(?i:is)[ ]{1,3}[\"']?(?=[^\s\"',;]*\d))[^\s\"',;]{6,}+"
     r"|(?i:bearer)[ ]{1,3}(?=[^\s\"',;]*\d)[^\s\"',;]{16,}+)",
     "key": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+|sk-[0-9A-Za-z]{20,}+)\b",
     "ipv6": r"(?<![0-9A-Fa-f:])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:])"
@@ -90,7 +92,7 @@ PATTERNS = {
     r"|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4})(?![\d])",
     "card": r"(?<!\d)(?:\d{4}(?:[ \-]\d{4}){3}|\d{13,19})(?!\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_NAME}(?:(?: (?:{_PARTICLES})){{0,3}}+ {_NAME})*+",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?=[{_INITIALS}])(?:{_TITLE})\.? {_NAME}(?:(?: (?:{_PARTICLES})){{0,3}}+ {_NAME})*+",
 }
 # Finds start at the edge of a word, or at a number after a letter; elsewhere the
 # alternatives need not be tried, which is most of the text.
@@ -112,8 +114,8 @@ def type_of(find: Column) -> Column:
 
 
 _SECRET_HEAD = (
-    r"\A(?i:(?:password|passwd|pwd|token|secret|api[_\-]?key)[ ]{0,3}[=:][ ]{0,3}"
-    r"|(?:password|passwd|pwd)[ ]{1,3}is[ ]{1,3}|bearer[ ]{1,3})[\"']?"
+    r"\A(?i:(?:password|passwd|pwd|token|secret|api[_\-]?key)(?:[ ]{0,3}[=:][ ]{0,3}|[ ]{1,3}is[ ]{1,3})"
+    r"|bearer[ ]{1,3})[\"']?"
 )
 # The country codes in use are told apart without a separator; others have three digits.
 _COUNTRY = r"\A\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
