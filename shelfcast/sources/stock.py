@@ -94,8 +94,12 @@ def _last_changes(spark: SparkSession, root: str, line: list[Commit], paths: lis
     rows = logged.parquet(*(f"{root}/{path}" for path in paths))
     age = F.create_map(*(F.lit(x) for at, c in enumerate(reversed(line)) for x in (c.version, at)))
     aged = rows.withColumn("age", age[F.col("version")])
+    # Grouped by the key as one struct. Dealt by the columns of the key, like the base, the union
+    # of both would count as dealt so, too, and be joined as it is; but once Spark broadcasts the
+    # few changes at run time it no longer is, and the job fails on unequal numbers of partitions.
     values = [F.max_by(c, "age").alias(c) for c in CHANGES.fieldNames() if c not in SKU]
-    return aged.groupBy(*SKU).agg(*values).select(*CHANGES.fieldNames())
+    newest = aged.groupBy(F.struct(*SKU).alias("sku")).agg(*values)
+    return newest.select("sku.*", "*").select(*CHANGES.fieldNames())
 
 
 def read_inventory_snapshot(

@@ -138,3 +138,35 @@ def test_changes_on_an_outdated_version_are_refused(spark, path):
     with pytest.raises(ValueError, match="another snapshot"):
         delist(stock_of(spark, 1), path, first)
     assert read_inventory_version(spark, path).count() == 5
+
+
+def test_merged_stock_joins_whatever_is_broadcast_at_run_time(spark, path):
+    """A join whose small side shows only at run time changes how its rows are dealt."""
+    first = write_inventory(stock_of(spark, 400), path)
+    skus = [(f"S{i % 7}", f"P{i}", 900 + i) for i in range(0, 400, 50)]
+    early = correct_inventory(spark, path, corrections(spark, *skus))
+    late = delist(spark.createDataFrame([("S1", "P1"), ("S0", "P0")], "store_id string, product_id string"), path, early)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+        "spark.sql.shuffle.partitions": "5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        fed = [rows(inventory_changes(spark, path, a, b)) for a, b in ((first, early), (first, late))]
+        gone = [(r[0], r[1]) for r in rows(inventory_changes(spark, path, early, late))]
+        grouped = read_inventory_version(spark, path).groupBy("store_id", "product_id").count()
+        assert grouped.filter("count = 1").count() == 398
+        again = correct_inventory(spark, path, corrections(spark, ("S2", "P2", 7), ("S0", "P0", 8)))
+        assert read_inventory_snapshot(spark, path, again).filter("current_stock IN (7, 8)").count() == 4
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert [r[:3] for r in fed[0]] == sorted((s, p, "changed") for s, p, _ in skus)
+    assert {r[:3] for r in fed[1]} == {r[:3] for r in fed[0]} - {("S0", "P0", "changed")} | {
+        ("S0", "P0", "delisted"), ("S1", "P1", "delisted")
+    }
+    assert gone == [("S0", "P0"), ("S1", "P1")]
