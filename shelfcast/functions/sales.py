@@ -22,7 +22,11 @@ def sales_sums() -> list[Column]:
 
 def merged_sums() -> list[Column]:
     """Sums of sums."""
-    return [(F.try_sum if name == "amount" else F.sum)(name).alias(name) for name in SUMS]
+    return [merged_sum(name).alias(name) for name in SUMS]
+
+
+def merged_sum(name: str) -> Column:
+    return (F.try_sum if name == "amount" else F.sum)(name)
 
 
 def revenue() -> Column:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT_WINDOW, WindowSpec
 from ..constants import METRICS, SKU, WINDOW
 from ..functions.numbers import round2
-from ..functions.sales import merged_sums, revenue, sales_sums
+from ..functions.sales import SUMS, merged_sum, merged_sums, revenue, sales_sums
 
 
 OBSERVED_SPAN = 512  # windows of a SKU that a task orders
+PANE_SPAN = 512  # slides of a SKU that a task orders to sum their windows
+MOST_FRAMES = 12  # windows of a pane that are summed in order; more are hashed
 
 
 def _window_sums(sales: DataFrame, spec: WindowSpec) -> DataFrame:
@@ -28,12 +30,16 @@ def _pane_sums(sales: DataFrame, spec: WindowSpec) -> DataFrame:
     A pane is never cut by a window border, so every window is a union of
     panes and only panes are multiplied, not events. The key is the start in
     epoch seconds: a third of the width of a window struct in hash and shuffle.
+    Few windows of whole slides are summed in order, see :func:`_ordered_sums`; others
+    by a hash of (window, SKU), for which a pane is shuffled once for each of its windows.
     """
     at = F.unix_seconds("event_time")
     pane = at - F.pmod(at, F.lit(spec.pane_seconds))
     timed = sales.filter(F.col("event_time").isNotNull())
     sums = timed.groupBy(pane.alias("start"), *SKU).agg(*sales_sums())
-    if not spec.is_tumbling:
+    if not spec.is_tumbling and spec.pane_seconds == spec.slide_seconds and spec.overlap <= MOST_FRAMES:
+        sums = _ordered_sums(sums, spec)
+    elif not spec.is_tumbling:
         newest = F.col("start") - F.pmod("start", F.lit(spec.slide_seconds))
         starts = F.array(*[newest - i * spec.slide_seconds for i in range(spec.overlap)])
         spread = sums.withColumns({"pane": F.col("start"), "start": F.explode(starts)})
@@ -48,6 +54,36 @@ def _pane_sums(sales: DataFrame, spec: WindowSpec) -> DataFrame:
     )
 
 
+def _ordered_sums(panes: DataFrame, spec: WindowSpec) -> DataFrame:
+    """(start, SKU, sums) of all windows, from panes as long as a slide.
+
+    Panes are shuffled once and ordered within (SKU, span), a span being ``PANE_SPAN`` slides
+    long, so a hot SKU is spread; one with windows on both sides of a border goes to both
+    spans. A window is a range of that order and begins at its first pane: the pane before
+    tells which windows have begun already. So windows are neither shuffled nor hashed.
+    """
+    seconds = max(PANE_SPAN, spec.overlap) * spec.slide_seconds
+
+    def span_of(start: Column) -> Column:
+        return start - F.pmod(start, F.lit(seconds))
+
+    back = [i * spec.slide_seconds for i in range(spec.overlap)]
+    spans = F.array_distinct(F.array(span_of(F.col("start")), span_of(F.col("start") - back[-1])))
+    order = Window.partitionBy("span", *SKU).orderBy("start")
+    ranges = [order.rangeBetween(0, spec.window_seconds - at - 1) for at in back]
+    summed = panes.withColumn("span", F.explode(spans)).withColumns(
+        {"before": F.lag("start").over(order)}
+        | {f"{name}_{i}": merged_sum(name).over(r) for i, r in enumerate(ranges) for name in SUMS}
+    )
+    windows = [
+        F.struct((F.col("start") - at).alias("start"), *(F.col(f"{name}_{i}").alias(name) for name in SUMS))
+        for i, at in enumerate(back)
+    ]
+    begun = F.col("before").isNull() | (F.col("start") > F.col("before"))
+    spread = summed.select("span", "before", *SKU, F.inline(F.array(*windows)))
+    return spread.filter(begun & (span_of(F.col("start")) == F.col("span"))).drop("span", "before")
+
+
 def _stream_pane_sums(sales: DataFrame, spec: WindowSpec) -> DataFrame:
     """Panes as a tumbling aggregate of the stream, then their sums over sliding windows.
 

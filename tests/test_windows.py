@@ -185,3 +185,23 @@ def test_revenue_does_not_depend_on_row_order(spark):
     one = window_sales(frame(spark, rows)).collect()
     other = window_sales(frame(spark, rows[::-1]).repartition(7)).collect()
     assert sorted(one) == sorted(other)
+
+
+@QUIET
+@given(rows=sales_lists, span=st.sampled_from([1, 7]), spec=st.sampled_from([DEFAULT_WINDOW, DEMO_WINDOW]))
+def test_windows_on_the_borders_of_spans(spark, rows, span, spec):
+    before, ow.PANE_SPAN = ow.PANE_SPAN, span
+    try:
+        assert found(window_sales(frame(spark, rows), spec)) == brute_force(rows, spec)
+    finally:
+        ow.PANE_SPAN = before
+
+
+def test_panes_are_multiplied_after_the_last_shuffle(spark, sf_dir):
+    from shelfcast.suite import fixtures as fx
+
+    windows = window_sales(fx.sales_li(spark, sf_dir), WindowSpec("35 days", "7 days"))
+    text = windows._jdf.queryExecution().executedPlan().toString()
+    multiplied = text.index("Generate inline")
+    assert "Exchange" not in text[:multiplied] and "Aggregate" not in text[:multiplied]
+    assert text.count("Exchange") == 2
