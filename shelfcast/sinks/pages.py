@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..constants import PAGE_SIZE, SKU
 from ..schemas import extended
 
 RANGE, PLACE = "page_range", "page_place"
+RANGE_ROWS = 250_000  # rows that a task sorts and a range holds, about
 
 
 def write_pages(
@@ -19,13 +21,22 @@ def write_pages(
 
     A row is stored with its place in its range; the index holds where each range starts,
     a running sum over one row a range. Keys need a total order: ties end up on either side.
+    Unless told otherwise there is a range for each ``RANGE_ROWS`` rows, so a task sorts no
+    more of a larger report. The rows are computed once, for their number, the borders of the
+    ranges and the write, and kept on disk meanwhile.
     """
-    ranged = rows.repartitionByRange(ranges, *keys) if ranges else rows.repartitionByRange(*keys)
-    placed = ranged.sortWithinPartitions(*keys).withColumns(
+    own = rows.storageLevel == StorageLevel.NONE
+    kept = rows.persist(StorageLevel.DISK_ONLY) if own else rows
+    ranges = ranges or max(1, -(-kept.count() // RANGE_ROWS))
+    ranged = kept.repartitionByRange(ranges, *keys).withColumn(RANGE, F.spark_partition_id())
+    # The range comes first, as the writer wants rows in its order and would sort them again.
+    placed = ranged.sortWithinPartitions(RANGE, *keys).withColumn(
         # Ids are the partition's number and, in the lower 33 bits, the row's place in it.
-        {RANGE: F.spark_partition_id(), PLACE: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}
+        PLACE, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     )
     placed.write.partitionBy(RANGE).parquet(f"{path}/rows")
+    if own:
+        kept.unpersist()
     spark = rows.sparkSession
     spark.createDataFrame([], rows.schema).coalesce(1).write.parquet(f"{path}/columns")
     counts = _stored(spark, path).groupBy(RANGE).agg(F.count("*").alias("rows"))

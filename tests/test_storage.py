@@ -137,3 +137,19 @@ def test_a_rollup_sums_changed_dates_only(spark, windows, path):
     assert [d.day for d in refresh_daily(spark, path + "/w", path + "/r", HOUR)] == [8, 9]
     expected = daily_skus(windows.filter(~late | F.expr(some_days)), HOUR).select(DAILY.fieldNames())
     assert same(read_daily(spark, path + "/r"), expected)
+
+
+def test_ranges_of_a_report_grow_in_number_not_in_size(spark, path, monkeypatch):
+    from shelfcast.sinks import pages
+
+    monkeypatch.setattr(pages, "RANGE_ROWS", 500)
+    key = F.concat(F.lit("P"), F.lpad(F.col("id").cast("string"), 5, "0"))
+    for number in (2000, 8000):
+        rows = spark.range(number).select(F.lit("S").alias("store_id"), key.alias("product_id"), "id")
+        write_pages(rows, f"{path}/{number}")
+        held = [r["rows"] for r in spark.read.parquet(f"{path}/{number}/index").collect()]
+        assert len(held) == number // 500 and sum(held) == number and max(held) < 1500
+        assert [r.id for r in read_page(spark, f"{path}/{number}", number // 40).collect()] == list(
+            range(number // 2, number // 2 + 20)
+        )
+    assert not rows.is_cached
