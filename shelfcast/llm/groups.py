@@ -18,8 +18,12 @@ pair that may be linked shares a bucket. The members of a bucket meet around a c
    in few other sets. By the prefix
    principle the first (|d(x)| - |d(y)| + D) / 2 + 1 elements of d(x) and the same of d(y)
    meet. The one with the smaller difference needs at most D / 2 + 1, which is about what it
-   adds; the other at most D + 1. Pairs within one component are left out.
-4. What meets there is confirmed on full sets.
+   adds; the other at most D + 1. Pairs within one component are left out. So are pairs
+   whose parities (of the numbers of elements with each of ``PARITIES`` remainders) differ
+   in more than D places: every element of one set alone changes one place.
+4. What meets there is confirmed on full sets. A cluster far from its centre would meet in
+   all its pairs, so of each element only its hub, the member nearest to the centre, meets
+   the others first; what that links is one component. All other pairs follow.
 
 No step drops a pair: the components are those of all links among members of a bucket.
 """
@@ -36,6 +40,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import settled, slices
 
 IDS_BROADCAST = 2_000_000  # rows of one or two ids; more are joined by a shuffle
+PARITIES = 256  # places of a set's parities, four 64-bit words
 SAMPLE = 64  # members of a large group whose differences show what is common
 Hashes = Callable[[str | None], np.ndarray]
 
@@ -100,19 +105,30 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """``PARITIES`` bits in 64-bit words: is the number of hashes with this remainder odd?"""
+    counts = np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def sets_of(documents: DataFrame, ids: DataFrame, hashes: Hashes) -> DataFrame:
-    """(node, hashes): the set of each document whose id is in ``ids`` (column ``node``)."""
+    """(node, hashes, parity): the set of each document whose id is in ``ids`` (column
+    ``node``)."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [hashes(t.as_py()).view(np.int64) for t in batch.column("text")]
+            sets = [hashes(t.as_py()) for t in batch.column("text")]
+            lists = ([s.view(np.int64) for s in sets], [parity(s) for s in sets])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"]
+                [batch.column("node"), *(pa.array(x, pa.list_(pa.int64())) for x in lists)],
+                ["node", "hashes", "parity"],
             )
 
     wanted = _bounded(settled(ids, "wanted"))
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text")
-    return texts.join(wanted, "node", "left_semi").mapInArrow(collect, "node long, hashes array<long>")
+    return texts.join(wanted, "node", "left_semi").mapInArrow(
+        collect, "node long, hashes array<long>, parity array<long>"
+    )
 
 
 def _allowed(a: str, b: str, percent: int) -> Column:
@@ -129,6 +145,7 @@ def _apart(groups: DataFrame, sets: DataFrame) -> DataFrame:
     return members.join(centres.hint("merge"), "centre").select(
         "centre",
         "node",
+        "parity",
         F.size("hashes").cast("long").alias("size"),
         F.size("core").cast("long").alias("core_size"),
         F.array_except("hashes", "core").alias("added"),
@@ -153,7 +170,7 @@ def _common(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(centre, node, size, differing, linked, first) of each member but the centre."""
+    """(centre, node, parity, size, differing, linked, first) of each member but the centre."""
     common = settled(_common(groups, sets), "common")
     sized = _apart(groups, sets).join(common, "centre", "left").withColumns(
         {
@@ -170,6 +187,7 @@ def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.select(
         "centre",
         "node",
+        "parity",
         "size",
         "differing",
         (F.col("differing") <= _allowed("size", "core_size", percent)).alias("linked"),
@@ -177,17 +195,22 @@ def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _meeting(members: DataFrame, percent: int) -> DataFrame:
+def _meeting(members: DataFrame, percent: int, *, hubs: bool = False) -> DataFrame:
     """Distinct (a, b) of members of different components whose differences may share
-    enough."""
+    enough; with ``hubs``, of each element only those with the member nearest to the centre."""
     half = F.expr(f"({_half(percent)}) + 1").cast("int")
 
     def side(name: str, first: Column) -> DataFrame:
-        columns = [F.col(c).alias(f"{name}_{c}") for c in ("node", "size", "differing", "component")]
+        columns = [F.col(c).alias(f"{name}_{c}") for c in ("node", "size", "differing", "component", "parity")]
         return members.select("centre", *columns, F.posexplode(first).alias(f"{name}_at", "element"))
 
     more = side("x", F.col("first"))
     less = side("y", F.slice("first", 1, half))
+    if hubs:
+        row = F.struct(*[c for c in less.columns if c not in ("centre", "element")])
+        hub = F.min_by(row, F.struct("y_differing", "y_node")).alias("hub")
+        less = less.groupBy("centre", "element").agg(hub).select("centre", "element", "hub.*")
+    odd = "+".join(f"bit_count(x_parity[{i}] ^ y_parity[{i}])" for i in range(PARITIES // 64))
     gap = F.col("x_differing") - F.col("y_differing")
     allowed = _allowed("x_size", "y_size", percent)
     met = more.join(less, ["centre", "element"]).where(
@@ -196,6 +219,7 @@ def _meeting(members: DataFrame, percent: int) -> DataFrame:
         & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))
         & (2 * F.col("x_at") <= gap + allowed)
         & (2 * F.col("y_at") <= allowed - gap)
+        & (F.expr(odd) <= allowed)
     )
     return met.select(
         F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")
@@ -250,6 +274,36 @@ def components_of(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links. These are taken between components: however many
+    links join two of them, they are one, and links within a component aren't followed."""
+    ends = links
+    for end in ("a", "b"):
+        named = components.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+        ends = ends.join(named, end, "left").withColumn(end, F.coalesce(f"{end}_in", end))
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    ends = settled(ends.where("a <> b").select(*pair).distinct(), "ends")
+    if ends.isEmpty():
+        return components
+    joined = components_of(ends).toDF("old", "new")
+    known = components.join(joined, F.col("component") == F.col("old"), "left").select(
+        "node", F.coalesce("new", "component").alias("component")
+    )
+    added = joined.join(components, F.col("old") == F.col("node"), "left_anti")
+    return settled(known.unionByName(added.toDF("node", "component")), "components")
+
+
+def _parted(members: DataFrame, components: DataFrame) -> DataFrame:
+    """The members, with their components, of groups that hold more than one."""
+    parted = members.join(components, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
+    )
+    mixed = parted.groupBy("centre").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    return parted.join(mixed.where("low < high").select("centre"), "centre")
+
+
 def linked_components(keyed: DataFrame, documents: DataFrame, hashes: Hashes, percent: int) -> DataFrame:
     """(node, component) of all nodes with a link, from (key, node): nodes are ids of
     documents, and ``hashes`` gives the set of a text."""
@@ -261,17 +315,11 @@ def linked_components(keyed: DataFrame, documents: DataFrame, hashes: Hashes, pe
     links = settled(members.where("linked").select(*pair).distinct(), "centre_links")
     components = components_of(links)
 
-    parted = members.join(components, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
-    )
-    mixed = parted.groupBy("centre").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    )
-    parted = parted.join(mixed.where("low < high").select("centre"), "centre")
-    meeting = settled(_meeting(settled(parted, "parted"), percent), "meeting")
-    met = meeting.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = settled(sets.join(_bounded(met), "node", "left_semi"), "needed")
-    more = settled(confirmed(meeting, needed, percent), "other_links")
-    if more.isEmpty():
-        return components
-    return components_of(links.unionByName(more))
+    for hubs in (True, False):
+        parted = settled(_parted(members, components), "parted")
+        meeting = settled(_meeting(parted, percent, hubs=hubs), "meeting")
+        met = meeting.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        needed = settled(sets.join(_bounded(met), "node", "left_semi"), "needed")
+        more = settled(confirmed(meeting, needed, percent), "other_links")
+        components = _merged(components, more)
+    return components

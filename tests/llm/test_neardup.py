@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.llm import neardup
+from shelfcast.llm import groups, neardup
 from shelfcast.llm.groups import components_of
 
 
@@ -71,6 +71,41 @@ def test_crowded_buckets_keep_every_link(spark):
     check(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string"), 2), rows, 2)
 
 
+def test_clusters_far_from_a_centre_are_not_confirmed_pair_by_pair(spark, monkeypatch):
+    """Eight clusters of 50 meet in one group: most of them are far from its centre."""
+    draw = random.Random(1)
+    base = [f"w{i}" for i in range(150)]
+    bases = [base]
+    for cluster in range(1, 8):
+        far = {k: f"c{cluster}_{k}" for k in draw.sample(range(150), 16)}
+        bases.append([far.get(i, word) for i, word in enumerate(base)])
+    rows = []
+    for doc_id in range(400):
+        words = list(bases[doc_id % 8])
+        for _ in range(draw.randrange(4)):
+            words[draw.randrange(150)] = f"e{draw.randrange(10**6)}"
+        rows.append((doc_id, " ".join(words)))
+    met, confirmed = [], groups.confirmed
+
+    def counted(pairs, sets, percent):
+        met.append(pairs.count())
+        return confirmed(pairs, sets, percent)
+
+    monkeypatch.setattr(groups, "confirmed", counted)
+    check(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string"), 2), rows, 2)
+    assert sum(met) < 2 * len(rows)
+
+
+def test_parities_differ_no_more_than_sets():
+    draw = np.random.RandomState(4)
+    for _ in range(50):
+        left, right = (np.unique(draw.randint(0, 400, draw.randint(0, 300))) for _ in "ab")
+        left, right = (s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for s in (left, right))
+        odd = groups.parity(left) ^ groups.parity(right)
+        places = sum(int(word).bit_count() for word in odd.view(np.uint64))
+        assert places <= len(np.setxor1d(left, right)) and len(odd) == groups.PARITIES // 64
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30000))
     rows = [
