@@ -40,7 +40,12 @@ def sku_health(
 def health_of(
     scored: DataFrame, spec: WindowSpec = DEFAULT_WINDOW, policy: StockPolicy = StockPolicy()
 ) -> DataFrame:
-    """SKU health from joined and scored rows."""
+    """SKU health from joined and scored rows.
+
+    The cover is exploded from an array of one. Else a filter on the risk level is pushed
+    below all of these columns with their formulas put into each other, which makes a method
+    of more than the 8000 bytes that the JVM compiles: a join in it then runs interpreted.
+    """
     stock, lead, demand = (
         F.col(c) for c in ("current_stock", "lead_time_days", "predicted_daily_demand")
     )
@@ -55,7 +60,7 @@ def health_of(
                 "actual_sales": round2(F.col("total_units_sold").cast("double")),
             }
         )
-        .withColumn("days_of_cover", rules.days_of_cover(stock, demand))
+        .withColumn("days_of_cover", F.explode(F.array(rules.days_of_cover(stock, demand))))
         .withColumns(
             {
                 "risk_level": rules.risk_level(F.col("days_of_cover"), policy),

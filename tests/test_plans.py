@@ -91,6 +91,40 @@ def test_bucketed_tables_join_without_a_shuffle(spark, sf_dir, path):
             spark.sql(f"DROP TABLE IF EXISTS plan_{name}")
 
 
+def test_a_filter_on_the_risk_level_holds_no_formula_twice(spark, sf_dir):
+    from shelfcast.operators.demand import join_demand
+    from shelfcast.operators.filters import at_risk
+    from shelfcast.operators.model import score
+    from shelfcast.plans.health import health_of
+
+    day = WindowSpec.tumbling("1 day")
+    features = sku_features(window_sales(valid_sales(fx.sales_li(spark, sf_dir)), day))
+    joined = score(join_demand(fx.inventory_li(spark, sf_dir), features, "left"), None)
+    filters = [line for line in plan(at_risk(health_of(joined, day))).splitlines() if "CRITICAL" in line and "Filter" in line]
+    assert filters and all("86400" not in line for line in filters)
+
+
+def test_bucketed_tables_join_in_their_stored_order(spark, sf_dir, path):
+    from shelfcast.operators.demand import join_demand
+    from shelfcast.sinks.bucketed import write_bucketed
+
+    stock = fx.inventory_li(spark, sf_dir)
+    features = sku_features(window_sales(valid_sales(fx.sales_li(spark, sf_dir)), WindowSpec.tumbling("1 day")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        tables = {"order_stock": stock, "order_features": features}
+        stored = [write_bucketed(t, n, f"{path}/{n}", 8) for n, t in tables.items()]
+        joined = join_demand(*stored, "left")
+        assert "SortMergeJoin" in plan(joined) and "Sort [" not in plan(joined)
+        plain = join_demand(stock, features, "left")
+        assert joined.exceptAll(plain).isEmpty() and joined.count() == plain.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("order_stock", "order_features"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_store_filter_reaches_the_scan(spark, sf_dir, path):
     from shelfcast.sinks.tables import write_windowed
     from shelfcast.sources.tables import query_windowed
