@@ -199,9 +199,10 @@ def _meeting(members: DataFrame, percent: int, *, hubs: bool = False) -> DataFra
     """Distinct (a, b) of members of different components whose differences may share
     enough; with ``hubs``, of each element only those with the member nearest to the centre."""
     half = F.expr(f"({_half(percent)}) + 1").cast("int")
+    kept = ["node", "size", "differing", "component"] + ["parity"] * (not hubs)
 
     def side(name: str, first: Column) -> DataFrame:
-        columns = [F.col(c).alias(f"{name}_{c}") for c in ("node", "size", "differing", "component", "parity")]
+        columns = [F.col(c).alias(f"{name}_{c}") for c in kept]
         return members.select("centre", *columns, F.posexplode(first).alias(f"{name}_at", "element"))
 
     more = side("x", F.col("first"))
@@ -210,7 +211,8 @@ def _meeting(members: DataFrame, percent: int, *, hubs: bool = False) -> DataFra
         row = F.struct(*[c for c in less.columns if c not in ("centre", "element")])
         hub = F.min_by(row, F.struct("y_differing", "y_node")).alias("hub")
         less = less.groupBy("centre", "element").agg(hub).select("centre", "element", "hub.*")
-    odd = "+".join(f"bit_count(x_parity[{i}] ^ y_parity[{i}])" for i in range(PARITIES // 64))
+    places = [] if hubs else range(PARITIES // 64)  # pairs with hubs are few
+    odd = "+".join(["0", *(f"bit_count(x_parity[{i}] ^ y_parity[{i}])" for i in places)])
     gap = F.col("x_differing") - F.col("y_differing")
     allowed = _allowed("x_size", "y_size", percent)
     met = more.join(less, ["centre", "element"]).where(
