@@ -20,7 +20,8 @@ pair that may be linked shares a bucket. The members of a bucket meet around a c
    meet. The one with the smaller difference needs at most D / 2 + 1, which is about what it
    adds; the other at most D + 1. Pairs within one component are left out. So are pairs
    whose parities (of the numbers of elements with each of ``PARITIES`` remainders) differ
-   in more than D places: every element of one set alone changes one place.
+   in more than D places: every element of one set alone changes one place. Elements that
+   only one member of the group has among its first meet nothing and are left out.
 4. What meets there is confirmed on full sets. A cluster far from its centre would meet in
    all its pairs, so of each element only its hub, the member nearest to the centre, meets
    the others first; what that links is one component. All other pairs follow.
@@ -35,13 +36,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import settled, slices
 
 IDS_BROADCAST = 2_000_000  # rows of one or two ids; more are joined by a shuffle
 PARITIES = 256  # places of a set's parities, four 64-bit words
 SAMPLE = 64  # members of a large group whose differences show what is common
+PART = 32  # members of a group for each part that its elements are dealt into
 Hashes = Callable[[str | None], np.ndarray]
 
 
@@ -170,9 +172,12 @@ def _common(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(centre, node, parity, size, differing, linked, first) of each member but the centre."""
+    """(centre, parts, node, parity, size, differing, linked, first) of each member but the
+    centre; a group has a part for each ``PART`` members."""
     common = settled(_common(groups, sets), "common")
-    sized = _apart(groups, sets).join(common, "centre", "left").withColumns(
+    parts = groups.groupBy("centre").agg(F.expr(f"count(*) div {PART} + 1").alias("parts"))
+    met = _apart(groups, sets).join(parts.hint("merge"), "centre")
+    sized = met.join(common, "centre", "left").withColumns(
         {
             "differing": (F.size("added") + F.size("lacking")).cast("long"),
             "common": F.coalesce("common", F.array().cast("array<long>")),
@@ -186,6 +191,7 @@ def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     return sized.select(
         "centre",
+        "parts",
         "node",
         "parity",
         "size",
@@ -195,18 +201,67 @@ def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _shared(members: DataFrame) -> DataFrame:
+    """(centre, node, parity, size, differing, shared): the elements of ``first``, with their
+    places there, that stand in ``first`` of two or more members of the group.
+
+    Most elements stand in one, and meet nothing. A member is shuffled in a row for each part
+    (remainder) of its group's elements, not for each element: a small group has one part,
+    a large one is shared out among tasks.
+    """
+    kept = ("node", "parity", "size", "differing")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = batch.column("first")
+            lengths = first.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            if not len(row):
+                continue
+            elements = first.flatten().to_numpy()
+            places = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            parts = batch.column("parts").to_numpy().view(np.uint64)[row]
+            part = (elements.view(np.uint64) % parts).view(np.int64)
+            order = np.lexsort((part, row))
+            row, part = row[order], part[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
+            at = np.flatnonzero(new)
+            ends = pa.array(np.append(at, len(row)).astype(np.int32))
+            values = (places[order].astype(np.int32), elements[order])
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in values]
+            columns = batch.select(["centre", *kept]).take(pa.array(row[at])).columns
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(part[at]), *lists],
+                ["centre", *kept, "part", "places", "elements"],
+            )
+
+    packed = members.select("centre", "parts", *kept, "first").mapInArrow(
+        pack,
+        "centre long, node long, parity array<long>, size long, differing long, part long,"
+        " places array<int>, elements array<long>",
+    )
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = packed.repartition(tasks, "centre", "part").select(
+        "centre", "part", *kept, F.inline(F.arrays_zip("places", "elements")).alias("at", "element")
+    )
+    # Both go on within a part: nothing is shuffled again.
+    times = F.count("*").over(Window.partitionBy("centre", "part", "element"))
+    met = rows.withColumn("times", times).where("times > 1").groupBy("centre", "part", *kept)
+    return met.agg(F.collect_list(F.struct("at", "element")).alias("shared")).drop("part")
+
+
 def _meeting(members: DataFrame, percent: int, *, hubs: bool = False) -> DataFrame:
     """Distinct (a, b) of members of different components whose differences may share
     enough; with ``hubs``, of each element only those with the member nearest to the centre."""
-    half = F.expr(f"({_half(percent)}) + 1").cast("int")
     kept = ["node", "size", "differing", "component"] + ["parity"] * (not hubs)
 
-    def side(name: str, first: Column) -> DataFrame:
+    def side(name: str, shared: Column) -> DataFrame:
         columns = [F.col(c).alias(f"{name}_{c}") for c in kept]
-        return members.select("centre", *columns, F.posexplode(first).alias(f"{name}_at", "element"))
+        return members.select("centre", *columns, F.inline(shared).alias(f"{name}_at", "element"))
 
-    more = side("x", F.col("first"))
-    less = side("y", F.slice("first", 1, half))
+    more = side("x", F.col("shared"))
+    less = side("y", F.expr(f"filter(shared, e -> e.at <= {_half(percent)})"))
     if hubs:
         row = F.struct(*[c for c in less.columns if c not in ("centre", "element")])
         hub = F.min_by(row, F.struct("y_differing", "y_node")).alias("hub")
@@ -296,14 +351,16 @@ def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _parted(members: DataFrame, components: DataFrame) -> DataFrame:
-    """The members, with their components, of groups that hold more than one."""
-    parted = members.join(components, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
-    )
-    mixed = parted.groupBy("centre").agg(
+    """The members, with their components, of groups that hold more than one: which they are
+    is told from ids alone."""
+    ids = members.select("centre", "node").distinct().join(components, "node", "left")
+    ids = ids.withColumn("component", F.coalesce("component", "node"))
+    mixed = ids.groupBy("centre").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     )
-    return parted.join(mixed.where("low < high").select("centre"), "centre")
+    known = ids.join(mixed.where("low < high").select("centre"), "centre")
+    # Always the same join, whatever its size: members are many times larger than ids.
+    return members.join(known.hint("merge"), ["centre", "node"])
 
 
 def linked_components(keyed: DataFrame, documents: DataFrame, hashes: Hashes, percent: int) -> DataFrame:
@@ -316,9 +373,10 @@ def linked_components(keyed: DataFrame, documents: DataFrame, hashes: Hashes, pe
     pair = (F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
     links = settled(members.where("linked").select(*pair).distinct(), "centre_links")
     components = components_of(links)
+    shared = settled(_shared(members), "shared")
 
     for hubs in (True, False):
-        parted = settled(_parted(members, components), "parted")
+        parted = settled(_parted(shared, components), "parted")
         meeting = settled(_meeting(parted, percent, hubs=hubs), "meeting")
         met = meeting.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         needed = settled(sets.join(_bounded(met), "node", "left_semi"), "needed")

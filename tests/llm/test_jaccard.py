@@ -1,12 +1,14 @@
 """The n-gram join against brute force, its index against the pigeonhole guarantee."""
 
 import random
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.llm import groups, jaccard
+from shelfcast.llm.neardup import shingle_hashes
 from tests.llm.test_neardup import brute, shingles
 
 
@@ -88,6 +90,33 @@ def test_differences_that_may_link_meet(spark):
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_elements_of_one_member_are_not_shuffled_to_meet(spark, monkeypatch):
+    """Only elements that two members share go to the join, and each is found: links are
+    those of brute force, in a group of several parts."""
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for doc_id in range(3 * 40):
+        last = [f"last{doc_id}"] * (doc_id % 3 == 2)  # linked with the document before
+        own = [f"own{doc_id - len(last)}_{i}" for i in range(20)]
+        rows.append((doc_id, " ".join(base + own + last)))
+    kept, settled = {}, groups.settled
+    monkeypatch.setattr(groups, "settled", lambda f, n: kept.setdefault((n, len(kept)), settled(f, n)))
+    frame = spark.createDataFrame(rows, "doc_id int, text string")
+    keyed = frame.select(F.lit(1).cast("long").alias("key"), F.col("doc_id").cast("long").alias("node"))
+    found = groups.linked_components(keyed, frame, partial(shingle_hashes, n=1), 85)
+    got = {r.node: r.component for r in found.collect()}
+    want = brute(rows, 1, 85)
+    assert len(set(want.values())) == 80
+    assert {i: got.get(i, i) for i in want} == want
+    meeting = [f for (name, _), f in kept.items() if name == "parted"]
+    for parted in meeting:
+        column = next(c for c in ("shared", "first") if c in parted.columns)
+        element = F.explode(f"{column}.element" if column == "shared" else column).alias("element")
+        times = parted.select("centre", "node", element).groupBy("centre", "element")
+        assert times.agg(F.countDistinct("node").alias("n")).where("n < 2").isEmpty()
+    assert len(meeting) == 2 and meeting[0].select("node").distinct().count() in (78, 80)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30000))
     rows = [
