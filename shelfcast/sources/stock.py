@@ -78,28 +78,39 @@ def files_of(line: list[Commit], parts: Collection[int] | None = None) -> tuple[
     return base, sorted(changes, key=lambda path: age[path.split("=")[1].split("/")[0]])
 
 
-def _rows_of(spark: SparkSession, root: str, line: list[Commit], parts: Collection[int] | None) -> DataFrame:
+def _layers(
+    spark: SparkSession, root: str, line: list[Commit], parts: Collection[int] | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """The base rows of SKUs that did not change after them; the last changes, if there are any."""
     base, changes = files_of(line, parts)
     rows = spark.read.schema(INVENTORY)
     stocked = rows.parquet(*(f"{root}/{path}" for path in base)) if base else spark.createDataFrame([], INVENTORY)
+    stocked = stocked.select(*INVENTORY.fieldNames())
     if not changes:
-        return stocked.select(*INVENTORY.fieldNames())
-    last = _last_changes(spark, root, line, changes)
-    kept = stocked.select(*INVENTORY.fieldNames()).join(last.select(*SKU), [*SKU], "left_anti")
-    return kept.unionByName(last.filter(~F.col("delisted")).drop("delisted"))
+        return stocked, None
+    # Grouped by the key as one struct. Dealt by the columns of the key, like the base, the union
+    # of both would count as dealt so, too, and be joined as it is; but once Spark broadcasts the
+    # few changes at run time it no longer is, and the job fails on unequal numbers of partitions.
+    last = _last_changes(spark, root, line, changes, F.struct(*SKU).alias("sku"))
+    last = last.select("sku.*", "*").select(*CHANGES.fieldNames())
+    return stocked.join(last.select(*SKU), [*SKU], "left_anti"), last
+
 
+def _rows_of(spark: SparkSession, root: str, line: list[Commit], parts: Collection[int] | None) -> DataFrame:
+    kept, last = _layers(spark, root, line, parts)
+    return kept if last is None else kept.unionByName(last.filter(~F.col("delisted")).drop("delisted"))
 
-def _last_changes(spark: SparkSession, root: str, line: list[Commit], paths: list[str]) -> DataFrame:
+
+def _last_changes(
+    spark: SparkSession, root: str, line: list[Commit], paths: list[str], *key: Column | str
+) -> DataFrame:
+    """The last logged values of each ``key`` of SKUs."""
     logged = spark.read.schema(extended(CHANGES, "version string")).option("basePath", f"{root}/deltas")
     rows = logged.parquet(*(f"{root}/{path}" for path in paths))
     age = F.create_map(*(F.lit(x) for at, c in enumerate(reversed(line)) for x in (c.version, at)))
     aged = rows.withColumn("age", age[F.col("version")])
-    # Grouped by the key as one struct. Dealt by the columns of the key, like the base, the union
-    # of both would count as dealt so, too, and be joined as it is; but once Spark broadcasts the
-    # few changes at run time it no longer is, and the job fails on unequal numbers of partitions.
     values = [F.max_by(c, "age").alias(c) for c in CHANGES.fieldNames() if c not in SKU]
-    newest = aged.groupBy(F.struct(*SKU).alias("sku")).agg(*values)
-    return newest.select("sku.*", "*").select(*CHANGES.fieldNames())
+    return aged.groupBy(*key).agg(*values)
 
 
 def read_inventory_snapshot(
@@ -123,22 +134,50 @@ def inventory_changes(spark: SparkSession, root: str, before: str, after: str) -
     """
     line = line_of(spark, root, after)
     since = next((at for at, commit in enumerate(line) if commit.version == before), None)
-    if since is None:
-        old, new = read_inventory_snapshot(spark, root, before), _rows_of(spark, root, line, None)
-    else:
-        deltas = [c for c in line[:since] if c.kind == "delta"]
-        touched = {part for c in deltas for part in c.held}
-        paths = [f"deltas/version={c.version}/part={p}" for c in deltas for p in sorted(c.held)]
-        old, new = _rows_of(spark, root, line[since:], touched), _rows_of(spark, root, line, touched)
-        if paths:
-            skus = _last_changes(spark, root, line, paths).select(*SKU)
-            old, new = (rows.join(skus, [*SKU], "left_semi") for rows in (old, new))
     values = [c for c in INVENTORY.fieldNames() if c not in SKU]
-    old = old.select(*SKU, F.lit(True).alias("was"), *(F.col(c).alias(f"old_{c}") for c in values))
-    both = old.join(new.withColumn("now", F.lit(True)), [*SKU], "full")
+    deltas = [c for c in line[:since] if c.kind == "delta" and c.held]
+    if since is None or not deltas:
+        parts = None if since is None else ()
+        old = _as_old(read_inventory_snapshot(spark, root, before, parts))
+        new = _rows_of(spark, root, line, parts).withColumn("now", F.lit(True))
+        both = old.join(new, [*SKU], "full")
+    else:
+        both = _logged_changes(spark, root, line, since, deltas)
     same = [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in values]
     change = F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "delisted")
     change = change.when(~(same[0] & same[1]), "changed")
-    return both.withColumn("change", change).filter(F.col("change").isNotNull()).select(
+    listed = F.col("was").isNotNull() | F.col("now").isNotNull()
+    return both.withColumn("change", change).filter(listed & F.col("change").isNotNull()).select(
         *SKU, "change", *(c for value in values for c in (f"old_{value}", value))
     )
+
+
+def _as_old(stock: DataFrame) -> DataFrame:
+    values = [F.col(c).alias(f"old_{c}") for c in INVENTORY.fieldNames() if c not in SKU]
+    return stock.select(*SKU, F.lit(True).alias("was"), *values)
+
+
+def _logged_changes(
+    spark: SparkSession, root: str, line: list[Commit], since: int, deltas: list[Commit]
+) -> DataFrame:
+    """The SKUs of ``deltas``, with their stock before (``was``) and after (``now``) these.
+
+    After them a SKU is as its last row in the log says; before, as in the base or in earlier changes.
+    These two are joined one after the other. A union of both would be narrowed to the logged SKUs side by
+    side and count as dealt by SKU; once Spark reuses a shuffle below it no longer does, and the job fails
+    on unequal numbers of partitions.
+    """
+    values = [c for c in INVENTORY.fieldNames() if c not in SKU]
+    paths = [f"deltas/version={c.version}/part={p}" for c in deltas for p in sorted(c.held)]
+    logged = _last_changes(spark, root, line, paths, *SKU).dropna(subset=[*SKU])
+    held = [F.when(~F.col("delisted"), c) for c in (F.lit(True), *map(F.col, values))]
+    new = logged.select(*SKU, *(c.alias(name) for c, name in zip(held, ("now", *values))))
+    kept, earlier = _layers(spark, root, line[since:], {part for c in deltas for part in c.held})
+    both = new.join(_as_old(kept.join(logged.select(*SKU), [*SKU], "left_semi")), [*SKU], "left")
+    if earlier is None:
+        return both
+    names = ("was", *(f"old_{c}" for c in values))
+    before = earlier.select(*SKU, *(c.alias(f"logged_{name}") for c, name in zip(held, names)))
+    return both.join(before, [*SKU], "left").withColumns(
+        {name: F.coalesce(name, f"logged_{name}") for name in names}
+    )

@@ -170,3 +170,45 @@ def test_merged_stock_joins_whatever_is_broadcast_at_run_time(spark, path):
         ("S0", "P0", "delisted"), ("S1", "P1", "delisted")
     }
     assert gone == [("S0", "P0"), ("S1", "P1")]
+
+
+def test_change_feeds_where_no_side_is_broadcast(spark, path):
+    """Joins that all shuffle by SKU share their shuffles; the feed is the difference of the snapshots."""
+    versions = [write_inventory(stock_of(spark, 90), path, parts=4)]
+    some = [(f"S{i % 7}", f"P{i}", 900 + i) for i in range(0, 100, 4)]
+    versions.append(correct_inventory(spark, path, corrections(spark, *some)))
+    gone = spark.createDataFrame(some[::3], "store_id string, product_id string, number int")
+    versions.append(delist(gone, path, versions[-1]))
+    back = [(store, product, 7) for store, product, _ in some[::6]]
+    versions.append(correct_inventory(spark, path, corrections(spark, *back, ("S1", "P1", 3))))
+    versions.append(fold_inventory(spark, path, after=2))
+    odd = [("S2", "P2", 5, 2, None), ("S3", "P3", 6, 2, True), ("S8", "P800", 4, 2, False), (None, "P5", 1, 2, False)]
+    versions.append(append_changes(spark.createDataFrame(odd, CHANGES), path, versions[-1]))
+    versions.append(write_inventory(stock_of(spark, 80), path, parent=versions[-1]))
+    stock = []
+    for version in versions:
+        known = read_inventory_snapshot(spark, path, version).dropna(subset=["store_id", "product_id"])
+        stock.append({r[:2]: r[2:] for r in rows(known)})
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        for a, b in [(0, 1), (0, 2), (0, 5), (1, 3), (2, 3), (2, 4), (3, 4), (4, 5)]:
+            expected = []
+            for sku in {*stock[a], *stock[b]}:
+                old, new = stock[a].get(sku), stock[b].get(sku)
+                change = "new" if old is None else "delisted" if new is None else "changed"
+                (was, lead), (now, next_lead) = old or (None, None), new or (None, None)
+                if old != new:
+                    expected.append((*sku, change, was, now, lead, next_lead))
+            fed = inventory_changes(spark, path, versions[a], versions[b]).collect()
+            assert {tuple(r) for r in fed} == set(expected) and len(fed) == len(expected)
+        whole = inventory_changes(spark, path, versions[5], versions[6]).dropna(subset=["store_id"])
+        assert whole.count() == sum(stock[5].get(k) != stock[6].get(k) for k in {*stock[5], *stock[6]})
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
